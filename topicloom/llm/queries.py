@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import id_crc32, table
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: rows whose crc32(doc_id) mod 5 is 0; a row without id is never learned from."""
+    from .quality import assess, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = id_crc32("doc_id") % 5
+    model = train(docs, table(spark, sf_dir, "labels").filter(fold != 0).select("doc_id", "quality"))
+    scored = assess(docs, model)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +27,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: rows whose crc32(doc_id) mod 4 is 2; a row without id is never learned from."""
+    from .language import identify, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = id_crc32("doc_id") % 4
+    model = train(docs, fold != 2)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "language.lang_pred", "language.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
