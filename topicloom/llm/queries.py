@@ -21,6 +21,25 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+    from .tokens import vocabulary
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from .common import shared_folder
+    from .tokenfiles import read_token_files, write_token_files
+    from .tokens import vocabulary
+
+    path = f"{shared_folder(spark)}/topicloom/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
+    return read_token_files(spark, path)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -39,6 +58,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }

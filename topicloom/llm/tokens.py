@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -32,8 +33,6 @@ class UnitEncoder:
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """A null is an empty text, without ids."""
-        if len(self.known) > self.most:
-            self.known.clear()
         known, sep = self.known, " " if self.leading else ""
         split: list[list[str] | None] = []
         whole: list[str] = []  # texts that can't be split, and first units, which have no blank before them
@@ -56,7 +55,21 @@ class UnitEncoder:
         for units in split:
             head = next(heads) if self.leading else b""
             out.append(b"".join([head, *[known[u] for u in units]]) if units else head)
+        full = len(known) > self.most  # what came first stays: the frequent units are among it
         for u in fresh:
-            if len(u) > self.longest:
+            if full or len(u) > self.longest:
                 del known[u]
         return out
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, leading: bool) -> UnitEncoder:
+    """One for each worker process and vocabulary."""
+    return UnitEncoder(path, leading)
+
+
+def vocabulary(name: str) -> str:
+    """Where a file of the installed public vocabularies is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
