@@ -21,6 +21,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     from .tokens import vocabulary
@@ -58,13 +70,34 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": r"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, x -> x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach(a, b) AS (
+            SELECT vec_id, vec_id FROM embeddings
+            UNION
+            SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+        ), component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+        counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM component LEFT JOIN counted USING (vec_id)
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t,
