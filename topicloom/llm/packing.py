@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder
+from .tokens import encoder, loosened
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool = False, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece; ``place`` numbers the pieces of one length within a task."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool = False, loose: bool = True, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per piece; ``place`` numbers the pieces of one length within a task. ``leading``, ``loose``: see ``tokens``."""
     names = [x.split()[0] for x in _PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
@@ -41,12 +41,13 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool
             _, offsets = common.buffers(batch.column(1))
             for i, j in common.slices(offsets, 2 << 20):
                 out: list[tuple] = []
-                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
+                part = batch.column(1).slice(i, j - i)
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(loosened(part) if loose else part.to_pylist()), strict=True):
                     ids += end
                     for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[lo : lo + 4 * capacity]
-                        n = len(part) // 4
-                        out.append((key, k, lo // 4, n, zlib.crc32(part), task, int(seen[n])))
+                        own = ids[lo : lo + 4 * capacity]
+                        n = len(own) // 4
+                        out.append((key, k, lo // 4, n, zlib.crc32(own), task, int(seen[n])))
                         seen[n] += 1
                 types = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names=names)

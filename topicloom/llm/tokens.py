@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+
+from . import common
 
 _AFTER_SPACE = re.compile(r"\s ")
 
@@ -19,24 +23,39 @@ _AFTER_SPACE = re.compile(r"\s ")
 class UnitEncoder:
     """Little-endian unsigned 32-bit ids of texts as byte strings. ``leading``: a blank belongs to the unit after it."""
 
-    def __init__(self, path: str, leading: bool, most: int = 300_000, longest: int = 48):
+    def __init__(self, path: str, leading: bool, most: int = 700_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.joint = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        marks = [(n, t.content) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = marks[-1] if marks else (-1, "")
         self.leading, self.most, self.longest = leading, most, longest
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_units(self, units: list[str], step: int = 100) -> list[bytes]:
+        """Many short texts in one call, with a special token between them that stands in none of them."""
+        if not self.mark or any(self.mark[:2] in u for u in units):
+            return self._encode(units)
+        out: list[bytes] = []
+        for i in range(0, len(units), step):
+            ids = np.array(self.joint.encode_batch_fast([self.mark.join(units[i : i + step])], add_special_tokens=False)[0].ids, "<u4")
+            raw, at = ids.tobytes(), 0
+            for cut in (4 * np.flatnonzero(ids == self.mark_id)).tolist():
+                out.append(raw[at:cut])
+                at = cut + 4
+            out.append(raw[at:])
+        return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """A null is an empty text, without ids."""
         known, sep = self.known, " " if self.leading else ""
         split: list[list[str] | None] = []
         whole: list[str] = []  # texts that can't be split, and first units, which have no blank before them
-        new: set[str] = set()
         for text in texts:
             text = text or ""
             if self.leading and (text[:1] == " " or _AFTER_SPACE.search(text)):
@@ -47,14 +66,14 @@ class UnitEncoder:
             if self.leading:
                 whole.append(units.pop(0))
             split.append(units)
-            new.update(u for u in units if u not in known)
-        fresh = list(new)
-        known.update(zip(fresh, self._encode([sep + u for u in fresh]), strict=True))
+        fresh = list(set().union(*(u for u in split if u)).difference(known))
+        known.update(zip(fresh, self._encode_units([sep + u for u in fresh] if sep else fresh), strict=True))
         heads = iter(self._encode(whole))
+        get = known.__getitem__
         out = []
         for units in split:
             head = next(heads) if self.leading else b""
-            out.append(b"".join([head, *[known[u] for u in units]]) if units else head)
+            out.append(head + b"".join(map(get, units)) if units else head)
         full = len(known) > self.most  # what came first stays: the frequent units are among it
         for u in fresh:
             if full or len(u) > self.longest:
@@ -62,6 +81,38 @@ class UnitEncoder:
         return out
 
 
+_SOLID = np.zeros(256, bool)  # letters and digits, as the last byte before a mark
+_SOLID[[*range(48, 58), *range(97, 123)]] = True
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 13, 32]] = True
+
+
+def loosened(column: pa.Array) -> list[str]:
+    """Texts with more units in common, for a vocabulary that lower-cases, drops white space and parts letters from marks.
+
+    ASCII letters become lower case, line ends and tabs blanks, and a comma or full stop between a letter or digit and
+    white space gets a blank before it. Such a vocabulary gives the same ids for both forms.
+    """
+    body, offsets = common.buffers(column)
+    if not len(body):
+        return [""] * len(column)
+    low = common.LOWER[body]
+    before = np.zeros(len(low), bool)
+    before[1:] = _SOLID[low[:-1]]
+    if len(low) > 2:  # Latin-1 letters in two bytes, without the two signs among them
+        before[2:] |= (low[:-2] == 0xC3) & (low[1:-1] != 0x97) & (low[1:-1] != 0xB7)
+    gap = _GAP[low]
+    after = np.append(gap[1:], True)
+    ends = offsets[1:-1]
+    after[ends[ends > 0] - 1] = True
+    before[offsets[:-1][offsets[:-1] < len(low)]] = False
+    at = np.flatnonzero(((low == 44) | (low == 46)) & before & after)
+    low[gap] = 32
+    shift = offsets + np.searchsorted(at, offsets)
+    text = np.insert(low, at, 32).tobytes()
+    return [text[a:b].decode() for a, b in zip(shift[:-1].tolist(), shift[1:].tolist(), strict=True)]
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str, leading: bool) -> UnitEncoder:
     """One for each worker process and vocabulary."""
