@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import id_crc32, table
 
 
+#: Most bytes of text in a shard.
+SHARD_BYTES = 1 << 20
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held out: rows whose crc32(doc_id) mod 5 is 0; a row without id is never learned from."""
     from .quality import assess, train
@@ -33,6 +37,26 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shards
+
+    found = shards(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES)
+    return found.select("row.doc_id", "n_bytes", "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes")
+
+
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sampling import sampled
+    from .tokens import vocabulary
+
+    return sampled(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), with_ids=False)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
     from .tokens import vocabulary
@@ -71,7 +95,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_sharding": op3_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_piece_sampling": op5_piece_sampling,
+    "op6_license_scan": op6_license_scan,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
@@ -79,12 +106,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": f"""
+        WITH r AS (
+            SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS n_bytes,
+                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT << 30)
+                   | (('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT >> 2) AS h
+            FROM documents
+        ), d AS (SELECT unnest(range(0, 63))::INTEGER AS depth),
+        c AS (SELECT depth, h >> (62 - depth) AS p, sum(n_bytes) AS b, count(*) AS n FROM r, d GROUP BY ALL),
+        f AS (
+            SELECT doc_id, r.h, n_bytes, min(c.depth) AS depth FROM r, c
+            WHERE c.p = r.h >> (62 - c.depth) AND (c.b <= {SHARD_BYTES} OR c.n = 1) GROUP BY ALL
+        )
+        SELECT f.doc_id, f.n_bytes::BIGINT AS n_bytes, f.depth || ':' || c.p AS shard, f.depth, c.b::BIGINT AS shard_bytes
+        FROM f JOIN c ON c.depth = f.depth AND c.p = f.h >> (62 - f.depth)
+    """,
     "op2_embedding_near_dedup": r"""
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
             WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-              AND len(list_filter(embedding, x -> x <> 0)) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0
         ), links AS (
             SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
             ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
