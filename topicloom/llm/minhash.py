@@ -4,10 +4,10 @@
 2. One hash of each shingle fills 128 bins with their minima; empty bins copy from bins drawn by a hash of bin and try
    (optimal densification). 42 bands of 3 bins make buckets: a pair of similarity 0.75 misses all with about 1e-10.
 3. Each bucket is a star: every class is compared with the bucket's first class only, on full sets.
-4. Links give components. Where a bucket still holds several components, the classes outside its largest component are
-   compared with the bucket's classes of other components, unless sizes or the triangle inequality (Jaccard distance is
-   a metric, and both distances to the star's centre are known) show that they can't be linked. So no link that a bucket
-   shows is lost, and no bucket is expanded into all its pairs.
+4. Links give components. Where a bucket still holds several components, its classes are compared with those of other
+   components, unless their sizes, or the shingles that no other component has, show that they can't be linked. This is
+   done on full sets, in blocks of bounded size that count shared shingles by a matrix product and return only which
+   components a link joins. So no link that a bucket shows is lost, and pairs are never made as rows.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five words has
 one shingle, the whole sequence; equal rows are equal sets. A null id is never the smallest of a component that has
@@ -139,39 +139,124 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return common.written(joined.mapInArrow(compare, "a long, b long, both long, na long, nb long"), "verified")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def _shared(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, shared: how many shingles of its set stand in the set of one of ``nodes`` with another label; node, grams)."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body, offsets = common.buffers(batch.column(2))
+            for i, j in common.slices(offsets, 4 << 20):
+                sets = shingle_sets(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["node", "label", "grams"])
+
+    held = texts.join(nodes.select("node", "label"), "node").select("node", "label", "text")
+    sets = common.written(held.mapInArrow(grams, "node long, label long, grams array<long>"), "grams")
+    each = sets.select("node", "label", F.explode("grams").alias("gram"))
+    owned = each.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("node"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo = hi")
+    single = owned.filter("c = 1").groupBy("node").agg(F.count("*").alias("own"))
+    several = each.join(owned.filter("c > 1").select("gram"), "gram", "left_semi").groupBy("node").agg(F.count("*").alias("own"))
+    own = single.unionByName(several).groupBy("node").agg(F.sum("own").alias("own"))
+    return nodes.join(own, "node", "left").select("node", (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")), sets.select("node", "grams")
+
+
+def _met(block: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """Pairs of labels that a link between two rows of a block joins, as a forest. Full sets are compared, all at once."""
+    first = np.array(block["first"].to_pylist(), bool)
+    second = first if block["i"][0].as_py() == block["j"][0].as_py() else ~first
+    label, n, shared = (block[c].to_numpy() for c in ("label", "n", "shared"))
+    sets = block["grams"].combine_chunks()
+    if isinstance(sets, pa.ChunkedArray):
+        sets = pa.concat_arrays(sets.chunks)
+    values, at = sets.values.to_numpy(), sets.offsets.to_numpy()
+    rows, cols = np.flatnonzero(first), np.flatnonzero(second)
+    nr, nc = n[rows][:, None], n[cols][None, :]
+    may = (label[rows][:, None] != label[cols][None, :]) & (np.minimum(nr, nc) * 100 >= np.maximum(nr, nc) * percent)
+    may &= np.minimum(shared[rows][:, None], shared[cols][None, :]) * (100 + percent) >= (nr + nc) * percent
+    keep_r, keep_c = may.any(axis=1), may.any(axis=0)
+    rows, cols, may = rows[keep_r], cols[keep_c], may[keep_r][:, keep_c]
+    if not len(rows) or not len(cols):
+        return []
+    flat = lambda who: (np.concatenate([values[at[i] : at[i + 1]] for i in who]), np.repeat(np.arange(len(who)), at[who + 1] - at[who]))
+    (gr, ir), (gc, ic) = flat(rows), flat(cols)
+    both = np.intersect1d(gr, gc)
+    both_ = np.append(both, both[-1] if len(both) else 0)
+    pr, pc = np.searchsorted(both, gr), np.searchsorted(both, gc)
+    fr, fc = both_[pr] == gr, both_[pc] == gc
+    pr, ir, pc, ic = pr[fr], ir[fr], pc[fc], ic[fc]
+    inter = np.zeros((len(rows), len(cols)), np.float32)
+    step = 8192
+    for lo in range(0, len(both), step):
+        left, right = np.zeros((len(rows), step), np.float32), np.zeros((len(cols), step), np.float32)
+        now = (pr >= lo) & (pr < lo + step)
+        left[ir[now], pr[now] - lo] = 1
+        now = (pc >= lo) & (pc < lo + step)
+        right[ic[now], pc[now] - lo] = 1
+        inter += left @ right.T
+    hit = may & (inter * (100 + percent) >= (n[rows][:, None] + n[cols][None, :]) * percent)
+    r, c = np.nonzero(hit)
+    pairs = np.unique(np.stack([label[rows[r]], label[cols[c]]], axis=1), axis=0)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in pairs.tolist():
+        u, v = find(x), find(y)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((x, y))
+    return out
+
+
+def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: int, block: int) -> DataFrame:
+    """a, b: components (by label) that a link joins between classes of one bucket. members: key, node, n."""
+    known = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
+    held = common.written(known.join(mixed, "key", "left_semi").select("key", "node", "n", "label"), "mixed")
+    # A shingle that no class of another component has is never shared with one: sets with too many of them have no such link.
+    shared, sets = _shared(held.select("node", "n", "label").distinct(), texts)
+    live = common.written(held.join(shared, "node").filter(F.col("shared") * 100 >= F.col("n") * percent), "live")
+    hubs = live.groupBy("key").agg(F.min("node").alias("hub"))
+    clusters = components(live.join(hubs, "key").select("node", "hub").distinct(), "node", "hub")
+    nodes = live.select("node", "n", "label", "shared").distinct().join(clusters, "node")
+    parts = nodes.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("component", "parts")
+    dealt = nodes.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("first"), "node", "n", "label", "shared")
+
+    def meet(table: pa.Table) -> pa.Table:
+        found = _met(table, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return common.written(dealt.join(sets, "node").groupBy("component", "i", "j").applyInArrow(meet, "a long, b long"), "across")
+
+
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, block: int = 300_000) -> tuple[DataFrame, DataFrame]:
     """(signature rows: row, row_id, n_shingles, print; print, component_id, keep_row of each class of equal sets)."""
     rows = _prepared(docs, text)
     some = rows.filter("n_shingles > 0")
     order = F.struct(F.col("row")[doc_id].isNull().alias("none"), F.col("row")[doc_id].cast("long").alias("id"), F.col("row_id").alias("at"))
     classes = common.written(some.groupBy("print").agg(F.min("row_id").alias("node"), F.min(order).alias("best")), "classes")
     reps = some.select("row_id", "n_shingles", "bands").join(classes.select(F.col("node").alias("row_id")), "row_id", "left_semi")
-    placed = reps.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    stars = placed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = common.written(placed.join(stars, "key"), "members")
+    placed = reps.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
+    # The first class of a bucket by one of three orders, so that a group of near copies gets several centres.
+    turn = F.xxhash64("node", F.col("band") % 3)
+    stars = placed.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("first.node").alias("centre"))
+    members = common.written(placed.drop("band").join(stars, "key"), "members")
     texts = rows.select(F.col("row_id").alias("node"), F.col("row")[text].alias("text"))
 
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    spokes = _verified(members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), texts)
-    links = spokes.filter(linked).select("a", "b")
+    spokes = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    links = _verified(spokes, texts).filter(linked).select("a", "b")
     labels = common.written(components(links), "labels")
-
-    # Buckets that hold several components: their classes outside the bucket's largest component meet the others.
-    known = members.join(labels.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = known.groupBy("key", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).filter("labels > 1").select("key", F.col("most.label").alias("main"))
-    distance = spokes.select(F.col("a").alias("centre"), F.col("b").alias("node"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
-    held = common.written(known.join(mixed, "key").filter("node <> centre").join(distance, ["centre", "node"]), "mixed")
-    one = held.filter("label <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("label").alias("lx"))
-    two = held.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("label").alias("ly"))
-    rest = one.join(two, "key").filter((F.col("lx") != F.col("ly")) & fits(F.col("nx"), F.col("ny")) & (F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(spokes.select("a", "b"), ["a", "b"], "left_anti")
-    rest = common.written(rest, "rest")
-    if not rest.isEmpty():
-        more = _verified(rest, texts).filter(linked).select("a", "b")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = _across(members.select("key", "node", "n"), labels, texts, percent, block)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     placed_ = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed_.groupBy("component").agg(F.min("best").alias("first"))
     return rows, placed_.join(best, "component").select("print", F.col("first.id").alias("component_id"), F.col("first.at").alias("keep_row"))
