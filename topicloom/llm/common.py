@@ -5,61 +5,46 @@ Every hash here is a function of the bytes alone, so a task that is run again gi
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
+from topicloom.sources.tables import drop_table, new_folder, written
+
+__all__ = ["BASE", "LOWER", "buffers", "drop_table", "held", "id_crc32", "mix", "new_folder", "shingle_hashes", "slices", "small_batches", "table", "word_hashes", "words", "written"]
 
 #: Odd multiplier of the rolling polynomial hash, modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="topicloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _FOLDERS.append((spark, root))
-    return root.rstrip("/")
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _FOLDERS:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its folder goes with the cluster's own cleaning
-            pass
+_HELD: dict[str, object] = {}
 
 
-def written(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/topicloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    _FOLDERS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def held(name: str, make: Callable[[], object]) -> object:
+    """What a worker process keeps between tasks (a vocabulary with its cache, a lattice): one such thing at a time."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
-def drop_table(df: DataFrame) -> None:
-    """Removes a table of ``written`` that no later plan reads."""
-    spark = df.sparkSession
-    for _, path in [x for x in _FOLDERS if any(f.startswith(x[1]) for f in df.inputFiles()[:1])]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
+    """``df``, after its session's Arrow batches are bounded: what a worker holds then doesn't grow with the texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def id_crc32(col: str | Column) -> Column:

@@ -2,7 +2,8 @@
 
 Each round hangs every larger neighbour on a node's smallest neighbour (large star), then every smaller one (small star);
 minima are partial aggregates, so a node with a third of all edges is no burden before its join, which Spark may split.
-Every round is a written table. Rounds grow with the logarithm of the longest chain; a star needs one.
+A round's result is a written table, in as many parts as its edges need. Rounds end when the edges are separate stars;
+they grow with the logarithm of the longest chain, and edges that are stars from the start need none.
 """
 
 from __future__ import annotations
@@ -12,29 +13,31 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Edges that one task of a round writes.
+PART = 500_000
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-    return row["n"], int(row["s"] or 0)
+
+def _looked(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges there are, and whether they are separate stars: no node hangs on two, none that hangs is hung on."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("c"), F.lit(0).alias("p")), F.struct(F.col("v").alias("node"), F.lit(0).alias("c"), F.lit(1).alias("p")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("c").alias("c"), F.max("p").alias("p"))
+    row = nodes.agg(F.sum("c").alias("n"), F.max(F.col("c") + F.col("p")).alias("most")).first()
+    return row["n"] or 0, (row["most"] or 0) <= 1
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component (its smallest node) for each node of an edge between two different nodes."""
     now = common.written(edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    n, stars = _looked(now)
+    tasks = edges.sparkSession.sparkContext.defaultParallelism
+    while not stars:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.written(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small = common.written(small, "edges")
-        new = _state(small)
-        for old in (now, large):
-            common.drop_table(old)
-        now, done = small, new == state
-        state = new
-        if done:
-            break
+        small = common.written(small.coalesce(max(tasks, n // PART)), "edges")
+        common.drop_table(now)
+        now = small
+        n, stars = _looked(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -72,6 +72,7 @@ _SPILL = "row_id long, rec_id long, h long, n_bytes long, sha binary, members lo
 
 
 def _spill(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    docs = common.small_batches(docs)
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id"))
     schema = T.StructType([keyed.schema["row"], *T._parse_datatype_string(_SPILL).fields])
 

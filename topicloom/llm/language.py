@@ -44,7 +44,7 @@ def gram_codes(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def presence(body: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
     """The codes that occur in each text, ascending."""
     flags = np.zeros(_D, bool)
-    for i, j in common.slices(offsets, 4 << 20):
+    for i, j in common.slices(offsets, 1 << 20):
         at = offsets[i : j + 1] - offsets[i]
         one, two, three = gram_codes(body[offsets[i] : offsets[j]])
         for s, e in zip(at[:-1], at[1:], strict=True):
@@ -155,6 +155,7 @@ def has_letters(texts: pa.Array, body: np.ndarray, offsets: np.ndarray) -> np.nd
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a last column ``into``: struct of lang_pred and score. Other columns pass through, repeats of a name too."""
+    docs = common.small_batches(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -98,7 +98,7 @@ def templates(extra: list[tuple[str, str]] = ()) -> list[tuple[int, int, int, st
 
 def _sliced(batch: pa.RecordBatch, column: int):
     body, offsets = common.buffers(batch.column(column))
-    for i, j in common.slices(offsets, 4 << 20):
+    for i, j in common.slices(offsets, 1 << 20):
         yield i, j, *word_table(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
@@ -139,6 +139,7 @@ def _address(text: str) -> list:
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    docs = common.small_batches(docs)
     names = ["doc_id", "k1", "k2", "n_words", "n_base", "first_word", "last_word", "base"]
     label = list(PHRASES.values())
 

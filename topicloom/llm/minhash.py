@@ -93,6 +93,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:
+    docs = common.small_batches(docs)
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id"))
     schema = T.StructType([*keyed.schema.fields, *T._parse_datatype_string("n_shingles long, print binary, bands array<long>").fields])
 
@@ -100,7 +101,7 @@ def _prepared(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).field(text)
             body, offsets = common.buffers(texts)
-            for i, j in common.slices(offsets, 4 << 20):
+            for i, j in common.slices(offsets, 1 << 20):
                 sets = shingle_sets(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 keys = bands(signatures(sets)).view(np.int64)
                 sizes = [len(s) for s in sets]
@@ -121,7 +122,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             (left, at), (right, bt) = common.buffers(batch.column(2)), common.buffers(batch.column(3))
             last: tuple[int | None, np.ndarray | None] = (None, None)
-            for i, j in common.slices(at + bt, 4 << 20):
+            for i, j in common.slices(at + bt, 1 << 20):
                 keys = batch.column(0).slice(i, j - i).to_pylist()
                 new = [r for r in range(j - i) if r == 0 and keys[0] != last[0] or r and keys[r] != keys[r - 1]]
                 found = iter(shingle_sets(*common.buffers(batch.column(2).slice(i, j - i).take(pa.array(new, pa.int64())))))
@@ -145,7 +146,7 @@ def _shared(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = common.buffers(batch.column(2))
-            for i, j in common.slices(offsets, 4 << 20):
+            for i, j in common.slices(offsets, 1 << 20):
                 sets = shingle_sets(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
@@ -255,8 +256,10 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     links = _verified(spokes, texts).filter(linked).select("a", "b")
     labels = common.written(components(links), "labels")
     more = _across(members.select("key", "node", "n"), labels, texts, percent, block)
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    if not more.isEmpty():  # components joined: their names change where they are known, singles get one
+        joined = components(more).withColumnRenamed("component", "next").withColumnRenamed("node", "component")
+        every = labels.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
+        labels = every.join(joined, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     placed_ = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = placed_.groupBy("component").agg(F.min("best").alias("first"))
     return rows, placed_.join(best, "component").select("print", F.col("first.id").alias("component_id"), F.col("first.at").alias("keep_row"))

@@ -31,6 +31,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool = False, loose: bool = True, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece; ``place`` numbers the pieces of one length within a task. ``leading``, ``loose``: see ``tokens``."""
+    docs = common.small_batches(docs)
     names = [x.split()[0] for x in _PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offsets = common.buffers(batch.column(1))
-            for i, j in common.slices(offsets, 2 << 20):
+            for i, j in common.slices(offsets, 1 << 20):
                 out: list[tuple] = []
                 part = batch.column(1).slice(i, j - i)
                 for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(loosened(part) if loose else part.to_pylist()), strict=True):

@@ -37,7 +37,7 @@ _WIDTH = _KINDS + 6
 def encode(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(passages x features, first passage of each text: n + 1)."""
     parts, firsts, base = [], [np.zeros(1, np.int64)], 0
-    for i, j in common.slices(offsets, 2 << 20):
+    for i, j in common.slices(offsets, 1 << 20):
         part, first = _encode(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         parts.append(part)
         firsts.append(first[1:] + base)
@@ -90,7 +90,7 @@ class QualityModel:
         if self.layers is None:
             return np.full(len(offsets) - 1, self.share)
         out = []
-        for i, j in common.slices(offsets, 8 << 20):
+        for i, j in common.slices(offsets, 4 << 20):
             x, first = encode(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             out.append(_forward(self.layers, (x - self.mean) / self.spread, first)["p"])
         return np.concatenate(out) if out else np.zeros(0)
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, text: str =
 
 def assess(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality_score") -> DataFrame:
     """``docs`` with a last column ``into``: the probability of label 1."""
+    docs = common.small_batches(docs)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -65,13 +65,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from .common import shared_folder
+    from .common import new_folder
     from .tokenfiles import read_token_files, write_token_files
     from .tokens import vocabulary
 
-    path = f"{shared_folder(spark)}/topicloom/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    path = new_folder(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"))
     return read_token_files(spark, path)
 

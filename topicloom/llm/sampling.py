@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -267,13 +266,14 @@ class Lattice:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
 def lattice(path: str, alpha: float) -> Lattice:
-    return Lattice(path, alpha)
+    """One for each worker process."""
+    return common.held(f"lattice:{path}:{alpha}", lambda: Lattice(path, alpha))
 
 
 def sampled(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Per row: key, n_pieces, ids_crc32 (little-endian unsigned 32 bits), lossless, and ``ids`` as such bytes if asked for."""
+    docs = common.small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

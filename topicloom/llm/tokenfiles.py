@@ -62,6 +62,7 @@ _SEGMENTS = "file int, segment int, n_ids long, payload binary"
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, leading: bool = True, end_id: int = 0, id_bits: int = 16, files: int | None = None, block: int = 2048, segment_ids: int = 4 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes all of ``docs`` to ``path``; each file's name is its place in the order of ids."""
+    docs = common.small_batches(docs)
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = int(end_id).to_bytes(4, "little")
 
@@ -78,7 +79,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, leading: bool
 
         for batch in batches:
             _, offsets = common.buffers(batch.column(1))
-            for i, j in common.slices(offsets, 2 << 20):
+            for i, j in common.slices(offsets, 1 << 20):
                 for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
                     if parts and held + len(ids) // 4 + 1 > segment_ids:
                         yield done()

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,11 @@ _AFTER_SPACE = re.compile(r"\s ")
 class UnitEncoder:
     """Little-endian unsigned 32-bit ids of texts as byte strings. ``leading``: a blank belongs to the unit after it."""
 
-    def __init__(self, path: str, leading: bool, most: int = 700_000, longest: int = 40):
+    def __init__(self, path: str, leading: bool, most: int = 500_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.joint = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         marks = [(n, t.content) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = marks[-1] if marks else (-1, "")
@@ -42,13 +41,15 @@ class UnitEncoder:
         if not self.mark or any(self.mark[:2] in u for u in units):
             return self._encode(units)
         out: list[bytes] = []
+        self.tokenizer.encode_special_tokens = False
         for i in range(0, len(units), step):
-            ids = np.array(self.joint.encode_batch_fast([self.mark.join(units[i : i + step])], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(units[i : i + step])], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
             for cut in (4 * np.flatnonzero(ids == self.mark_id)).tolist():
                 out.append(raw[at:cut])
                 at = cut + 4
             out.append(raw[at:])
+        self.tokenizer.encode_special_tokens = True
         return out
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
@@ -113,10 +114,9 @@ def loosened(column: pa.Array) -> list[str]:
     return [text[a:b].decode() for a, b in zip(shift[:-1].tolist(), shift[1:].tolist(), strict=True)]
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, leading: bool) -> UnitEncoder:
     """One for each worker process and vocabulary."""
-    return UnitEncoder(path, leading)
+    return common.held(f"encoder:{path}:{leading}", lambda: UnitEncoder(path, leading))
 
 
 def vocabulary(name: str) -> str:
