@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-ARTICLE_RAW = T._parse_datatype_string("title string, description string, url string, source string, published_at string, published_date string")
-ARTICLE = T._parse_datatype_string("title string, description string, url string, source string, published_at string, published_date string, url_normalized string, bias string, outlet string, publisher string, site_name string, source_name string")
+_S, _I, _L, _D = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+_TEXTS, _PERCENT = T.ArrayType(_S), T.MapType(_S, _I)
+
+
+def _row(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+ARTICLE_RAW = _row(title=_S, description=_S, url=_S, source=_S, published_at=_S, published_date=_S)
+ARTICLE = T.StructType([*ARTICLE_RAW.fields, *_row(url_normalized=_S, bias=_S, outlet=_S, publisher=_S, site_name=_S, source_name=_S).fields])
 #: Order is data: position in the input, and the cluster's position.
-ORDERED = T._parse_datatype_string("ord long, cluster_id long")
-CLUSTER = T.StructType([T.StructField("topic", T.StringType()), T.StructField("articles", T.ArrayType(ARTICLE)), T.StructField("bias_distribution", T.MapType(T.StringType(), T.IntegerType()))])
-DIVERSITY = T._parse_datatype_string("unique_domains int, total_with_domain int, top_domain struct<domain:string,share:double>, entropy double")
-FINAL_CLUSTER = T.StructType([*CLUSTER.fields, T.StructField("source_diversity", DIVERSITY), *T._parse_datatype_string("source_concentration double, today_ratio double, eventness_label string").fields])
-EMBEDDING_CACHE = T._parse_datatype_string("key string, v array<float>, model string, ts long")
-SUMMARY_CACHE = T._parse_datatype_string("key string, headline string, summary string, takeaways array<string>, ts long")
-EVENT_CACHE = T._parse_datatype_string("key string, label string, why string")
-SUMMARY = T._parse_datatype_string(
-    "topic_title string, summary string, takeaways array<string>, bias_distribution map<string,int>, sources array<string>, num_sources int, html_chips string, "
-    "image_query string, image_url string, image_alt string, image_description string, image_credit string, image_credit_short string, image_source string, image_source_url string, image_license string, image_width int, image_max_width int, "
-    "category string, category_slug string, category_score double, category_runner_up string, category_runner_up_score double"
+ORDERED = _row(ord=_L, cluster_id=_L)
+CLUSTER = _row(topic=_S, articles=T.ArrayType(ARTICLE), bias_distribution=_PERCENT)
+DIVERSITY = _row(unique_domains=_I, total_with_domain=_I, top_domain=_row(domain=_S, share=_D), entropy=_D)
+FINAL_CLUSTER = T.StructType([*CLUSTER.fields, *_row(source_diversity=DIVERSITY, source_concentration=_D, today_ratio=_D, eventness_label=_S).fields])
+EMBEDDING_CACHE = _row(key=_S, v=T.ArrayType(T.FloatType()), model=_S, ts=_L)
+SUMMARY_CACHE = _row(key=_S, headline=_S, summary=_S, takeaways=_TEXTS, ts=_L)
+EVENT_CACHE = _row(key=_S, label=_S, why=_S)
+SUMMARY = T.StructType(
+    [
+        *_row(topic_title=_S, summary=_S, takeaways=_TEXTS, bias_distribution=_PERCENT, sources=_TEXTS, num_sources=_I, html_chips=_S).fields,
+        *_row(image_query=_S, image_url=_S, image_alt=_S, image_description=_S, image_credit=_S, image_credit_short=_S, image_source=_S, image_source_url=_S, image_license=_S, image_width=_I, image_max_width=_I).fields,
+        *_row(category=_S, category_slug=_S, category_score=_D, category_runner_up=_S, category_runner_up_score=_D).fields,
+    ]
 )
