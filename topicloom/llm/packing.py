@@ -24,26 +24,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import encoder, loosened
+from .tokens import SPLITS, encoder
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, place long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, leading: bool = False, loose: bool = True, end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece; ``place`` numbers the pieces of one length within a task. ``leading``, ``loose``: see ``tokens``."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, split: str = "words", end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per piece; ``place`` numbers the pieces of one length within a task. ``split``: see ``tokens``."""
     docs = common.small_batches(docs)
     names = [x.split()[0] for x in _PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(vocabulary, leading), TaskContext.get().partitionId()
+        encode, task = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             _, offsets = common.buffers(batch.column(1))
             for i, j in common.slices(offsets, 1 << 20):
                 out: list[tuple] = []
                 part = batch.column(1).slice(i, j - i)
-                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(loosened(part) if loose else part.to_pylist()), strict=True):
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(SPLITS[split](part)), strict=True):
                     ids += end
                     for k, lo in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[lo : lo + 4 * capacity]

@@ -4,10 +4,10 @@ Ids are cut into blocks; each block has its own tables and coder state and can b
 side: step t codes the t-th id of every block, so each operation is one NumPy call over all blocks.
 
 Model, per block: the id last seen after the two ids before (order 2), the id last seen after the id before (order 1),
-each with a confidence from 0 to 3, and the last id of each of 256 hash slots (order 0). An id is one of four events:
+each with a count of its hits up to 3, and the last id of each of 256 hash slots (order 0). An id is one of four events:
 as order 2 says, as order 1 says, in its order-0 slot (8 more bits), or new (``id_bits`` more bits). The events' mixed
-frequencies are the sum of two adaptive tables, one chosen by the order-2 confidence and whether both orders agree, one
-by the order-1 confidence. A carryless range coder with 64 bits, put out in 16-bit words, codes event and further bits.
+frequencies are weighted sums of two adaptive tables, one chosen by the order-2 count and whether both orders agree, one
+by the order-1 count. A range coder with a 64-bit range, put out in 32-bit words with carry, codes event and further bits.
 """
 
 from __future__ import annotations
@@ -15,136 +15,156 @@ from __future__ import annotations
 import numpy as np
 
 _U = np.uint64
-_TOP, _LEAST = _U(1 << 48), _U(1 << 40)
-_ORDER1, _ORDER2 = 10, 11
+_FULL, _LEAST, _WORD = _U((1 << 64) - 1), _U(1 << 32), _U(32)
+_ORDER1, _ORDER2 = 9, 10
+
+#: An event's range is at least 2**32 / 2**14 before its further bits, so these may be 17.
+MOST_BITS = 17
 
 
 class _Model:
     def __init__(self, blocks: int, id_bits: int):
-        self.n = blocks
+        if not 1 <= id_bits <= MOST_BITS:
+            raise ValueError(f"ids of 1 to {MOST_BITS} bits can be coded, not {id_bits}")
         lane = np.arange(blocks, dtype=np.int64)
+        ids = np.arange(1 << id_bits, dtype=np.int64)
         self.lane = lane
-        self.one, self.two, self.zero = np.zeros(blocks << _ORDER1, np.int64), np.zeros(blocks << _ORDER2, np.int64), np.zeros(blocks << 8, np.int64)
+        self.slot_of = (ids * 0x9E3779B1 >> 16) & 255
+        self.near, self.far = (ids * 0x85EBCA6B >> 14) & ((1 << _ORDER2) - 1), (ids * 0xC2B2AE35 >> 12) & ((1 << _ORDER2) - 1)
+        self.one, self.two, self.zero = np.zeros(blocks << _ORDER1, np.int32), np.zeros(blocks << _ORDER2, np.int32), np.zeros(blocks << 8, np.int32)
         self.at1, self.at2, self.at0 = lane << _ORDER1, lane << _ORDER2, lane << 8
-        self.by2, self.by1 = np.full((blocks * 8, 4), 16, np.int32), np.full((blocks * 4, 4), 16, np.int32)
-        self.at_by2, self.at_by1 = lane * 8, lane * 4
-        self.x1, self.x2 = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
+        self.by2, self.by1 = np.zeros((blocks * 8, 4), np.int32), np.zeros((blocks * 4, 4), np.int32)
+        self.flat2, self.flat1 = self.by2.reshape(-1), self.by1.reshape(-1)
+        self.at_a, self.at_b = lane << 3, lane << 2
+        self.far_part = np.zeros(blocks, np.int64)
+        self.x = np.zeros(blocks, np.int64)
         self.extra = np.array([0, 0, 8, id_bits], np.uint64)
-        self.flat = lane * 4
+        self.cum = np.empty((4, blocks), np.int32)
 
     def look(self) -> None:
-        """Predictions and event frequencies for the next id."""
-        self.i2 = self.at2 + (((self.x2 * 0x2F0B4C47 + self.x1 * 0x1B873593) >> 13) & ((1 << _ORDER2) - 1))
-        self.i1 = self.at1 + (self.x1 & ((1 << _ORDER1) - 1))
-        v2, v1 = self.two.take(self.i2), self.one.take(self.i1)
-        self.p2, self.c2, self.p1, self.c1 = v2 >> 2, v2 & 3, v1 >> 2, v1 & 3
-        self.a = self.at_by2 + (self.c2 << 1) + (self.p1 == self.p2)
-        self.b = self.at_by1 + self.c1
-        self.fa, self.fb = self.by2.take(self.a, axis=0), self.by1.take(self.b, axis=0)
-        self.f = self.fa + self.fb + np.int32(1)
-        self.cum = np.cumsum(self.f, axis=1)
+        """Predictions for the next id, and running frequencies of its events in ``cum``."""
+        self.i2 = self.at2 + (self.near.take(self.x) ^ self.far_part)
+        self.i1 = self.at1 + (self.x & ((1 << _ORDER1) - 1))
+        self.v2, self.v1 = self.two.take(self.i2), self.one.take(self.i1)
+        self.p2, self.p1 = self.v2 >> 2, self.v1 >> 2
+        self.a = self.at_a + ((self.v2 & 3) << 1) + (self.p1 == self.p2)
+        self.b = self.at_b + (self.v1 & 3)
+        f = self.by2.take(self.a, axis=0)
+        f <<= 1
+        f += self.by1.take(self.b, axis=0)
+        f += 1
+        cum, f = self.cum, f.T
+        cum[0] = f[0]
+        for k in (1, 2, 3):
+            np.add(cum[k - 1], f[k], out=cum[k])
+
+    def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(what comes before the event, what it has) of the frequencies."""
+        flat = self.cum.reshape(-1)
+        at = event * len(self.lane) + self.lane
+        upto = flat.take(at)
+        below = np.where(event > 0, flat.take(np.maximum(at - len(self.lane), 0)), 0)
+        return below.astype(_U), (upto - below).astype(_U)
 
     def learn(self, x: np.ndarray, event: np.ndarray, slot: np.ndarray) -> None:
         """``slot``: the order-0 slot of each id."""
-        self.zero[slot] = x
-        for table, i, p, c in ((self.two, self.i2, self.p2, self.c2), (self.one, self.i1, self.p1, self.c1)):
-            hit = p == x
-            keep = hit | (c > 0)
-            table[i] = (np.where(keep, p, x) << 2) + np.minimum(np.where(hit, c + 1, np.maximum(c - 1, 0)), 3)
-        hot = self.flat + event
-        for table, i, f in ((self.by2, self.a, self.fa), (self.by1, self.b, self.fb)):
-            f -= f >> 4
-            f.reshape(-1)[hot] += 64
-            table[i] = f
-        self.x2, self.x1 = self.x1, x
-
-    def slot(self, x: np.ndarray) -> np.ndarray:
-        return self.at0 + (((x * 0x9E3779B1) >> 16) & 255)
+        low = x.astype(np.int32)
+        self.zero[slot] = low
+        fresh = low << 2
+        self.two[self.i2] = np.where(self.p2 == low, self.v2 + ((self.v2 & 3) < 3), fresh)
+        self.one[self.i1] = np.where(self.p1 == low, self.v1 + ((self.v1 & 3) < 3), fresh)
+        self.flat2[(self.a << 2) + event] += 1
+        self.flat1[(self.b << 2) + event] += 1
+        self.far_part = self.far.take(self.x)
+        self.x = x
 
 
 def encode(ids: np.ndarray, block: int, id_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(16-bit words of all blocks, one block after another; words of each block). Needs at least one id."""
+    """(32-bit words of all blocks, one block after another; words of each block). Needs at least one id."""
     blocks = -(-len(ids) // block)
     steps = block if blocks > 1 else len(ids)
     x = np.zeros(blocks * steps, np.int64)
     x[: len(ids)] = ids
     x = np.ascontiguousarray(x.reshape(blocks, steps).T)
     m = _Model(blocks, id_bits)
-    out = np.zeros((blocks, 2 * steps + 8), np.uint16)
-    pos, low, rng = np.zeros(blocks, np.int64), np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U)
+    width = steps + 4
+    out = np.zeros(blocks * width, np.uint32)
+    pos, low, rng = m.lane * width, np.zeros(blocks, _U), np.full(blocks, _FULL, _U)
+
+    def carry(at: np.ndarray) -> None:
+        while len(at):
+            out[at] += np.uint32(1)
+            at = at[out[at] == 0] - 1
+
     for t in range(steps):
         m.look()
         now = x[t]
-        slot = m.slot(now)
-        event = np.where(now == m.p2, 0, np.where(now == m.p1, 1, np.where(m.zero.take(slot) == now, 2, 3)))
-        hot = m.flat + event
-        fe = m.f.reshape(-1).take(hot)
-        ce = m.cum.reshape(-1).take(hot) - fe
-        r = rng // m.cum[:, 3].astype(_U)
-        low += r * ce.astype(_U)
-        rng = r * fe.astype(_U)
-        rng >>= m.extra.take(event)
-        low += rng * np.where(event == 3, now, np.where(event == 2, slot - m.at0, 0)).astype(_U)
+        low32 = now.astype(np.int32)
+        slot = m.at0 + m.slot_of.take(now)
+        event = np.where(m.zero.take(slot) == low32, 2, 3)
+        event[m.p1 == low32] = 1
+        event[m.p2 == low32] = 0
+        below, own = m.share(event)
+        r = rng // m.cum[3].astype(_U)
+        step = r * below
+        rng = (r * own) >> m.extra.take(event)
+        more = np.where(event == 3, now, np.where(event == 2, slot - m.at0, 0)).astype(_U)
+        step += rng * more
+        low += step
+        over = np.flatnonzero(low < step)
+        if len(over):
+            carry(pos[over] - 1)
         m.learn(now, event, slot)
-        while True:
-            apart = (low ^ (low + rng)) >= _TOP
-            go = np.flatnonzero(~apart | (rng < _LEAST))
-            if not len(go):
-                break
-            lo, ra = low[go], rng[go]
-            ra = np.where(apart[go], (~lo + _U(1)) & (_LEAST - _U(1)), ra)
-            out[go, pos[go]] = lo >> _U(48)
+        go = np.flatnonzero(rng < _LEAST)
+        if len(go):
+            lo = low[go]
+            out[pos[go]] = lo >> _WORD
             pos[go] += 1
-            low[go] = lo << _U(16)
-            rng[go] = ra << _U(16)
-    for _ in range(4):
-        out[m.lane, pos] = low >> _U(48)
-        low <<= _U(16)
+            low[go] = lo << _WORD
+            rng[go] <<= _WORD
+    for _ in range(2):
+        out[pos] = low >> _WORD
+        low <<= _WORD
         pos += 1
-    return out[np.arange(out.shape[1])[None, :] < pos[:, None]], pos
+    sizes = pos - m.lane * width
+    return out.reshape(blocks, width)[np.arange(width)[None, :] < sizes[:, None]], sizes
 
 
 def decode(words: np.ndarray, sizes: np.ndarray, n: int, block: int, id_bits: int) -> np.ndarray:
     """The ``n`` ids of ``encode``; also of some of its blocks, given their words and sizes."""
     blocks = len(sizes)
     steps = block if n > block else n
-    ends = np.cumsum(sizes)
-    pos = ends - sizes
-    padded = np.concatenate([words, np.zeros(8, np.uint16)]).astype(_U)
+    pos = np.cumsum(sizes) - sizes
+    held = np.concatenate([words, np.zeros(4, np.uint32)]).astype(_U)
     m = _Model(blocks, id_bits)
-    low, rng, code = np.zeros(blocks, _U), np.full(blocks, (1 << 64) - 1, _U), np.zeros(blocks, _U)
-    for _ in range(4):
-        code = code << _U(16) | padded[pos]
-        pos += 1
-    out = np.zeros((steps, blocks), np.int64)
+    code, rng = held[pos] << _WORD | held[pos + 1], np.full(blocks, _FULL, _U)
+    pos = pos + 2
+    out = np.empty((steps, blocks), np.int32)
     most = (_U(1) << m.extra) - _U(1)
     for t in range(steps):
         m.look()
-        total = m.cum[:, 3].astype(_U)
-        r = rng // total
-        v = np.minimum((code - low) // r, total - _U(1)).astype(np.int32)
-        event = (v[:, None] >= m.cum[:, :3]).sum(axis=1)
-        hot = m.flat + event
-        fe = m.f.reshape(-1).take(hot)
-        ce = m.cum.reshape(-1).take(hot) - fe
-        low += r * ce.astype(_U)
-        rng = r * fe.astype(_U)
-        rng >>= m.extra.take(event)
-        more = np.minimum((code - low) // rng, most.take(event))
-        low += rng * more
-        more = more.astype(np.int64)
-        now = np.where(event == 0, m.p2, np.where(event == 1, m.p1, np.where(event == 3, more, m.zero.take(m.at0 + (more & 255)))))
+        cum = m.cum
+        r = rng // cum[3].astype(_U)
+        v = np.minimum(code // r, _FULL >> _U(33)).astype(np.int32)
+        event = (v >= cum[0]).astype(np.int64)
+        event += v >= cum[1]
+        event += v >= cum[2]
+        below, own = m.share(event)
+        code -= r * below
+        rng = (r * own) >> m.extra.take(event)
+        now = np.where(event == 0, m.p2, m.p1).astype(np.int64)
+        hard = np.flatnonzero(event > 1)
+        if len(hard):
+            rh, eh = rng[hard], event[hard]
+            more = np.minimum(code[hard] // rh, most.take(eh))
+            code[hard] -= rh * more
+            more = more.astype(np.int64)
+            now[hard] = np.where(eh == 3, more, m.zero.take(m.at0[hard] + (more & 255)))
         out[t] = now
-        m.learn(now, event, m.slot(now))
-        while True:
-            apart = (low ^ (low + rng)) >= _TOP
-            go = np.flatnonzero(~apart | (rng < _LEAST))
-            if not len(go):
-                break
-            lo, ra = low[go], rng[go]
-            ra = np.where(apart[go], (~lo + _U(1)) & (_LEAST - _U(1)), ra)
-            code[go] = code[go] << _U(16) | padded[np.minimum(pos[go], len(words))]
+        m.learn(now, event, m.at0 + m.slot_of.take(now))
+        go = np.flatnonzero(rng < _LEAST)
+        if len(go):
+            code[go] = code[go] << _WORD | held[np.minimum(pos[go], len(words))]  # damaged blocks may ask for more
             pos[go] += 1
-            low[go] = lo << _U(16)
-            rng[go] = ra << _U(16)
-    return out.T.reshape(-1)[:n]
+            rng[go] <<= _WORD
+    return out.T.reshape(-1)[:n].astype(np.int64)

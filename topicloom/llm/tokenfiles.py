@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, rangecoder
-from .tokens import encoder
+from .tokens import SPLITS, encoder
 
 _MAGIC, _HEAD = b"TLID", struct.Struct("<4sHHIQII")
 _NULL = -(1 << 63)
@@ -34,7 +34,7 @@ def pack_segment(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: in
     sums = np.array([zlib.crc32(raw[i : i + 4 * block]) for i in range(0, len(raw), 4 * block)], "<u4")
     index = zlib.compress(keys.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + sums.tobytes(), 1)
     head = _HEAD.pack(_MAGIC, 1, id_bits, block, len(ids), len(keys), len(index))
-    body = head + index + words.astype("<u2").tobytes()
+    body = head + index + words.astype("<u4").tobytes()
     return body + struct.pack("<I", zlib.crc32(head + index))
 
 
@@ -50,7 +50,7 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.frombuffer(index, "<u4", docs, 8 * docs).astype(np.int64)
     counts = np.frombuffer(index, "<u4", blocks, 12 * docs).astype(np.int64)
     sums = np.frombuffer(index, "<u4", blocks, 12 * docs + 4 * blocks)
-    ids = rangecoder.decode(np.frombuffer(data, "<u2", int(counts.sum()), at + size), counts, n, block, id_bits)
+    ids = rangecoder.decode(np.frombuffer(data, "<u4", int(counts.sum()), at + size), counts, n, block, id_bits)
     raw = ids.astype("<u4").tobytes()
     if any(zlib.crc32(raw[4 * block * i : 4 * block * (i + 1)]) != s for i, s in enumerate(sums)):
         raise ValueError("a block's checksum doesn't match its ids")
@@ -60,14 +60,14 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SEGMENTS = "file int, segment int, n_ids long, payload binary"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, leading: bool = True, end_id: int = 0, id_bits: int = 16, files: int | None = None, block: int = 2048, segment_ids: int = 4 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, split: str = "bytes", end_id: int = 0, id_bits: int = 16, files: int | None = None, block: int = 1024, segment_ids: int = 8 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes all of ``docs`` to ``path``; each file's name is its place in the order of ids."""
     docs = common.small_batches(docs)
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = int(end_id).to_bytes(4, "little")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, file, segment = encoder(vocabulary, leading), TaskContext.get().partitionId(), 0
+        encode, file, segment = encoder(vocabulary), TaskContext.get().partitionId(), 0
         keys: list[int] = []
         parts: list[bytes] = []
         held = 0
@@ -80,7 +80,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, leading: bool
         for batch in batches:
             _, offsets = common.buffers(batch.column(1))
             for i, j in common.slices(offsets, 1 << 20):
-                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(batch.column(1).slice(i, j - i).to_pylist()), strict=True):
+                for key, ids in zip(batch.column(0).slice(i, j - i).to_pylist(), encode.batch(SPLITS[split](batch.column(1).slice(i, j - i))), strict=True):
                     if parts and held + len(ids) // 4 + 1 > segment_ids:
                         yield done()
                         keys, parts, held, segment = [], [], 0, segment + 1

@@ -1,14 +1,13 @@
 """Token ids of whole texts by a public tokenizer, with a bounded memory of units already encoded.
 
-Both vocabularies split a text before merging pieces, and never merge across a blank; so a text's ids are those of its
-blank-separated units, one after another. Texts in which a blank follows white space, where the split depends on more
-than one unit, are encoded as a whole. The ids are the library's own in both cases.
+A tokenizer splits a text before it merges pieces, and merges nothing across such a split. So a text may be cut where the
+tokenizer certainly splits it, and its ids are those of its units, one after another: the library's own ids, while each
+different unit is encoded once. ``parted`` and ``loosened`` cut texts for the two kinds of vocabulary in use.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
@@ -16,13 +15,11 @@ import pyarrow as pa
 
 from . import common
 
-_AFTER_SPACE = re.compile(r"\s ")
-
 
 class UnitEncoder:
-    """Little-endian unsigned 32-bit ids of texts as byte strings. ``leading``: a blank belongs to the unit after it."""
+    """Little-endian unsigned 32-bit ids of texts as byte strings."""
 
-    def __init__(self, path: str, leading: bool, most: int = 500_000, longest: int = 40):
+    def __init__(self, path: str, most: int = 500_000, longest: int = 40):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,16 +27,16 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         marks = [(n, t.content) for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.mark_id, self.mark = marks[-1] if marks else (-1, "")
-        self.leading, self.most, self.longest = leading, most, longest
+        self.most, self.longest = most, longest
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_units(self, units: list[str], step: int = 100) -> list[bytes]:
+    def _units(self, units: list[str], step: int = 100) -> list[bytes]:
         """Many short texts in one call, with a special token between them that stands in none of them."""
         if not self.mark or any(self.mark[:2] in u for u in units):
-            return self._encode(units)
+            return self.whole(units)
         out: list[bytes] = []
         self.tokenizer.encode_special_tokens = False
         for i in range(0, len(units), step):
@@ -52,29 +49,13 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         return out
 
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """A null is an empty text, without ids."""
-        known, sep = self.known, " " if self.leading else ""
-        split: list[list[str] | None] = []
-        whole: list[str] = []  # texts that can't be split, and first units, which have no blank before them
-        for text in texts:
-            text = text or ""
-            if self.leading and (text[:1] == " " or _AFTER_SPACE.search(text)):
-                split.append(None)
-                whole.append(text)
-                continue
-            units = text.split(" ")
-            if self.leading:
-                whole.append(units.pop(0))
-            split.append(units)
-        fresh = list(set().union(*(u for u in split if u)).difference(known))
-        known.update(zip(fresh, self._encode_units([sep + u for u in fresh] if sep else fresh), strict=True))
-        heads = iter(self._encode(whole))
+    def batch(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are given as their units."""
+        known = self.known
+        fresh = list(set().union(*texts).difference(known))
+        known.update(zip(fresh, self._units(fresh), strict=True))
         get = known.__getitem__
-        out = []
-        for units in split:
-            head = next(heads) if self.leading else b""
-            out.append(head + b"".join(map(get, units)) if units else head)
+        out = [b"".join(map(get, units)) for units in texts]
         full = len(known) > self.most  # what came first stays: the frequent units are among it
         for u in fresh:
             if full or len(u) > self.longest:
@@ -82,41 +63,85 @@ class UnitEncoder:
         return out
 
 
-_SOLID = np.zeros(256, bool)  # letters and digits, as the last byte before a mark
-_SOLID[[*range(48, 58), *range(97, 123)]] = True
-_GAP = np.zeros(256, bool)
-_GAP[[9, 10, 13, 32]] = True
+def _table(*codes: int) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(codes)] = True
+    return out
+
+
+_DIGITS, _CAPITALS, _SMALL = range(48, 58), range(65, 91), range(97, 123)
+_SOLID = _table(*_DIGITS, *_CAPITALS, *_SMALL)
+_LETTER = _table(*_CAPITALS, *_SMALL)
+_GAP = _table(9, 10, 13, 32)
+_BLANK = _table(*range(9, 14), *range(28, 33))
 
 
-def loosened(column: pa.Array) -> list[str]:
-    """Texts with more units in common, for a vocabulary that lower-cases, drops white space and parts letters from marks.
+def _marks(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Commas and full stops between a letter or digit and white space or the text's end."""
+    solid = np.zeros(len(body), bool)
+    solid[1:] = _SOLID[body[:-1]]
+    if len(body) > 2:  # Latin-1 letters in two bytes, without the two signs among them
+        solid[2:] |= (body[:-2] == 0xC3) & (body[1:-1] != 0x97) & (body[1:-1] != 0xB7)
+    after = np.append(_GAP[body][1:], True)
+    ends = offsets[1:-1]
+    after[ends[ends > 0] - 1] = True
+    return ((body == 44) | (body == 46)) & solid & after
+
+
+def _cut(body: np.ndarray, offsets: np.ndarray, cut: np.ndarray) -> list[list[str]]:
+    """Units of each text, which begin where ``cut`` is true."""
+    cut[offsets[:-1][offsets[:-1] < len(body)]] = False
+    at = np.flatnonzero(cut)
+    shift = offsets + np.searchsorted(at, offsets)
+    text = np.insert(body, at, 0).tobytes()
+    return [text[a:b].decode().split("\0") if b > a else [] for a, b in zip(shift[:-1].tolist(), shift[1:].tolist(), strict=True)]
+
 
-    ASCII letters become lower case, line ends and tabs blanks, and a comma or full stop between a letter or digit and
-    white space gets a blank before it. Such a vocabulary gives the same ids for both forms.
+def _plain(column: pa.Array) -> list[list[str]]:
+    return [[t] if t else [] for t in column.to_pylist()]
+
+
+def parted(column: pa.Array) -> list[list[str]]:
+    """Units for a byte-level vocabulary that keeps all text: a blank belongs to the word after it.
+
+    A unit begins at a run of white space after another character, at a comma or full stop that ends a word, and at a
+    letter after a single line end. Texts that hold the byte 0 are one unit.
     """
     body, offsets = common.buffers(column)
-    if not len(body):
-        return [""] * len(column)
+    if not len(body) or not body.all():
+        return _plain(column)
+    blank = _BLANK[body]
+    wide = np.zeros(len(body), bool)
+    wide[1:] = (body[:-1] >= 0xC3) & (body[:-1] <= 0xDF)  # leading bytes of characters that are no white space
+    dark = np.zeros(len(body), bool)  # the character before certainly isn't white space
+    dark[1:] = np.where(body[:-1] < 128, ~blank[:-1], wide[:-1])
+    line = np.zeros(len(body), bool)
+    line[1:] = ((body == 10) & dark)[:-1]
+    return _cut(body, offsets, blank & dark | _marks(body, offsets) | line & _LETTER[body])
+
+
+def loosened(column: pa.Array) -> list[list[str]]:
+    """Units for a vocabulary that lower-cases, drops white space and parts letters from marks: words without blanks."""
+    body, offsets = common.buffers(column)
+    if not len(body) or not body.all():
+        return _plain(column)
     low = common.LOWER[body]
-    before = np.zeros(len(low), bool)
-    before[1:] = _SOLID[low[:-1]]
-    if len(low) > 2:  # Latin-1 letters in two bytes, without the two signs among them
-        before[2:] |= (low[:-2] == 0xC3) & (low[1:-1] != 0x97) & (low[1:-1] != 0xB7)
-    gap = _GAP[low]
-    after = np.append(gap[1:], True)
-    ends = offsets[1:-1]
-    after[ends[ends > 0] - 1] = True
-    before[offsets[:-1][offsets[:-1] < len(low)]] = False
-    at = np.flatnonzero(((low == 44) | (low == 46)) & before & after)
-    low[gap] = 32
+    cut = _marks(low, offsets)
+    cut[offsets[:-1][offsets[:-1] < len(low)]] = False
+    low[_GAP[low]] = 32
+    at = np.flatnonzero(cut)
     shift = offsets + np.searchsorted(at, offsets)
     text = np.insert(low, at, 32).tobytes()
-    return [text[a:b].decode() for a, b in zip(shift[:-1].tolist(), shift[1:].tolist(), strict=True)]
+    return [text[a:b].decode().split(" ") for a, b in zip(shift[:-1].tolist(), shift[1:].tolist(), strict=True)]
+
+
+#: How texts may be cut for a vocabulary; ``whole`` is right for any.
+SPLITS = {"whole": _plain, "bytes": parted, "words": loosened}
 
 
-def encoder(path: str, leading: bool) -> UnitEncoder:
+def encoder(path: str) -> UnitEncoder:
     """One for each worker process and vocabulary."""
-    return common.held(f"encoder:{path}:{leading}", lambda: UnitEncoder(path, leading))
+    return common.held(f"encoder:{path}", lambda: UnitEncoder(path))
 
 
 def vocabulary(name: str) -> str:
