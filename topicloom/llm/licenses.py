@@ -103,10 +103,14 @@ def _sliced(batch: pa.RecordBatch, column: int):
 
 
 def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int = 3, extra: list[tuple[str, str]] = ()) -> DataFrame:
-    """Verified spans of each different text: k1, k2 (its address), label, first_word, last_word, coverage."""
+    """Verified spans of each different text: k1, k2 (its address), label, first_word, last_word, coverage.
+
+    A span needs ``share`` of its template's words, a short template nearly all of them: notices differ by few words.
+    """
     keyed = docs.select(*_address(text), F.col(text).alias("text"))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             for i, j, hashes, first in _sliced(batch, 2):
                 rolled = common.shingle_hashes(hashes, K).view(np.int64)
@@ -129,7 +133,7 @@ def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int =
         F.max(F.col("diagonal") + F.array_max("ats") + K - 1).alias("last_word"),
     )
     covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda t: F.sequence(t, t + K - 1)))))
-    return joined.withColumn("coverage", covered / F.col("size")).filter(F.col("coverage") >= share).select("k1", "k2", "label", "first_word", "last_word", "coverage")
+    return joined.withColumn("coverage", covered / F.col("size")).filter(F.col("coverage") >= F.greatest(F.lit(share), 1 - F.col("size") / 50)).select("k1", "k2", "label", "first_word", "last_word", "coverage")
 
 
 def _address(text: str) -> list:
@@ -144,6 +148,7 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options)
     label = list(PHRASES.values())
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             for i, j, hashes, first in _sliced(batch, 3):
                 at, kind = _phrase_hits(hashes, first)
