@@ -5,6 +5,7 @@ Every hash here is a function of the bytes alone, so a task that is run again gi
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from topicloom.sources.tables import drop_table, new_folder, written
 
-__all__ = ["BASE", "LOWER", "buffers", "drop_table", "held", "id_crc32", "mix", "new_folder", "shingle_hashes", "slices", "small_batches", "table", "word_hashes", "words", "written"]
+__all__ = ["BASE", "LOWER", "buffers", "drop_table", "held", "id_crc32", "mix", "new_folder", "release", "shingle_hashes", "slices", "small_batches", "table", "word_hashes", "words", "written"]
 
 #: Odd multiplier of the rolling polynomial hash, modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -28,12 +29,22 @@ _HELD: dict[str, object] = {}
 def held(name: str, make: Callable[[], object]) -> object:
     """What a worker process keeps between tasks (a vocabulary with its cache, a lattice): one such thing at a time."""
     if name not in _HELD:
-        _HELD.clear()
-        gc.collect()
+        release()
         _HELD[name] = make()
     return _HELD[name]
 
 
+def release() -> None:
+    """Gives back what other operators' tasks left in this worker process."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library: memory goes back when it likes
+            pass
+
+
 def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
     """``df``, after its session's Arrow batches are bounded: what a worker holds then doesn't grow with the texts."""
     conf = df.sparkSession.conf

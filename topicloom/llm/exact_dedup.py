@@ -77,6 +77,7 @@ def _spill(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     schema = T.StructType([keyed.schema["row"], *T._parse_datatype_string(_SPILL).fields])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             rows = batch.column(0)
             texts, ids = rows.field(text), rows.field(doc_id).cast(pa.int64()).to_pylist()

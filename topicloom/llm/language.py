@@ -161,6 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         model_ = shared.value
         for batch in batches:
             texts = batch.column(at)

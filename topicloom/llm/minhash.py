@@ -98,6 +98,7 @@ def _prepared(docs: DataFrame, text: str) -> DataFrame:
     schema = T.StructType([*keyed.schema.fields, *T._parse_datatype_string("n_shingles long, print binary, bands array<long>").fields])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             texts = batch.column(0).field(text)
             body, offsets = common.buffers(texts)
@@ -119,6 +120,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     joined = pairs.join(held.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             (left, at), (right, bt) = common.buffers(batch.column(2)), common.buffers(batch.column(3))
             last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -144,6 +146,7 @@ def _shared(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, shared: how many shingles of its set stand in the set of one of ``nodes`` with another label; node, grams)."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             body, offsets = common.buffers(batch.column(2))
             for i, j in common.slices(offsets, 1 << 20):
@@ -187,7 +190,7 @@ def _met(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     fr, fc = both_[pr] == gr, both_[pc] == gc
     pr, ir, pc, ic = pr[fr], ir[fr], pc[fc], ic[fc]
     inter = np.zeros((len(rows), len(cols)), np.float32)
-    step = 8192
+    step = 2048
     for lo in range(0, len(both), step):
         left, right = np.zeros((len(rows), step), np.float32), np.zeros((len(cols), step), np.float32)
         now = (pr >= lo) & (pr < lo + step)
@@ -237,7 +240,7 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: in
     return common.written(dealt.join(sets, "node").groupBy("component", "i", "j").applyInArrow(meet, "a long, b long"), "across")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, block: int = 300_000) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, block: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(signature rows: row, row_id, n_shingles, print; print, component_id, keep_row of each class of equal sets)."""
     rows = _prepared(docs, text)
     some = rows.filter("n_shingles > 0")

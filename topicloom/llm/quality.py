@@ -172,6 +172,7 @@ def assess(docs: DataFrame, model: QualityModel, text: str = "text", into: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in batches:
             found = pa.array(shared.value.score(*common.buffers(batch.column(at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], schema=pa.schema([*batch.schema, pa.field(into, found.type)]))
