@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from topicloom import schemas
 from topicloom.operators import articles as art
+from topicloom.operators import pictures
 from topicloom.plans import daily
-from topicloom.sources import caches, feeds, json_files
+from topicloom.sources import caches, feeds, images, json_files
 
 RSS = """<rss version="2.0"><channel><title>Feed</title>
 <item><title>One</title><description>first thing</description><link>https://a/1</link><pubDate>Wed, 10 Jan 2024 10:00:00 GMT</pubDate></item>
@@ -42,6 +43,23 @@ def test_api(spark):
     assert feeds.api_rows(spark, '{"status": "error"}').count() == 0
 
 
+def test_collected(spark):
+    body = json.dumps({"status": "ok", "articles": [{"title": "T", "url": "u", "source": {"name": "S"}, "publishedAt": "2024-01-10T00:00:00Z"}]})
+    german = RSS.replace("first thing", "der Mann und die Frau ist nicht mit den Kindern von dem Haus")
+    entries = feeds.feed_entries(spark, ["https://one/", "https://two/"], {}, {"https://one/": german, "https://two/": RSS})
+    got = daily.collected(feeds.api_rows(spark, body), entries).orderBy("ord").collect()
+    assert [(r["ord"], r["title"], r["source"]) for r in got] == [(0, "T", "S"), (1, "Two", "Feed"), (2, "One", "Feed"), (3, "Two", "Feed")]
+
+
+def test_image_replies(spark):
+    wiki = json.dumps({"query": {"pages": {"1": {"title": "File:Red castle.jpg", "imageinfo": [{"thumburl": "https://w/1.jpg", "extmetadata": {"ImageDescription": {"value": "<b>old</b> red castle hill"}, "LicenseShortName": {"value": "CC BY"}}}]}, "2": {"title": "File:Scan.pdf", "imageinfo": [{"thumburl": "https://w/2.pdf", "extmetadata": {"LicenseUrl": {"value": "x"}}}]}}}})
+    rows = images.encyclopedia(spark.createDataFrame([(1, "red castle hill", wiki)], "query_id long, query string, body string"))
+    assert [(r["title"], r["score"]) for r in pictures.best_found(rows).collect()] == [("File:Red castle.jpg", 3)]
+    shots = json.dumps({"results": [{"urls": {"raw": "https://p/r"}, "alt_description": "a  hill", "user": {"name": "Ann"}, "links": {"html": "h"}}, {"urls": {}}]})
+    got = images.photos(spark.createDataFrame([(1, "q", 0, shots)], "topic_id long, query string, ord int, body string")).collect()
+    assert [(r["url"], r["alt"], r["description"], r["credit"]) for r in got] == [("https://p/r&w=900&fit=max&q=80", "a hill", "a hill", "Photo: Ann / Unsplash")]
+
+
 def test_cache_round(spark, tmp_path):
     path = str(tmp_path / "cache")
     rows = spark.createDataFrame([("k1", "a"), ("k1", "a"), ("k2", "b")], "key string, t string")

@@ -183,3 +183,18 @@ def titled(title: Column) -> Column:
 
 def titled_or_linked(title: Column, link: Column) -> Column:
     return (text.or_empty(title) != "") | (text.or_empty(link) != "")
+
+
+def replicated(articles: DataFrame, weight: Column) -> DataFrame:
+    """Each article as often as its weight says."""
+    return articles.withColumn("copy", F.explode(F.sequence(F.lit(1), snippet_copies(weight))))
+
+
+def described(articles: DataFrame) -> DataFrame:
+    """Articles with a title or a description."""
+    return articles.filter((text.or_empty(F.col("title")) != "") | (text.or_empty(F.col("description")) != ""))
+
+
+def approved(clusters: DataFrame, reply: Column) -> DataFrame:
+    """Clusters for which a model's reply begins with yes, in any case; without a reply they go."""
+    return clusters.filter(F.coalesce(F.startswith(F.upper(url.stripped(reply)), F.lit("YES")), F.lit(False)))

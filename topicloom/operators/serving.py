@@ -58,6 +58,14 @@ def chips(articles: DataFrame, bias: Column, source_name: Column) -> DataFrame:
     return articles.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["html"]), " ").alias("html_chips"))
 
 
+def lean_groups(articles: DataFrame, label: Column) -> DataFrame:
+    """cluster_id, label, n, domains: a topic's sources by label, as the page lists them."""
+    from topicloom.functions import url
+
+    name = F.when(label.isin(dims.LABEL_ORDER), label).otherwise("Unknown")
+    return articles.groupBy("cluster_id", name.alias("label")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.nullif(url.domain(F.col("url")), F.lit("")))).alias("domains"))
+
+
 def totals(summaries: DataFrame) -> DataFrame:
     return summaries.agg(F.count("*").alias("topics"), F.coalesce(F.sum("num_sources"), F.lit(0)).alias("sources")).withColumn("minutes", reading_minutes(F.col("topics")))
 

@@ -40,6 +40,13 @@ def cohesion(rows: DataFrame, *by: str, most: int | None = None, lone: float | N
     return found.select(*by, "n", few("mean_sim"), few("p10_sim"), few("std_sim"))
 
 
+def cohesion_fast(rows: DataFrame, most: int = 18, least: int = 4) -> DataFrame:
+    """cluster_id, p10_sim, std_sim over the first ``most`` articles; 1 and 0 for fewer than ``least``."""
+    found = cohesion(rows, "cluster_id", most=most)
+    few = F.col("n") < least
+    return found.select("cluster_id", F.when(few, 1.0).otherwise(F.col("p10_sim")).alias("p10_sim"), F.when(few, 0.0).otherwise(F.col("std_sim")).alias("std_sim"))
+
+
 def report(rows: DataFrame, least: int = 4, most: int = 18) -> DataFrame:
     """Cohesion report, worst first: similarities of the first ``most`` articles of clusters with ``least`` or more."""
     size = rows.groupBy("cluster_id").agg(F.count("*").alias("articles_in_cluster")).filter(F.col("articles_in_cluster") >= least)
@@ -121,6 +128,36 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str =
     return dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long, sim double")
 
 
+def alike_titles(rows: DataFrame, least: float = 80.0, key: str = "ord", title: str = "title", block: int = 512) -> DataFrame:
+    """(i, j, ratio) with i < j for titles whose sorted words are so alike, in percent; compared block by block.
+
+    Texts whose lengths alone keep the ratio below ``least`` aren't compared.
+    """
+    from .folds import token_sort_ratio
+
+    parts = max(1, -(-rows.count() // block))
+    placed = rows.select(F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
+    dealt = placed.select("id", "t", "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
+    dealt = dealt.select("id", "t", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") <= F.col("other")).alias("first"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        rows_ = list(zip(table["id"].to_pylist(), (" ".join(sorted(t.lower().split())) for t in table["t"].to_pylist()), table["first"].to_pylist(), strict=True))
+        own = table["p"][0].as_py() == table["q"][0].as_py()
+        left, right = [r for r in rows_ if r[2]], [r for r in rows_ if own or not r[2]]
+        out = []
+        for a, x, _ in left:
+            for b, y, _ in right:
+                if (a < b if own else a != b) and 200 * min(len(x), len(y)) >= least * (len(x) + len(y)):
+                    first, second = ((a, x), (b, y)) if a < b else ((b, y), (a, x))
+                    ratio = token_sort_ratio(first[1], second[1])
+                    if ratio >= least:
+                        out.append((first[0], second[0], ratio))
+        i, j, ratio = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "ratio": pa.array(ratio, pa.float64())})
+
+    return dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long, ratio double")
+
+
 def nearest(rows: DataFrame) -> DataFrame:
     """Similarity of each article to the nearest other one of its cluster's rows. Meant for the first few of a cluster."""
     a = rows.select("cluster_id", "ord", F.col("vector").alias("a"))

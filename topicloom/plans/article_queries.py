@@ -234,3 +234,17 @@ def size_gates(spark, sf_dir):
 def off_topic_titles(spark, sf_dir):
     rows = articles(spark, sf_dir).filter("cluster_id is not null").select("cluster_id", "ord", "title")
     return ops.off_topic(rows, rows.filter("ord % 5 = 0")).select("cluster_id", "ord")
+
+
+@query("""WITH {ARTICLES}, c AS (SELECT ord, CASE WHEN coalesce(bias, 'unknown') = 'center' THEN 5 WHEN bias IN ('left', 'right') THEN 4 WHEN bias IN ('far-left', 'far-right') THEN 2 ELSE 3 END AS n FROM articles WHERE title <> '' OR description <> '')
+    SELECT ord, unnest(range(1, n + 1))::INTEGER AS copy FROM c""")
+def replicated_snippets(spark, sf_dir):
+    """By label weight alone: one outlet of full credibility and no opinion."""
+    weight = ops.snippet_weight(F.lit(""), F.lit(""), F.col("bias"), F.lit("Reuters"))
+    return ops.replicated(ops.described(articles(spark, sf_dir)), weight).select("ord", "copy")
+
+
+@query(rf"""WITH {{ARTICLES}} SELECT cluster_id, count(*) AS n FROM grouped GROUP BY 1 HAVING min(source) IN ('src0', 'src1')""")
+def approved_clusters(spark, sf_dir):
+    rows = articles(spark, sf_dir).filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("source").alias("s"))
+    return ops.approved(rows, F.when(F.col("s").isin("src0", "src1"), " Yes, one story").when(F.col("s") == "src2", "No")).select("cluster_id", "n")

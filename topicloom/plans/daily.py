@@ -8,7 +8,7 @@ from __future__ import annotations
 import argparse
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topicloom import dims, providers
@@ -19,6 +19,9 @@ from topicloom.sources import json_files
 from topicloom.sources.tables import written
 
 
+_RAW = ["title", "description", "url", "source", "published_at", "published_date"]
+
+
 @dataclass
 class Options:
     date: str
@@ -34,6 +37,20 @@ class Options:
     zero_shot: providers.ZeroShot = field(default_factory=providers.KeywordZeroShot)
 
 
+def collected(api: DataFrame, entries: DataFrame) -> DataFrame:
+    """Articles of an API reply, then those of feeds that pass the language gate, numbered in that order."""
+
+    @F.pandas_udf("string")
+    def language(col):
+        return col.map(providers.guess_language)
+
+    one = art.api_articles(api).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("feed_ord"), F.col("ord").alias("place"), *_RAW)
+    rows = art.feed_articles(entries).join(entries.select("feed", "feed_ord").distinct(), "feed")
+    two = art.language_gate(rows.withColumn("_lang", language(art.gate_text(F.col("title"), F.col("description")))), F.col("_lang")).select(F.lit(1).alias("part"), "feed_ord", F.col("ord").alias("place"), *_RAW)
+    # A day's articles are a few thousand; their number is one small window.
+    return one.unionByName(two).withColumn("ord", F.row_number().over(Window.orderBy("part", "feed_ord", "place")) - 1).select(F.col("ord").cast("long"), *_RAW)
+
+
 def labelled(raw: DataFrame, opts: Options) -> DataFrame:
     """Time box, first row of each URL, label."""
     rows = art.normalised_first(raw, opts.date, opts.compat)
@@ -77,6 +94,11 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     stay = folds.merge_duplicates(own, pairs, opts.compat)
     rows = written(stay.withColumnRenamed("topic", "cluster_id").join(rows.drop("cluster_id"), "ord"), "final")
     measures = clusters.measured(rows, opts.date, F.col("bias"))
+    # Small fresh topics go into the leading three that they are most like.
+    titles = vectors.as_provider(clusters.title_text(rows), "text", opts.embedder.encode, opts.embedder.dims).select("cluster_id", F.col("vector").cast("array<double>").alias("vector"))
+    into = vectors.dominant_merge(measures, titles)
+    rows = written(rows.join(into, "cluster_id", "left").withColumn("cluster_id", F.coalesce("into", "cluster_id")).drop("into"), "merged")
+    measures = clusters.measured(rows, opts.date, F.col("bias"))
     loose = vectors.cohesion(vectors.unit_rows(rows), "cluster_id", most=18).select("cluster_id", "p10_sim", "std_sim")
     names = similarity.entity_share(rows)
     measures = measures.join(loose, "cluster_id", "left").join(names, "cluster_id")

@@ -175,3 +175,10 @@ def credit_lines(spark, sf_dir):
     top = n.groupBy("cluster_id").agg(F.array_min(F.collect_list(F.struct((-F.col("n")).alias("m"), "source")))["source"].alias("source"))
     line = pictures.credit(F.col("source"))
     return top.select("cluster_id", line.alias("credit"), F.rtrim(F.left(line, F.lit(12))).alias("head"))
+
+
+@query(f"""WITH {{ARTICLES}}, l AS (SELECT cluster_id, CASE WHEN ({LABEL_SQL.format(c="bias")}) IN ('Far Left', 'Left', 'Center', 'Right', 'Far Right') THEN ({LABEL_SQL.format(c="bias")}) ELSE 'Unknown' END AS label,
+        regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS host FROM grouped)
+    SELECT cluster_id, label, count(*) AS n, coalesce(string_agg(DISTINCT host, ',' ORDER BY host), '') AS domains FROM l GROUP BY 1, 2""")
+def lean_groups(spark, sf_dir):
+    return serving.lean_groups(grouped(spark, sf_dir), text.canonical_label(F.col("bias"))).withColumn("domains", F.array_join("domains", ","))

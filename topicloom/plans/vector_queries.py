@@ -175,6 +175,18 @@ def title_entity_pairs(spark, sf_dir):
     return similarity.entity_share(grouped(spark, sf_dir)).select("cluster_id", F.round("entity_cohesion", 6).alias("entity_cohesion"))
 
 
+@query(f"""WITH {_FIRST} SELECT cluster_id, CASE WHEN count(*) < 4 THEN 1.0 ELSE round(quantile_cont(sim, 0.1), 6) END AS p10_sim, CASE WHEN count(*) < 4 THEN 0.0 ELSE round(stddev_pop(sim), 6) END AS std_sim FROM sims GROUP BY 1""")
+def cohesion_fast(spark, sf_dir):
+    return _rounded(ops.cohesion_fast(_rows(spark, sf_dir)))
+
+
+@query()
+def fuzzy_topic_merge(spark, sf_dir):
+    """Clusters' titles merged in order by the ratio of their sorted words."""
+    names = grouped(spark, sf_dir).groupBy(F.col("cluster_id").cast("long").alias("ord")).agg(F.min_by("title", "ord").alias("title"))
+    return ops.greedy_merge(names, ops.alike_titles(names, 55.0))
+
+
 @query()
 def kmeans_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
