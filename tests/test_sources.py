@@ -85,15 +85,20 @@ def test_dated_partitions(spark, tmp_path):
     assert latest(table).count() == 3 and table.count() == 4
 
 
-def test_daily_run(spark, sf_dir):
+def test_daily_run(spark, sf_dir, tmp_path):
     from topicloom.plans.book import articles
 
     raw = articles(spark, sf_dir).select("ord", "title", "description", F.coalesce("url", F.concat(F.lit("https://site.example/"), "ord")).alias("url"), "source", "published_at", "published_date", "bias")
-    tables = daily.run(spark, raw, daily.Options("2024-01-02", top=5, merge_at=0.9))
+    opts = daily.Options("2024-01-02", top=5, merge_at=0.9, cache=str(tmp_path / "cache"))
+    tables = daily.run(spark, raw, opts)
     assert tables["articles"].count() > 50
     found = tables["summaries"].collect()
     assert len(found) <= 5 and all(sum(r["bias_distribution"].values()) == 100 for r in found)
     assert tables["topics"].select("cluster_id").distinct().count() <= 5
+    events = spark.read.parquet(str(tmp_path / "cache" / "events")).count()
+    again = daily.run(spark, raw, opts)
+    assert again["summaries"].count() == len(found)
+    assert spark.read.parquet(str(tmp_path / "cache" / "events")).count() == events > 0
     assert tables["trust"].count() == tables["topics"].select("cluster_id").distinct().count()
 
 

@@ -11,11 +11,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom import dims, providers
+from topicloom import dims, providers, schemas
 from topicloom.functions import stats, text, url
 from topicloom.operators import articles as art
 from topicloom.operators import clusters, folds, pictures, serving, similarity, vectors
-from topicloom.sources import json_files
+from topicloom.sources import caches, json_files
 from topicloom.sources.tables import written
 
 
@@ -31,6 +31,7 @@ class Options:
     merge_at: float = 0.85
     centroid_k: int | None = None
     compat: bool = True
+    cache: str | None = None  # folder of the embedding and event caches
     embedder: providers.Embedder = field(default_factory=providers.HashingEmbedder)
     judge_model: providers.Judge = field(default_factory=providers.FixedJudge)
     summarizer: providers.Summarizer = field(default_factory=providers.ExtractiveSummarizer)
@@ -62,8 +63,20 @@ def labelled(raw: DataFrame, opts: Options) -> DataFrame:
 
 
 def embedded(articles: DataFrame, opts: Options) -> DataFrame:
+    """``articles`` with ``embedding``; with a cache, only texts that it lacks are embedded, each once."""
+    model = opts.embedder.name
     rows = articles.withColumn("_text", text.embedding_text(F.col("title"), F.col("description"), opts.compat))
-    return vectors.as_provider(rows, "_text", opts.embedder.encode, opts.embedder.dims).drop("_text").withColumnRenamed("vector", "embedding")
+    if opts.cache is None:
+        return vectors.as_provider(rows, "_text", opts.embedder.encode, opts.embedder.dims).drop("_text").withColumnRenamed("vector", "embedding")
+
+    def provide(missing: DataFrame) -> DataFrame:
+        found = vectors.as_provider(missing.select("key", "_text"), "_text", opts.embedder.encode, opts.embedder.dims)
+        return found.select("key", F.col("vector").alias("v"), F.lit(model).alias("model"))
+
+    keyed = rows.withColumn("key", text.cache_key(model, F.col("_text")))
+    got = caches.filled(keyed, f"{opts.cache}/embeddings", schemas.EMBEDDING_CACHE, "key", provide)
+    zero = F.array_repeat(F.lit(0.0).cast("float"), opts.embedder.dims)
+    return got.select(*articles.columns, F.coalesce("v", zero).alias("embedding"))
 
 
 def clustered(articles: DataFrame, opts: Options) -> DataFrame:
@@ -105,9 +118,23 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     measures = measures.withColumn("suspicious", stats.suspicious(F.col("size"), F.col("entity_cohesion"), F.coalesce("p10_sim", F.lit(1.0)), F.coalesce("std_sim", F.lit(0.0)), F.col("today_ratio")))
     order = measures.orderBy(F.desc("matter_score"), "cluster_ord").select("cluster_id").collect()
     ranks_ = rows.sparkSession.createDataFrame([(r["cluster_id"], i) for i, r in enumerate(order)] or [(-1, 0)], "cluster_id long, rank long")
-    gate = clusters.budget_gate(measures.join(ranks_, "cluster_id").withColumn("forced", F.col("rank") < max(opts.top + 30, 60)).withColumn("cached", F.lit(None).cast("string")), opts.event_calls)
-    label = text.reply_event(F.lit(opts.judge_model.label([])))["label"]
-    judged = gate.withColumn("eventness_label", F.when(F.col("decision") == "judge", label)).filter((F.col("decision") != "drop") & ~F.coalesce(F.col("eventness_label").isin("THEMATIC_BUCKET", "MIXED"), F.lit(False)))
+    keyed = clusters.url_signature(rows).select("cluster_id", F.concat(F.lit(f"{opts.judge_model.name}::"), "signature").alias("key"))
+    known = caches.read(rows.sparkSession, f"{opts.cache}/events", schemas.EVENT_CACHE) if opts.cache else rows.sparkSession.createDataFrame([], schemas.EVENT_CACHE)
+    cached = caches.probe(keyed, known, "key").select("cluster_id", "key", F.col("label").alias("cached"))
+    gate = clusters.budget_gate(measures.join(ranks_, "cluster_id").join(cached, "cluster_id").withColumn("forced", F.col("rank") < max(opts.top + 30, 60)), opts.event_calls)
+    names_ = rows.groupBy("cluster_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", text.or_empty(F.col("title")).alias("t")))), 1, 12), lambda p: p["t"]).alias("titles"))
+    ask = opts.judge_model.label
+
+    @F.pandas_udf("string")
+    def verdict(col):
+        return col.map(lambda ts: ask(list(ts)))
+
+    asked = gate.filter("decision = 'judge'").select("cluster_id", "key").join(names_, "cluster_id").select("cluster_id", "key", text.reply_event(verdict("titles")).alias("r")).select("cluster_id", "key", "r.label", "r.why")
+    asked = written(asked, "judged")
+    if opts.cache:
+        asked.select("key", "label", "why").write.mode("append").parquet(f"{opts.cache}/events")
+    judged = gate.join(asked.select("cluster_id", F.col("label").alias("_new")), "cluster_id", "left").withColumn("eventness_label", F.coalesce("_new", "cached")).drop("_new")
+    judged = judged.filter((F.col("decision") != "drop") & ~F.coalesce(F.col("eventness_label").isin("THEMATIC_BUCKET", "MIXED"), F.lit(False)))
     if opts.judge:
         judged = judged.filter(F.col("eventness_label") == "SINGLE_EVENT")
     top = clusters.ranked(judged, "matter_score", "cluster_ord", opts.top)
