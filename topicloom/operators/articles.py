@@ -67,7 +67,7 @@ def time_box(articles: DataFrame, target: str, days: int = 1) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: Column, order: str = "ord") -> DataFrame:
-    """The first row of each key by ``order``; all null keys are one. One shuffle on the key, partial minima first.
+    """The first row of each key by ``order``, which is unique; all null keys are one. One shuffle on the key, minima first.
 
     The winner's place is a map-side combined minimum, so a key with a third of all rows costs no more than another.
     """
