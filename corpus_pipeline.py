@@ -26,18 +26,27 @@ LEAST_LANGUAGE, LEAST_QUALITY = 0.4, 0.3
 CAPACITY = 2048
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts with letters in one of the languages that the table's own ``lang`` column teaches."""
     model = train_language(docs.select("text", "lang"), F.lit(True))
-    sure = identify(docs, model, into="_language").filter((F.col("_language.lang_pred") != UNDECIDED) & (F.col("_language.score") >= LEAST_LANGUAGE))
-    return sure.select(*[sure[c] for c in docs.columns])
+    into = _free(docs, "_language")
+    sure = identify(docs, model, into=into).filter((F.col(f"{into}.lang_pred") != UNDECIDED) & (F.col(f"{into}.score") >= LEAST_LANGUAGE))
+    return sure.drop(into)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that the classifier, taught by ``labels``, scores at LEAST_QUALITY or more."""
     model = train_quality(docs.select("doc_id", "text"), common.table(spark, sf_dir, "labels").select("doc_id", "quality"))
-    fine = assess(docs, model, into="_quality").filter(F.col("_quality") >= LEAST_QUALITY)
-    return fine.select(*[fine[c] for c in docs.columns])
+    into = _free(docs, "_quality")
+    return assess(docs, model, into=into).filter(F.col(into) >= LEAST_QUALITY).drop(into)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
