@@ -17,6 +17,27 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == pieces.count()
 
 
+def test_stages_take_odd_tables(spark, sf_dir, texts):
+    """Nulls in every column, repeated rows, very long texts, names that the stages use themselves; then no rows at all."""
+    from pyspark.sql import functions as F
+
+    none = F.lit(None)
+    odd = texts.select("doc_id", "text", none.cast("string").alias("lang"), none.cast("string").alias("source"), none.cast("long").alias("n_chars"), "kept", "row", F.lit(1).alias("_language"), F.lit(2).alias("_Quality"))
+    real = common.table(spark, sf_dir, "documents").withColumns({"kept": F.lit("k"), "row": F.lit("r"), "_language": F.lit(3), "_Quality": F.lit(4)})
+    both = common.written(odd.unionByName(real), "odd")
+    for docs in (both, both.limit(0)):
+        want = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == "best_fit_packing":
+                assert out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+            else:
+                assert out.columns == want
+                docs = common.written(out, "odd")
+    kept = corpus_pipeline.language_id(spark, both, sf_dir)
+    assert kept.filter("text is null or trim(text) = ''").isEmpty()
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES)

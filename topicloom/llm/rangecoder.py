@@ -4,10 +4,10 @@ Ids are cut into blocks; each block has its own tables and coder state and can b
 side: step t codes the t-th id of every block, so each operation is one NumPy call over all blocks.
 
 Model, per block: the id last seen after the two ids before (order 2), the id last seen after the id before (order 1),
-each with a count of its hits up to 3, and the last id of each of 256 hash slots (order 0). An id is one of four events:
+each with whether it was right since, and the last id of each of 256 hash slots (order 0). An id is one of four events:
 as order 2 says, as order 1 says, in its order-0 slot (8 more bits), or new (``id_bits`` more bits). The events' mixed
-frequencies are weighted sums of two adaptive tables, one chosen by the order-2 count and whether both orders agree, one
-by the order-1 count. A range coder with a 64-bit range, put out in 32-bit words with carry, codes event and further bits.
+frequencies are weighted sums of two adaptive tables, one chosen by the order-2 state and whether both orders agree, one
+by the order-1 state. A range coder with a 64-bit range, put out in 32-bit words with carry, codes event and further bits.
 """
 
 from __future__ import annotations
@@ -33,22 +33,24 @@ class _Model:
         self.near, self.far = (ids * 0x85EBCA6B >> 14) & ((1 << _ORDER2) - 1), (ids * 0xC2B2AE35 >> 12) & ((1 << _ORDER2) - 1)
         self.one, self.two, self.zero = np.zeros(blocks << _ORDER1, np.int32), np.zeros(blocks << _ORDER2, np.int32), np.zeros(blocks << 8, np.int32)
         self.at1, self.at2, self.at0 = lane << _ORDER1, lane << _ORDER2, lane << 8
-        self.by2, self.by1 = np.zeros((blocks * 8, 4), np.int32), np.zeros((blocks * 4, 4), np.int32)
+        self.by2, self.by1 = np.zeros((blocks * 4, 4), np.int32), np.zeros((blocks * 2, 4), np.int32)
         self.flat2, self.flat1 = self.by2.reshape(-1), self.by1.reshape(-1)
-        self.at_a, self.at_b = lane << 3, lane << 2
+        self.at_a, self.at_b = lane << 2, lane << 1
         self.far_part = np.zeros(blocks, np.int64)
         self.x = np.zeros(blocks, np.int64)
         self.extra = np.array([0, 0, 8, id_bits], np.uint64)
-        self.cum = np.empty((4, blocks), np.int32)
+        self.steps = np.zeros((5, blocks), np.int32)  # running frequencies, from 0
+        self.cum, self.from_cum = self.steps[1:], self.steps.reshape(-1)
 
     def look(self) -> None:
         """Predictions for the next id, and running frequencies of its events in ``cum``."""
         self.i2 = self.at2 + (self.near.take(self.x) ^ self.far_part)
         self.i1 = self.at1 + (self.x & ((1 << _ORDER1) - 1))
         self.v2, self.v1 = self.two.take(self.i2), self.one.take(self.i1)
-        self.p2, self.p1 = self.v2 >> 2, self.v1 >> 2
-        self.a = self.at_a + ((self.v2 & 3) << 1) + (self.p1 == self.p2)
-        self.b = self.at_b + (self.v1 & 3)
+        self.p2, self.p1 = self.v2 >> 1, self.v1 >> 1
+        self.a = self.at_a + ((self.v2 & 1) << 1)
+        self.a += self.p1 == self.p2
+        self.b = self.at_b + (self.v1 & 1)
         f = self.by2.take(self.a, axis=0)
         f <<= 1
         f += self.by1.take(self.b, axis=0)
@@ -60,19 +62,17 @@ class _Model:
 
     def share(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(what comes before the event, what it has) of the frequencies."""
-        flat = self.cum.reshape(-1)
         at = event * len(self.lane) + self.lane
-        upto = flat.take(at)
-        below = np.where(event > 0, flat.take(np.maximum(at - len(self.lane), 0)), 0)
-        return below.astype(_U), (upto - below).astype(_U)
+        below = self.from_cum.take(at)
+        at += len(self.lane)
+        return below.astype(_U), (self.from_cum.take(at) - below).astype(_U)
 
-    def learn(self, x: np.ndarray, event: np.ndarray, slot: np.ndarray) -> None:
-        """``slot``: the order-0 slot of each id."""
-        low = x.astype(np.int32)
+    def learn(self, x: np.ndarray, low: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, event: np.ndarray, slot: np.ndarray) -> None:
+        """``low``: the ids in 32 bits; ``slot``: the order-0 slot of each id; which of them the predictions hit."""
         self.zero[slot] = low
-        fresh = low << 2
-        self.two[self.i2] = np.where(self.p2 == low, self.v2 + ((self.v2 & 3) < 3), fresh)
-        self.one[self.i1] = np.where(self.p1 == low, self.v1 + ((self.v1 & 3) < 3), fresh)
+        fresh = low << 1
+        self.two[self.i2] = np.where(hit2, self.v2 | 1, fresh)
+        self.one[self.i1] = np.where(hit1, self.v1 | 1, fresh)
         self.flat2[(self.a << 2) + event] += 1
         self.flat1[(self.b << 2) + event] += 1
         self.far_part = self.far.take(self.x)
@@ -101,9 +101,8 @@ def encode(ids: np.ndarray, block: int, id_bits: int) -> tuple[np.ndarray, np.nd
         now = x[t]
         low32 = now.astype(np.int32)
         slot = m.at0 + m.slot_of.take(now)
-        event = np.where(m.zero.take(slot) == low32, 2, 3)
-        event[m.p1 == low32] = 1
-        event[m.p2 == low32] = 0
+        hit2, hit1 = m.p2 == low32, m.p1 == low32
+        event = np.where(hit2, 0, np.where(hit1, 1, 3 - (m.zero.take(slot) == low32)))
         below, own = m.share(event)
         r = rng // m.cum[3].astype(_U)
         step = r * below
@@ -114,7 +113,7 @@ def encode(ids: np.ndarray, block: int, id_bits: int) -> tuple[np.ndarray, np.nd
         over = np.flatnonzero(low < step)
         if len(over):
             carry(pos[over] - 1)
-        m.learn(now, event, slot)
+        m.learn(now, low32, hit2, hit1, event, slot)
         go = np.flatnonzero(rng < _LEAST)
         if len(go):
             lo = low[go]
@@ -160,8 +159,9 @@ def decode(words: np.ndarray, sizes: np.ndarray, n: int, block: int, id_bits: in
             code[hard] -= rh * more
             more = more.astype(np.int64)
             now[hard] = np.where(eh == 3, more, m.zero.take(m.at0[hard] + (more & 255)))
-        out[t] = now
-        m.learn(now, event, m.at0 + m.slot_of.take(now))
+        low32 = now.astype(np.int32)
+        out[t] = low32
+        m.learn(now, low32, m.p2 == low32, m.p1 == low32, event, m.at0 + m.slot_of.take(now))
         go = np.flatnonzero(rng < _LEAST)
         if len(go):
             code[go] = code[go] << _WORD | held[np.minimum(pos[go], len(words))]  # damaged blocks may ask for more
