@@ -227,3 +227,59 @@ def test_plans_broadcast_dimensions(spark):
     df = rows(spark, [(1, "https://a/", "x", None)], "ord long, url string, source string, bias string")
     plan = art.bias_labels(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan
+
+
+def test_two_lumps(spark):
+    draw = np.random.default_rng(0)
+    two = np.vstack([draw.normal(size=(7, 6)) * 0.15 + np.eye(6)[0] * 2, draw.normal(size=(7, 6)) * 0.15 + np.eye(6)[1] * 2])
+    two[0] += 1.2  # so that similarities to the common centre spread
+    one = draw.normal(size=(14, 6)) * 0.1 + 1
+    rows_ = unit(spark, one, 2).unionByName(unit(spark, two[:9], 3))
+    got = {r["cluster_id"]: r["lumps"] for r in vectors.thematic(rows_).collect()}
+    assert got == {2: False, 3: False}
+    u = two / np.linalg.norm(two, axis=1, keepdims=True)
+    assert isinstance(vectors._two_lumps(u), bool | np.bool_)
+
+
+def test_dominant_merge(spark):
+    data = [(i, size, 1.0, score, i) for i, (size, score) in enumerate([(40, 9.0), (30, 8.0), (20, 7.0), (5, 2.0), (4, 1.0), (30, 0.5)])]
+    m = rows(spark, data, "cluster_id long, size long, today_ratio double, matter_score double, cluster_ord long")
+    axes = [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0], [0.95, 0.3, 0], [0.5, 0.5, 0.5], [1.0, 0, 0]]
+    t = unit(spark, axes).select(F.col("ord").alias("cluster_id"), "vector")
+    assert [(r["cluster_id"], r["into"]) for r in vectors.dominant_merge(m, t).collect()] == [(3, 0)]
+
+
+def test_alike_titles_are_all_pairs(spark):
+    words = ["storm", "flood", "town", "city", "hits", "again"]
+    draw = random.Random(4)
+    titles = [" ".join(draw.choice(words) for _ in range(draw.randrange(0, 5))) for _ in range(30)]
+    df = rows(spark, list(enumerate(titles)), "ord long, title string")
+    got = {(r["i"], r["j"]) for r in vectors.alike_titles(df, 80.0, block=7).collect()}
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if folds.token_sort_ratio(titles[i], titles[j]) >= 80.0}
+    assert got == want
+
+
+def test_kmeans_labels_every_row(spark):
+    x = unit(spark, np.random.default_rng(2).normal(size=(40, 3)))
+    got = vectors.kmeans(x).collect()
+    assert sorted(r["ord"] for r in got) == list(range(40)) and {r["cluster_id"] for r in got} <= set(range(5))
+    assert vectors.kmeans(x.limit(0)).count() == 0
+
+
+def test_cohesion_fast(spark):
+    got = {r["cluster_id"]: (r["p10_sim"], r["std_sim"]) for r in vectors.cohesion_fast(unit(spark, [[1, 0], [0, 1], [1, 1]], 1).unionByName(unit(spark, np.eye(5), 2))).collect()}
+    assert got[1] == (1.0, 0.0) and got[2][0] < 0.5
+
+
+def test_tfidf_smoothing(spark):
+    df = rows(spark, [(1, "alpha beta"), (2, "alpha gamma"), (3, None)], "cluster_id long, text string")
+    w = {(r["cluster_id"], r["term"]): r["weight"] for r in similarity.tfidf(df, []).collect()}
+    a, b = np.log(4 / 3) + 1, np.log(4 / 2) + 1
+    assert w[1, "alpha"] == pytest.approx(a / np.sqrt(a * a + 2 * b * b))
+    assert (1, "alpha beta") in w and len(w) == 6
+
+
+def test_signature_collapse(spark):
+    df = rows(spark, [(1, 0, "https://a/x"), (1, 1, "https://a/y"), (2, 2, "https://a/y?ref=z"), (2, 3, "http://www.a/x/"), (2, 4, "https://a/x"), (3, 5, None), (4, 6, None), (4, 7, None)], "cluster_id long, ord long, url string")
+    got = sorted((r["cluster_id"], r["place"]) for r in clusters.signature_collapse(df).collect())
+    assert got == [(2, 0), (4, 5)]

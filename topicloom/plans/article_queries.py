@@ -228,12 +228,12 @@ def size_gates(spark, sf_dir):
     return ops.sizeable(rows, 48, ops.titled(F.col("title"))).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query("""WITH {ARTICLES}, bad AS (SELECT DISTINCT cluster_id, title FROM grouped WHERE ord % 5 = 0),
+@query("""WITH {ARTICLES}, bad AS (SELECT DISTINCT cluster_id, title FROM grouped WHERE bias = 'nonsense'),
     l AS (SELECT g.cluster_id, g.ord FROM grouped g ANTI JOIN bad USING (cluster_id, title))
     SELECT l.cluster_id, l.ord FROM l JOIN (SELECT cluster_id FROM l GROUP BY 1 HAVING count(*) >= 2) USING (cluster_id)""")
 def off_topic_titles(spark, sf_dir):
-    rows = articles(spark, sf_dir).filter("cluster_id is not null").select("cluster_id", "ord", "title")
-    return ops.off_topic(rows, rows.filter("ord % 5 = 0")).select("cluster_id", "ord")
+    rows = articles(spark, sf_dir).filter("cluster_id is not null").select("cluster_id", "ord", "title", "bias")
+    return ops.off_topic(rows, rows.filter("bias = 'nonsense'")).select("cluster_id", "ord")
 
 
 @query("""WITH {ARTICLES}, c AS (SELECT ord, CASE WHEN coalesce(bias, 'unknown') = 'center' THEN 5 WHEN bias IN ('left', 'right') THEN 4 WHEN bias IN ('far-left', 'far-right') THEN 2 ELSE 3 END AS n FROM articles WHERE title <> '' OR description <> '')

@@ -124,15 +124,18 @@ def photo_margin(spark, sf_dir):
     return pictures.best_photo(rows).select("topic_id", "ord", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {{ARTICLES}}, c AS (SELECT a.ord % 40 AS query_id, a.ord AS ord, a.title AS title, a.description AS description, CASE WHEN a.ord % 6 = 0 THEN 'https://x/' || a.ord || '.pdf' ELSE 'https://x/' || a.ord || '.jpg' END AS url, CASE WHEN a.ord % 5 = 0 THEN '' ELSE 'CC' END AS license, q.description AS query
-        FROM articles a JOIN articles q ON q.ord = a.ord % 40),
+@query(f"""WITH {{ARTICLES}}, q AS (SELECT source, min(description) AS description, CAST(substr(source, 4) AS BIGINT) AS query_id FROM articles GROUP BY 1),
+    c AS (SELECT q.query_id AS query_id, a.ord AS ord, a.title AS title, a.description AS description, CASE WHEN a.ord % 6 = 0 THEN 'https://x/' || a.ord || '.pdf' ELSE 'https://x/' || a.ord || '.jpg' END AS url, CASE WHEN a.ord % 5 = 0 THEN '' ELSE 'CC' END AS license, q.description AS query
+        FROM articles a JOIN q USING (source)),
     s AS (SELECT *, len(list_intersect(list_distinct({_TOK.format(c="query", n=3, stop=_quoted(dims.RELEVANCE_STOP))}), list_distinct({_TOK.format(c="title", n=3, stop=_quoted(dims.RELEVANCE_STOP))} || {_TOK.format(c="description", n=3, stop=_quoted(dims.RELEVANCE_STOP))}))) AS score
         FROM c WHERE license <> '' AND NOT ends_with(url, '.pdf') AND len(list_filter({_quoted(dims.BAD_IMAGE_WORDS + dims.DRAWN_WORDS)}, lambda w: contains(lower(title || ' ' || description), w))) = 0)
     SELECT query_id, first(ord ORDER BY score DESC, ord) AS ord, max(score)::INTEGER AS score FROM s WHERE score >= 3 GROUP BY 1""")
 def best_found_picture(spark, sf_dir):
-    a = articles(spark, sf_dir).select("ord", "title", "description")
-    q = a.filter("ord < 40").select(F.col("ord").alias("query_id"), F.col("description").alias("query"))
-    rows = a.withColumn("query_id", F.col("ord") % 40).join(F.broadcast(q), "query_id").withColumn("url", F.concat(F.lit("https://x/"), "ord", F.when(F.col("ord") % 6 == 0, F.lit(".pdf")).otherwise(F.lit(".jpg")))).withColumn("license", F.when(F.col("ord") % 5 == 0, "").otherwise("CC"))
+    """Every article as a candidate for its source's query, the first description of that source."""
+    a = articles(spark, sf_dir).select("ord", "title", "description", "source")
+    q = a.groupBy("source").agg(F.min("description").alias("query")).withColumn("query_id", F.substr("source", F.lit(4)).cast("long"))
+    link = F.concat(F.lit("https://x/"), "ord", F.when(F.col("ord") % 6 == 0, F.lit(".pdf")).otherwise(F.lit(".jpg")))
+    rows = a.join(q, "source").withColumn("url", link).withColumn("license", F.when(F.col("ord") % 5 == 0, "").otherwise("CC"))
     return pictures.best_found(rows).select("query_id", "ord", "score")
 
 
