@@ -22,7 +22,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = id_crc32("doc_id") % 5
     model = train(docs, table(spark, sf_dir, "labels").filter(fold != 0).select("doc_id", "quality"))
     scored = assess(docs, model)
-    return scored.select("doc_id", (fold == 0).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     fold = id_crc32("doc_id") % 4
     model = train(docs, fold != 2)
-    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold == 2).alias("held_out"), "language.lang_pred", "language.score")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
