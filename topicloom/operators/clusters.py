@@ -16,23 +16,31 @@ def counted(rows: DataFrame, value: Column, name: str) -> DataFrame:
     return rows.select("cluster_id", "ord", value.alias(name)).filter(F.coalesce(F.col(name), F.lit("")) != "").groupBy("cluster_id", name).agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"))
 
 
+def _concentration(articles: DataFrame) -> DataFrame:
+    return counted(articles, url.stripped(F.col("source")), "source").groupBy("cluster_id").agg(F.round(F.max("n") / F.sum("n"), 3).alias("source_concentration"))
+
+
 def concentration(articles: DataFrame) -> DataFrame:
     """Share of the most frequent source among those named, to 3 places; 0 where none is."""
-    found = counted(articles, url.stripped(F.col("source")), "source").groupBy("cluster_id").agg(F.round(F.max("n") / F.sum("n"), 3).alias("source_concentration"))
-    return articles.select("cluster_id").distinct().join(found, "cluster_id", "left").fillna(0.0, ["source_concentration"])
+    return articles.select("cluster_id").distinct().join(_concentration(articles), "cluster_id", "left").fillna(0.0, ["source_concentration"])
 
 
-def diversity(articles: DataFrame) -> DataFrame:
-    """unique_domains, total_with_domain, top_domain, top_share, entropy; the first domain seen wins a tie."""
-    found = counted(articles, url.domain(F.col("url")), "domain").groupBy("cluster_id").agg(
+def _diversity(articles: DataFrame) -> DataFrame:
+    return counted(articles, url.domain(F.col("url")), "domain").groupBy("cluster_id").agg(
         F.count("*").alias("unique_domains"),
         F.sum("n").alias("total_with_domain"),
         F.max_by("domain", F.struct("n", -F.col("first_ord"))).alias("top_domain"),
         F.round(F.max("n") / F.sum("n"), 3).alias("top_share"),
         F.round(stats.entropy(F.collect_list(F.col("n").cast("double"))), 3).alias("entropy"),
     )
-    every = articles.select("cluster_id").distinct().join(found, "cluster_id", "left")
-    return every.fillna({"unique_domains": 0, "total_with_domain": 0, "top_domain": "", "top_share": 0.0, "entropy": 0.0})
+
+
+_NO_DOMAIN = {"unique_domains": 0, "total_with_domain": 0, "top_domain": "", "top_share": 0.0, "entropy": 0.0}
+
+
+def diversity(articles: DataFrame) -> DataFrame:
+    """unique_domains, total_with_domain, top_domain, top_share, entropy; the first domain seen wins a tie."""
+    return articles.select("cluster_id").distinct().join(_diversity(articles), "cluster_id", "left").fillna(_NO_DOMAIN)
 
 
 def domain_entropy(articles: DataFrame) -> DataFrame:
@@ -42,13 +50,18 @@ def domain_entropy(articles: DataFrame) -> DataFrame:
     return articles.select("cluster_id").distinct().join(found, "cluster_id", "left").fillna(0.0, ["domain_entropy"])
 
 
-def freshness(articles: DataFrame, target: str, days: int = 1) -> DataFrame:
-    """Share of dated articles within ``days`` of the target; 1 where none is dated."""
+def _freshness(target: str, days: int) -> Column:
+    """Share of dated articles within ``days`` of the target; 1 where none is dated. An aggregate."""
     day = parsed_date(article_date(F.col("published_date"), F.col("published_at")))
     centre = parsed_date(F.lit(target))
     inside = F.when(centre.isNull(), day.cast("string") == target).otherwise(day.between(F.date_sub(centre, days), F.date_add(centre, days)))
-    found = articles.select("cluster_id", day.alias("day"), inside.alias("inside")).groupBy("cluster_id").agg(F.count("day").alias("dated"), F.count_if(F.col("inside")).alias("fresh"))
-    return found.select("cluster_id", F.when(F.col("dated") == 0, 1.0).otherwise(F.col("fresh") / F.col("dated")).alias("today_ratio"))
+    dated = F.count(day)
+    return F.when(dated == 0, 1.0).otherwise(F.count_if(inside) / dated)
+
+
+def freshness(articles: DataFrame, target: str, days: int = 1) -> DataFrame:
+    """Share of dated articles within ``days`` of the target; 1 where none is dated."""
+    return articles.groupBy("cluster_id").agg(_freshness(target, days).alias("today_ratio"))
 
 
 def label_percent(articles: DataFrame, label: Column, trimmed: bool = True) -> DataFrame:
@@ -99,9 +112,13 @@ def label_count(articles: DataFrame, label: Column) -> DataFrame:
 
 
 def measured(articles: DataFrame, target: str, label: Column) -> DataFrame:
-    """One row per cluster: size, spread over domains and labels, concentration, freshness, matter score."""
-    size = articles.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("ord").alias("cluster_ord"))
-    every = size.join(diversity(articles), "cluster_id").join(concentration(articles), "cluster_id").join(freshness(articles, target).withColumn("today_ratio", F.round("today_ratio", 3)), "cluster_id").join(label_count(articles, label), "cluster_id")
+    """One row per cluster: size, spread over domains and labels, concentration, freshness, matter score.
+
+    Three passes over the articles: by cluster, by cluster and source, by cluster and domain. Labels are a few words each.
+    """
+    labels = F.size(F.collect_set(F.nullif(url.stripped(label), F.lit(""))))
+    base = articles.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("ord").alias("cluster_ord"), F.round(_freshness(target, 1), 3).alias("today_ratio"), labels.alias("labels"))
+    every = base.join(_diversity(articles), "cluster_id", "left").join(_concentration(articles), "cluster_id", "left").fillna({**_NO_DOMAIN, "source_concentration": 0.0})
     score = stats.matter(F.col("size"), F.col("entropy"), F.col("unique_domains"), F.col("labels"), F.col("today_ratio"), F.col("source_concentration"))
     return every.withColumn("matter_score", score)
 
