@@ -45,7 +45,7 @@ def release() -> None:
             pass
 
 
-def small_batches(df: DataFrame, rows: int = 2000, size: int = 16 << 20) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 256, size: int = 16 << 20) -> DataFrame:
     """``df``, after its session's Arrow batches are bounded: what a worker holds then doesn't grow with the texts."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
