@@ -34,9 +34,9 @@ def held(name: str, make: Callable[[], object]) -> object:
     return _HELD[name]
 
 
-def release() -> None:
-    """Gives back what other operators' tasks left in this worker process."""
-    if _HELD:
+def release(always: bool = False) -> None:
+    """Gives back what other operators' tasks left in this worker process, or what was used on the driver (``always``)."""
+    if _HELD or always:
         _HELD.clear()
         gc.collect()
         try:

@@ -101,16 +101,12 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 192, ridge: float
     body, offsets = common.buffers(pa.array(texts, pa.string()))
     sets = list(presence(body, offsets))
     chosen = np.unique(np.linspace(0, len(sets) - 1, min(landmarks, len(sets))).astype(int))
-    marks = np.zeros((len(chosen), _D), np.float32)
+    marks = np.zeros((len(chosen), _D), np.uint8)
     for row, i in enumerate(chosen):
-        marks[row, sets[i]] = 1 / np.sqrt(max(1, len(sets[i])))
-    kernel = np.zeros((len(sets), len(chosen)), np.float64)
-    block = 64
-    for lo in range(0, len(sets), block):
-        part = np.zeros((min(block, len(sets) - lo), _D), np.float32)
-        for row, codes in enumerate(sets[lo : lo + block]):
-            part[row, codes] = 1 / np.sqrt(max(1, len(codes)))
-        kernel[lo : lo + block] = part @ marks.T
+        marks[row, sets[i]] = 1
+    root = np.sqrt([max(1, len(codes)) for codes in sets])
+    kernel = np.stack([marks[:, codes].sum(axis=1, dtype=np.int64) for codes in sets]) / root[:, None] / root[chosen]
+    del marks
     values, vectors = np.linalg.eigh(kernel[chosen])
     fine = values > 1e-6 * max(values.max(), 1e-12)
     whiten = vectors[:, fine] / np.sqrt(values[fine])
@@ -118,7 +114,10 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 192, ridge: float
     y = np.where(np.array(labels)[:, None] == np.array(classes)[None, :], 1.0, -1.0)
     weight = np.array([1 / max(1, labels.count(c)) for c in labels]) * len(labels) / len(classes)
     w = np.linalg.solve(phi.T @ (phi * weight[:, None]) + ridge * len(sets) * np.eye(phi.shape[1]), phi.T @ (y * weight[:, None]))
-    return LanguageModel(classes, (marks.T @ (whiten @ w).astype(np.float32)).astype(np.float64), scale)
+    folded = np.zeros((_D, len(classes)))
+    for i, part in zip(chosen, (whiten @ w) / root[chosen][:, None], strict=True):
+        folded[sets[i]] += part
+    return LanguageModel(classes, folded, scale)
 
 
 def train(docs: DataFrame, learn: Column, per_class: int = 300, text: str = "text", lang: str = "lang", **options) -> LanguageModel:
@@ -136,7 +135,9 @@ def train(docs: DataFrame, learn: Column, per_class: int = 300, text: str = "tex
     chosen = docs.sparkSession.createDataFrame(sorted(keys), "label string, h long")
     source = docs.filter(learn).select(F.col(lang).alias("label"), F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit(17)).alias("h"))
     got = source.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.min("t").alias("t")).orderBy("h", "label").collect()
-    return fit([r["t"] for r in got], [r["label"] for r in got], **options)
+    model = fit([r["t"] for r in got], [r["label"] for r in got], **options)
+    common.release(True)
+    return model
 
 
 _ASCII_LETTER = np.zeros(256, bool)

@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, text: str =
         return fit([], [], **options)
     keys = docs.sparkSession.createDataFrame(chosen, "id long, y int, h long")
     got = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(keys), "id").groupBy("id", "y", "h").agg(F.min("t").alias("t")).orderBy("h", "id").collect()
-    return fit([r["t"] or "" for r in got], [r["y"] for r in got], **options)
+    model = fit([r["t"] or "" for r in got], [r["y"] for r in got], **options)
+    common.release(True)
+    return model
 
 
 def assess(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality_score") -> DataFrame:
