@@ -40,7 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles, with a page's URL, an event's time and a vector's cluster where there are such rows."""
+    """Documents as articles, with a page's URL, an event's time and a vector's cluster where there are such rows.
+
+    The title is the whole first line and the description the whole text; ARTICLES_SQL still cuts both.
+    """
     d = table(spark, sf_dir, "documents")
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "ts")
@@ -50,8 +53,8 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.when(F.col("ts").isNotNull(), ops.iso_timestamp(F.col("ts")))
     return met.select(
         F.col("doc_id").alias("ord"),
-        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(120)).alias("title"),
-        F.left("text", F.lit(400)).alias("description"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.col("text").alias("description"),
         "url",
         "source",
         "lang",
