@@ -1,9 +1,11 @@
 """Licence scans by diagonal voting.
 
-Every k-gram hash of a text's words is joined in Spark to the places of that k-gram in the licence templates. A hit at
-text place p and template place t votes for the diagonal p - t; votes are counted by text, template and diagonal,
-diagonals a few words apart (an inserted or dropped word) are merged, and a merged span is verified by the share of the
-template's words that its votes cover. The base labels are a plain search for three phrases and always stay.
+Every k-gram hash of a text's words that a licence template holds is joined in Spark to its places in the templates. A hit
+at text place p and template place t votes for the diagonal p - t; votes are counted by text, template and diagonal, and
+diagonals a few words apart (an inserted or dropped word) are merged. Merged parts that follow each other in the text as in
+the template, over at most twice the template's words, are added up (a longer insertion or gap), and a span is verified by
+the share of the template's words that it covers. A template of fewer than K words is one gram and is found whole only.
+The base labels are a plain search for three phrases and always stay.
 
 Texts are addressed by 128 hash bits of their content, so copies vote for one set of places, and a very frequent text is
 one group of at most (template words x its own diagonals). The template table is fixed and small and is broadcast.
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K = 4
+#: Words of a gram, and the least words of a template.
+K, LEAST = 4, 3
 
 #: Phrases and their base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -34,6 +37,7 @@ TEMPLATES = [
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     ("mit-notice", "This software is released under the MIT License"),
     ("mit-notice", "Licensed under the MIT License"),
+    ("mit-notice", "Released under the MIT License"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
@@ -44,6 +48,7 @@ TEMPLATES = [
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("reserved", "All rights reserved"),
     ("reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
 
@@ -85,14 +90,47 @@ def _phrase_hits(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return at[order], kind[order]
 
 
-def templates(extra: list[tuple[str, str]] = ()) -> list[tuple[int, int, int, str, int]]:
-    """(k-gram hash, template, place, label, words of the template); a template of fewer than K words is refused."""
+def templates(extra: list[tuple[str, str]] = ()) -> list[tuple[int, int, int, str, int, int]]:
+    """(gram hash, template, place, label, words of the template, words of the gram); fewer than LEAST words are refused."""
     out = []
     for number, (label, text) in enumerate([*TEMPLATES, *extra]):
         words = _words_of(text)
-        if len(words) < K:
-            raise ValueError(f"a template needs at least {K} words: {text!r}")
-        out += [(int(h), number, place, label, len(words)) for place, h in enumerate(common.shingle_hashes(words, K).view(np.int64))]
+        if len(words) < LEAST:
+            raise ValueError(f"a template needs at least {LEAST} words: {text!r}")
+        width = min(K, len(words))
+        out += [(int(h), number, place, label, len(words), width) for place, h in enumerate(common.shingle_hashes(words, width).view(np.int64))]
+    return out
+
+
+def chains(parts: list[dict], size: int, width: int) -> list[tuple[float, int, int]]:
+    """(coverage, first word, last word) of the best chains of ``parts``, best first; no part is in two of them.
+
+    parts: first_word, last_word, ats (template places of its grams). In a chain, both ends of the parts ascend in the
+    text and in the template, and the text from the first to the last word is at most 2 * size words (or one part).
+    """
+    rows = sorted((p["first_word"], p["last_word"], min(p["ats"]), max(p["ats"]), frozenset(t + k for t in p["ats"] for k in range(width))) for p in parts)
+    found = []
+    for i, start in enumerate(rows):
+        best = {i: (start[4], (i,))}
+        for j in range(i + 1, len(rows)):
+            b = rows[j]
+            if b[0] >= start[0] + 2 * size:
+                break
+            if b[1] >= start[0] + 2 * size:
+                continue
+            before = [best[k] for k in best if all(x < y for x, y in zip(rows[k][:4], b[:4], strict=True))]
+            if before:
+                words, way = max(before, key=lambda x: len(x[0] | b[4]))
+                best[j] = (words | b[4], (*way, j))
+        words, way = max(best.values(), key=lambda x: (len(x[0]), -len(x[1])))
+        found.append((len(words) / size, way))
+        if len(way) > 1:
+            found.append((len(start[4]) / size, (i,)))
+    out, used = [], set()
+    for coverage, way in sorted(found, key=lambda x: -x[0]):
+        if used.isdisjoint(way):
+            used.update(way)
+            out.append((coverage, rows[way[0]][0], rows[way[-1]][1]))
     return out
 
 
@@ -109,31 +147,45 @@ def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int =
     """
     keyed = docs.select(*_address(text), F.col(text).alias("text"))
 
+    known = templates(extra)
+    wanted = {width: np.unique([t[0] for t in known if t[5] == width]) for width in {t[5] for t in known}}
+
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
         for batch in batches:
             for i, j, hashes, first in _sliced(batch, 2):
-                rolled = common.shingle_hashes(hashes, K).view(np.int64)
-                begin = first[:-1]
-                size = np.maximum(0, np.diff(first) - K + 1)
-                at = np.concatenate([[0], np.cumsum(size)])
-                take = np.repeat(begin - at[:-1], size) + np.arange(at[-1])
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(rolled[take]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), lists], names=["k1", "k2", "grams"])
-
-    rolled = keyed.mapInArrow(grams, "k1 long, k2 long, grams array<long>").select("k1", "k2", F.posexplode("grams").alias("place", "gram"))
-    known = docs.sparkSession.createDataFrame(templates(extra), "gram long, template int, at int, label string, size int")
-    votes = rolled.join(F.broadcast(known), "gram").groupBy("k1", "k2", "template", "label", "size", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+                owner = np.repeat(np.arange(i, j), np.diff(first))
+                for width, codes in wanted.items():
+                    rolled = common.shingle_hashes(hashes, width).view(np.int64)
+                    at = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, rolled), len(codes) - 1)] == rolled)
+                    at = at[owner[at] == owner[at + width - 1]]  # a gram doesn't reach into the next text
+                    rows = owner[at]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array((at - first[rows - i]).astype(np.int32)), pa.array(rolled[at])], names=["k1", "k2", "place", "gram"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                least = max(share, 1 - r["size"] / 50)
+                out += [(r["k1"], r["k2"], r["label"], a, b, c) for c, a, b in chains(r["parts"], r["size"], r["width"]) if c >= least]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["k1", "k2", "label", "first_word", "last_word", "coverage"])
+
+    rolled = keyed.mapInArrow(grams, "k1 long, k2 long, place int, gram long")
+    places = docs.sparkSession.createDataFrame(known, "gram long, template int, at int, label string, size int, width int")
+    one = ["k1", "k2", "template", "label", "size", "width"]
+    votes = rolled.join(F.broadcast(places), "gram").groupBy(*one, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     own = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(own) <= apart, 0).otherwise(1)
     merged = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = merged.groupBy("k1", "k2", "template", "label", "size", "span").agg(
+    joined = merged.groupBy(*one, "span").agg(
         F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
         F.min(F.col("diagonal") + F.array_min("ats")).alias("first_word"),
-        F.max(F.col("diagonal") + F.array_max("ats") + K - 1).alias("last_word"),
+        F.max(F.col("diagonal") + F.array_max("ats") + F.col("width") - 1).alias("last_word"),
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda t: F.sequence(t, t + K - 1)))))
-    return joined.withColumn("coverage", covered / F.col("size")).filter(F.col("coverage") >= F.greatest(F.lit(share), 1 - F.col("size") / 50)).select("k1", "k2", "label", "first_word", "last_word", "coverage")
+    parts = joined.groupBy(*one).agg(F.collect_list(F.struct("first_word", "last_word", "ats")).alias("parts"))
+    return parts.mapInArrow(chained, "k1 long, k2 long, label string, first_word int, last_word int, coverage double")
 
 
 def _address(text: str) -> list:
