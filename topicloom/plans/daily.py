@@ -80,7 +80,7 @@ def embedded(articles: DataFrame, opts: Options) -> DataFrame:
 
 
 def clustered(articles: DataFrame, opts: Options) -> DataFrame:
-    """k-means clusters, similar ones merged, tails trimmed, tiny and incoherent ones dropped."""
+    """k-means clusters, similar ones merged, tails trimmed, tiny ones dropped."""
     raw = articles.select("ord", F.col("embedding").cast("array<double>").alias("vector"))
     rows = articles.join(vectors.kmeans(raw, opts.centroid_k), "ord")
     centres = vectors.centroids(rows.select(F.col("cluster_id").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("vector")), "ord").withColumnRenamed("centroid", "vector")
@@ -92,20 +92,48 @@ def clustered(articles: DataFrame, opts: Options) -> DataFrame:
     return art.sizeable(rows, 2, art.titled_or_linked(F.col("title"), F.col("url")))
 
 
+def coherent(rows: DataFrame) -> DataFrame:
+    """Late trim of tails; clusters of under two titles, under four articles, or small and incoherent are dropped."""
+
+    def two_titles(some: DataFrame) -> DataFrame:
+        return some.join(art.sizeable(some, 2, text.or_empty(F.col("title")) != "").select("cluster_id").distinct(), "cluster_id", "left_semi")
+
+    rows = two_titles(rows)
+    kept = vectors.trimmed(vectors.unit_rows(rows), cautious=False, floor=10)
+    rows = written(two_titles(rows.join(kept, ["cluster_id", "ord"], "left_semi")), "late_trim")
+    told = rows.filter(text.article_text(F.col("title"), F.col("description"), most=300) != "")
+    loose = vectors.cohesion(vectors.unit_rows(told), "cluster_id").withColumnRenamed("n", "texts")
+    size = rows.groupBy("cluster_id").agg(F.count("*").alias("n")).join(loose, "cluster_id", "left")
+    bad = stats.incoherent(F.col("n"), F.coalesce("texts", F.lit(0)), F.coalesce("p10_sim", F.lit(1.0)), F.coalesce("std_sim", F.lit(0.0)))
+    return rows.join(size.filter(~bad).select("cluster_id"), "cluster_id", "left_semi")
+
+
+def deduplicated(rows: DataFrame, opts: Options, passes: int = 2) -> DataFrame:
+    """``rows`` after near-duplicate topics are merged, until none is or after ``passes``; cluster_id is the rank from 0."""
+    topics = rows.select("cluster_id").distinct().count()
+    for _ in range(passes):
+        linked = similarity.url_pairs(rows).select("i", "j")
+        likely = similarity.tfidf_pairs(similarity.tfidf(clusters.title_text(rows), dims.TITLE_STOP), 0.88).select("i", "j")
+        pairs = linked.unionByName(likely).distinct().select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+        key = url.merge_key(F.col("url_normalized"), F.col("url"), F.col("title"), F.col("source"))
+        own = rows.select(F.col("cluster_id").alias("topic"), "ord", key.alias("key"), url.domain(F.col("url")).alias("domain"))
+        stay = folds.merge_duplicates(own, pairs, opts.compat)
+        rows = written(stay.withColumnRenamed("topic", "cluster_id").join(rows.drop("cluster_id"), "ord"), "final")
+        before, topics = topics, rows.select("cluster_id").distinct().count()
+        if topics == before:
+            break
+    return rows
+
+
 def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
-    """Topics with measures and rank, after duplicates are collapsed and suspicious ones judged."""
+    """Topics with measures and rank, after duplicates are collapsed, incoherent ones dropped and suspicious ones judged."""
     kept = clusters.signature_collapse(rows).select("cluster_id")
-    rows = written(rows.join(kept, "cluster_id", "left_semi"), "collapsed")
+    rows = written(coherent(rows.join(kept, "cluster_id", "left_semi")), "collapsed")
     order = clusters.ranked(clusters.measured(rows, opts.date, F.col("bias")), "matter_score", "cluster_ord").select("cluster_id", "matter_score", "cluster_ord")
     ranks = {r["cluster_id"]: i for i, r in enumerate(order.collect())}  # topics of one run: at most a few hundred
     index = rows.sparkSession.createDataFrame(list(ranks.items()) or [(0, 0)], "cluster_id long, topic long")
-    linked = similarity.url_pairs(rows).select("i", "j")
-    likely = similarity.tfidf_pairs(similarity.tfidf(clusters.title_text(rows), dims.TITLE_STOP), 0.88).select("i", "j")
-    pairs = linked.unionByName(likely).distinct().join(index.select(F.col("cluster_id").alias("i"), F.col("topic").alias("a")), "i").join(index.select(F.col("cluster_id").alias("j"), F.col("topic").alias("b")), "j").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    key = url.merge_key(F.col("url_normalized"), F.col("url"), F.col("title"), F.col("source"))
-    own = rows.join(index, "cluster_id").select("topic", "ord", key.alias("key"), url.domain(F.col("url")).alias("domain"))
-    stay = folds.merge_duplicates(own, pairs, opts.compat)
-    rows = written(stay.withColumnRenamed("topic", "cluster_id").join(rows.drop("cluster_id"), "ord"), "final")
+    rows = written(rows.join(index, "cluster_id").drop("cluster_id").withColumnRenamed("topic", "cluster_id"), "indexed")
+    rows = deduplicated(rows, opts)
     measures = clusters.measured(rows, opts.date, F.col("bias"))
     # Small fresh topics go into the leading three that they are most like.
     titles = vectors.as_provider(clusters.title_text(rows), "text", opts.embedder.encode, opts.embedder.dims).select("cluster_id", F.col("vector").cast("array<double>").alias("vector"))
@@ -142,7 +170,7 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
 
 
 def summaries(topics: DataFrame, opts: Options, least: int = 6) -> DataFrame:
-    """One row per topic of at least ``least`` articles: headline, summary, takeaways, shares, sources, category."""
+    """One row per topic of at least ``least`` articles, near-duplicate ones merged: headline, summary, takeaways, shares, sources, category."""
     rows = art.sizeable(topics, least)
     central = vectors.central(vectors.unit_rows(rows), 10).select("cluster_id", "ord", "place")
     picked = rows.join(central, ["cluster_id", "ord"]).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title", "description"))), lambda p: F.struct(p["title"].alias("t"), p["description"].alias("d"))).alias("picked"))
@@ -166,7 +194,12 @@ def summaries(topics: DataFrame, opts: Options, least: int = 6) -> DataFrame:
     chips = serving.chips(rows, F.col("bias"), F.lit(None).cast("string"))
     found = told.join(share, "cluster_id").join(sources, "cluster_id").join(chips, "cluster_id").join(category, "cluster_id", "left")
     query = text.image_query(F.col("topic_title"), F.col("summary"))
-    return found.withColumn("image_query", query).orderBy(F.desc("num_sources"), F.desc("matter_score"), "cluster_id").limit(opts.top)
+    found = found.withColumn("image_query", query)
+    best = [F.desc("num_sources"), F.desc("matter_score"), "cluster_id"]
+    # At most ``top`` rows are numbered; repeated ones are folded into the first.
+    told = written(found.orderBy(*best).limit(opts.top).withColumn("ord", F.row_number().over(Window.orderBy(*best))), "told")
+    stay = folds.merge_summaries(told, most=opts.top).select("ord", "sources", "num_sources")
+    return told.drop("sources", "num_sources").join(stay, "ord").orderBy("ord").select(*found.columns)
 
 
 def run(spark: SparkSession, raw: DataFrame, opts: Options) -> dict[str, DataFrame]:
