@@ -190,7 +190,7 @@ def fuzzy_topic_merge(spark, sf_dir):
 @query()
 def kmeans_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
-    return ops.kmeans(e, k=10).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return ops.kmeans(e).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
 @query()
