@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -170,3 +171,40 @@ def test_long_words_are_filtered_alike():
     ends = np.cumsum(a[1])
     for t, e, n in zip(texts, ends, a[1], strict=True):
         assert one.decode(a[0][e - n : e].tolist()) == t.encode()
+
+
+def test_coder_beats_static_frequencies():
+    """On the ids of a whole table: fewer bits an id than the entropy of the table's own id frequencies."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks()
+    raw = b"".join(x + b"\0" * 4 for x in ENCODERS["bytes"].batch(tokens.SPLITS["bytes"](texts)))
+    ids = np.frombuffer(raw, "<u4").astype(np.int64)
+    words, sizes = rangecoder.encode(ids, 1 << 18, 16)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 32 * len(words) / len(ids) < 0.96 * -(share * np.log2(share)).sum()
+    assert np.array_equal(rangecoder.decode(words, sizes, len(ids), 1 << 18, 16), ids)
+
+
+@pytest.mark.parametrize("n", [1, 511, 1023, 1024, 5000, 70_000])
+@pytest.mark.parametrize("id_bits", [9, 16, 17])
+def test_coder_lanes_and_wide_ids(n, id_bits):
+    draw = np.random.default_rng(n)
+    ids = np.minimum(draw.integers(0, 1 << id_bits, n), draw.integers(0, 1 << id_bits, n))
+    words, sizes = rangecoder.encode(ids, 2048, id_bits)
+    assert len(sizes) == -(-n // 2048)
+    assert np.array_equal(rangecoder.decode(words, sizes, n, 2048, id_bits), ids)
+
+
+def test_coder_refuses_blocks_it_has_no_precision_for():
+    with pytest.raises(ValueError, match="block"):
+        rangecoder.encode(np.arange(4), rangecoder.MOST_BLOCK + 1, 16)
+
+
+@pytest.mark.parametrize("most", [0, 7, 60])
+def test_full_memory_changes_no_ids(most):
+    """Units beyond the memory's bound, long ones and returning ones: always the library's ids."""
+    draw = np.random.default_rng(most)
+    own = tokens.UnitEncoder(BYTES, most=most, longest=20)
+    for _ in range(6):
+        texts = [" ".join("".join(draw.choice(list("abé,.% \n"), draw.integers(1, 30))) for _ in range(20)) for _ in range(3)]
+        assert own.batch(tokens.SPLITS["bytes"](pa.array(texts))) == own.whole(texts)
+        assert own.memory.n <= most and len(own.memory.long) <= most

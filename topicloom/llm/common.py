@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.sources.tables import drop_table, new_folder, written
+from topicloom.sources import tables
+from topicloom.sources.tables import drop_table, new_folder
 
-__all__ = ["BASE", "LOWER", "buffers", "drop_table", "held", "id_crc32", "mix", "new_folder", "release", "shingle_hashes", "slices", "small_batches", "table", "word_hashes", "words", "written"]
+__all__ = ["BASE", "LOWER", "buffers", "bounded_batches", "drop_table", "free_name", "held", "id_crc32", "mix", "new_folder", "release", "shingle_hashes", "slices", "table", "word_hashes", "words", "written"]
 
 #: Odd multiplier of the rolling polynomial hash, modulo 2**64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
@@ -45,8 +47,28 @@ def release(always: bool = False) -> None:
             pass
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes while a job runs; the session's own settings come back."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as a table in the shared folder, by tasks with bounded batches, and read back."""
+    with bounded_batches(df.sparkSession):
+        return tables.written(df, label)
+
+
 def small_batches(df: DataFrame, rows: int = 256, size: int = 16 << 20) -> DataFrame:
-    """``df``, after its session's Arrow batches are bounded: what a worker holds then doesn't grow with the texts."""
+    """``df``, after its session's Arrow batches are bounded."""
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -55,7 +77,15 @@ def small_batches(df: DataFrame, rows: int = 256, size: int = 16 << 20) -> DataF
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes that ``docs`` has no such column in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def id_crc32(col: str | Column) -> Column:

@@ -6,7 +6,7 @@ blocks, and the blocks, each coded by ``rangecoder`` from reset tables. A file i
 uncompressed, so that Spark's commit protocol covers it and any store that Spark writes can hold it.
 
 Defined cases: a null or empty text is its end id alone; null document ids come first; rows with equal ids follow each
-other in order of text; an empty table gives files without segments. A segment whose checksum fails raises ValueError.
+other in order of a hash of their text; an empty table gives files without segments. A segment whose checksum fails raises ValueError.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def pack_segment(keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray, block: in
     raw = ids.astype("<u4").tobytes()
     sums = np.array([zlib.crc32(raw[i : i + 4 * block]) for i in range(0, len(raw), 4 * block)], "<u4")
     index = zlib.compress(keys.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + sums.tobytes(), 1)
-    head = _HEAD.pack(_MAGIC, 1, id_bits, block, len(ids), len(keys), len(index))
+    head = _HEAD.pack(_MAGIC, 2, id_bits, block, len(ids), len(keys), len(index))
     body = head + index + words.astype("<u4").tobytes()
     return body + struct.pack("<I", zlib.crc32(head + index))
 
@@ -42,7 +42,7 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, ids of each, all ids), every block checked."""
     magic, version, id_bits, block, n, docs, size = _HEAD.unpack_from(data)
     at = _HEAD.size
-    if magic != _MAGIC or version != 1 or zlib.crc32(data[: at + size]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
+    if magic != _MAGIC or version != 2 or zlib.crc32(data[: at + size]) != struct.unpack_from("<I", data, len(data) - 4)[0]:
         raise ValueError("not a segment of token ids, or its index is damaged")
     index = zlib.decompress(data[at : at + size])
     blocks = -(-n // block)
@@ -60,9 +60,8 @@ def unpack_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SEGMENTS = "file int, segment int, n_ids long, payload binary"
 
 
-def write_token_files(docs: DataFrame, path: str, vocabulary: str, split: str = "bytes", end_id: int = 0, id_bits: int = 16, files: int | None = None, block: int = 1024, segment_ids: int = 8 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
+def write_token_files(docs: DataFrame, path: str, vocabulary: str, split: str = "bytes", end_id: int = 0, id_bits: int = 16, files: int | None = None, block: int = 1 << 18, segment_ids: int = 4 << 20, text: str = "text", doc_id: str = "doc_id") -> None:
     """Writes all of ``docs`` to ``path``; each file's name is its place in the order of ids."""
-    docs = common.small_batches(docs)
     files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     end = int(end_id).to_bytes(4, "little")
 
@@ -93,7 +92,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, split: str =
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spread = F.xxhash64("text")  # rows of one hot id can go to several files; they stay next to each other
     dealt = slim.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), spread).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), spread, "text")
-    dealt.mapInArrow(code, _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
+    with common.bounded_batches(docs.sparkSession):
+        dealt.mapInArrow(code, _SEGMENTS).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
