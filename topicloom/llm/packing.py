@@ -31,7 +31,6 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, split: str = "words", end_id: int = 0, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per piece; ``place`` numbers the pieces of one length within a task. ``split``: see ``tokens``."""
-    docs = common.small_batches(docs)
     names = [x.split()[0] for x in _PIECES.split(", ")]
     end = int(end_id).to_bytes(4, "little")
 
