@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _FOLDERS: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``; where it is unset, a new folder if driver and executors are one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="topicloom-")
         spark.conf.set("spark.checkpoint.dir", root)
         _FOLDERS.append((spark, root))
@@ -22,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    """A path that nothing has written to yet; it goes when the session ends."""
+    """A path that nothing has written to yet; it goes when the session ends, or with ``sweep``."""
     path = f"{shared_folder(spark)}/topicloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     _FOLDERS.append((spark, path))
     return path
@@ -49,7 +52,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _bare(path: str) -> str:
+    """A path without scheme and host: Spark names files in full, settings often don't."""
+    return "/" + re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", path).lstrip("/")
+
+
+def _drop(folders: list[tuple[SparkSession, str]]) -> None:
+    for entry in folders:
+        remove(*entry)
+        _FOLDERS.remove(entry)
+
+
+def _holds(path: str, files: list[str]) -> bool:
+    return any(_bare(f).startswith(_bare(path) + "/") for f in files)
+
+
 def drop_table(df: DataFrame) -> None:
     """Removes a table of ``written`` that no later plan reads."""
-    for _, path in [x for x in _FOLDERS if any(f.startswith(x[1]) for f in df.inputFiles()[:1])]:
-        remove(df.sparkSession, path)
+    files = df.inputFiles()[:1]
+    _drop([x for x in _FOLDERS if _holds(x[1], files)])
+
+
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_FOLDERS)
+
+
+def sweep(since: int, keep: DataFrame) -> None:
+    """Removes the tables written since ``mark`` gave ``since``, but for the one that ``keep`` reads."""
+    files = keep.inputFiles()[:1]
+    root = [p for s, p in _FOLDERS[since:] if p == s.conf.get("spark.checkpoint.dir", None)]
+    _drop([x for x in _FOLDERS[since:] if x[1] not in root and not _holds(x[1], files)])
