@@ -79,3 +79,29 @@ def test_written_shards(spark, tmp_path, nothing):
     assert back.count() == 40
     assert max(r["b"] for r in back.groupBy("_shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()) <= 1000
     assert sharding.shards(nothing, 10).count() == 0
+
+
+def test_shards_of_a_hot_key_over_many_partitions(spark):
+    """A third of all rows under one key, over 200 partitions; shards as the directory defines them, found one bit at a time."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i} " * (1 + i % 5)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(220)
+    got = sharding.shards(df, 2000).select("row.doc_id", "n_bytes", "shard", "depth", "shard_bytes").collect()
+    assert len(got) == 3000
+    sums, rows_of = {}, {}
+    for r in got:
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["n_bytes"]
+        rows_of[r["shard"]] = rows_of.get(r["shard"], 0) + 1
+    leaves = [(int(d), int(q)) for d, q in (s.split(":") for s in sums)]
+    for r in got:
+        assert r["shard_bytes"] == sums[r["shard"]] and (sums[r["shard"]] <= 2000 or rows_of[r["shard"]] == 1)
+    every = {(d - k, q >> k) for d, q in leaves for k in range(1, d + 1)}
+    for d, q in every:  # a bucket that was split is over the limit
+        assert sum(b for s, b in sums.items() for dd, qq in [tuple(map(int, s.split(":")))] if dd >= d and qq >> (dd - d) == q) > 2000
+
+
+def test_written_shards_take_any_column_names(spark, tmp_path, texts):
+    df = texts.select("doc_id", "text", F.lit("mine").alias("_shard"), "row")
+    sharding.write_shards(df, str(tmp_path / "s"), 1 << 20)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == ["doc_id", "text", "_shard", "row", "_shard_"] and back.count() == df.count()
+    assert {r["_shard"] for r in back.collect()} == {"mine"}
