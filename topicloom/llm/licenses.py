@@ -3,8 +3,9 @@
 Every k-gram hash of a text's words that a licence template holds is joined in Spark to its places in the templates. A hit
 at text place p and template place t votes for the diagonal p - t; votes are counted by text, template and diagonal, and
 diagonals a few words apart (an inserted or dropped word) are merged. Merged parts that follow each other in the text as in
-the template, over at most twice the template's words, are added up (a longer insertion or gap), and a span is verified by
-the share of the template's words that it covers. A template of fewer than K words is one gram and is found whole only.
+the template, over at most twice the template's words, are added up (a longer insertion or gap). A span whose votes cover
+half of what is needed is verified: its words are aligned with the template's, in order, and the share of the template's
+words that are found decides; of spans of one place the best covered counts. A template of fewer than K words is one gram and is found whole only.
 The base labels are a plain search for three phrases and always stay.
 
 Texts are addressed by 128 hash bits of their content, so copies vote for one set of places, and a very frequent text is
@@ -35,18 +36,29 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: Licence notices, each with the label it gives.
 TEMPLATES = [
     ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
     ("mit-notice", "This software is released under the MIT License"),
     ("mit-notice", "Licensed under the MIT License"),
     ("mit-notice", "Released under the MIT License"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details"),
+    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
     ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("reserved", "All rights reserved"),
     ("reserved", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
@@ -140,42 +152,82 @@ def _sliced(batch: pa.RecordBatch, column: int):
         yield i, j, *word_table(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
-def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int = 3, extra: list[tuple[str, str]] = ()) -> DataFrame:
-    """Verified spans of each different text: k1, k2 (its address), label, first_word, last_word, coverage.
+def aligned(template: np.ndarray, words: np.ndarray) -> int:
+    """How many words of ``template`` stand in ``words`` in the same order: the longest common subsequence."""
+    best = np.zeros(len(words) + 1, np.int64)
+    for t in template:
+        step = np.maximum(best[1:], best[:-1] + (words == t))
+        best[1:] = np.maximum.accumulate(step)
+    return int(best[-1])
 
-    A span needs ``share`` of its template's words, a short template nearly all of them: notices differ by few words.
-    """
+
+def _better(one: tuple, other: tuple) -> bool:
+    """Whether a span tells more of most of another's words: notices of one family are alike, the best covered one counts."""
+    (label, a, b, coverage), (theirs, c, d, least) = one, other
+    return label != theirs and coverage > least and 2 * (min(b, d) - max(a, c) + 1) > d - c + 1
+
+
+def needed(size: int, share: float) -> float:
+    """The share of a template's words that a span must hold: of a short one nearly all, as notices differ by few words."""
+    return max(share, 1 - size / 50)
+
+
+def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int = 3, extra: list[tuple[str, str]] = ()) -> DataFrame:
+    """Verified spans of each different text: k1, k2 (its address), label, first_word, last_word, coverage."""
     keyed = docs.select(*_address(text), F.col(text).alias("text"))
 
     known = templates(extra)
     wanted = {width: np.unique([t[0] for t in known if t[5] == width]) for width in {t[5] for t in known}}
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hits; the first one of a text brings the hashes of all its words."""
         common.release()
         for batch in batches:
             for i, j, hashes, first in _sliced(batch, 2):
                 owner = np.repeat(np.arange(i, j), np.diff(first))
+                told: set[int] = set()
                 for width, codes in wanted.items():
                     rolled = common.shingle_hashes(hashes, width).view(np.int64)
                     at = np.flatnonzero(codes[np.minimum(np.searchsorted(codes, rolled), len(codes) - 1)] == rolled)
                     at = at[owner[at] == owner[at + width - 1]]  # a gram doesn't reach into the next text
                     rows = owner[at]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array((at - first[rows - i]).astype(np.int32)), pa.array(rolled[at])], names=["k1", "k2", "place", "gram"])
+                    lead = np.zeros(len(rows), bool)
+                    lead[np.unique(rows, return_index=True)[1]] = True
+                    words = [hashes[first[r - i] : first[r - i + 1]].view(np.int64) if led and r not in told else None for r, led in zip(rows.tolist(), lead.tolist(), strict=True)]
+                    told.update(rows.tolist())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array((at - first[rows - i]).astype(np.int32)), pa.array(rolled[at]), pa.array(words, pa.list_(pa.int64()))], names=["k1", "k2", "place", "gram", "words"])
 
     def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                least = max(share, 1 - r["size"] / 50)
-                out += [(r["k1"], r["k2"], r["label"], a, b, c) for c, a, b in chains(r["parts"], r["size"], r["width"]) if c >= least]
+                out += [(r["k1"], r["k2"], r["template"], a, b) for c, a, b in chains(r["parts"], r["size"], r["width"]) if 2 * c >= needed(r["size"], share)]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["k1", "k2", "template", "first_word", "last_word"])
+
+    notices = [(label, _words_of(notice).view(np.int64)) for label, notice in [*TEMPLATES, *extra]]
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, out = batch.column(3), []
+            values, at = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
+            for row, (k1, k2, likely) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                own, found = values[at[row] : at[row + 1]], []
+                for s in likely:
+                    label, notice = notices[s["template"]]
+                    coverage = aligned(notice, own[s["first_word"] : s["last_word"] + 1]) / len(notice)
+                    if coverage >= needed(len(notice), share):
+                        found.append((label, s["first_word"], s["last_word"], coverage))
+                out += [(k1, k2, *f) for f in found if not any(_better(g, f) for g in found)]
             types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.float64()]
             columns = zip(*out, strict=True) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=["k1", "k2", "label", "first_word", "last_word", "coverage"])
 
-    rolled = keyed.mapInArrow(grams, "k1 long, k2 long, place int, gram long")
-    places = docs.sparkSession.createDataFrame(known, "gram long, template int, at int, label string, size int, width int")
-    one = ["k1", "k2", "template", "label", "size", "width"]
-    votes = rolled.join(F.broadcast(places), "gram").groupBy(*one, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    rolled = common.written(keyed.mapInArrow(grams, "k1 long, k2 long, place int, gram long, words array<long>"), "hits")
+    places = docs.sparkSession.createDataFrame(known, "gram long, template int, at int, label string, size int, width int").drop("label")
+    one = ["k1", "k2", "template", "size", "width"]
+    votes = rolled.select("k1", "k2", "place", "gram").join(F.broadcast(places), "gram").groupBy(*one, (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     own = Window.partitionBy("k1", "k2", "template").orderBy("diagonal")
     fresh = F.when(F.col("diagonal") - F.lag("diagonal").over(own) <= apart, 0).otherwise(1)
     merged = votes.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -185,7 +237,11 @@ def spans(docs: DataFrame, text: str = "text", share: float = 0.6, apart: int =
         F.max(F.col("diagonal") + F.array_max("ats") + F.col("width") - 1).alias("last_word"),
     )
     parts = joined.groupBy(*one).agg(F.collect_list(F.struct("first_word", "last_word", "ats")).alias("parts"))
-    return parts.mapInArrow(chained, "k1 long, k2 long, label string, first_word int, last_word int, coverage double")
+    likely = parts.mapInArrow(chained, "k1 long, k2 long, template int, first_word int, last_word int")
+    words = rolled.filter("words is not null").select("k1", "k2", "words").dropDuplicates(["k1", "k2"])  # copies have the same words
+    by_text = likely.groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "first_word", "last_word")).alias("likely"))
+    found = by_text.join(words, ["k1", "k2"]).select("k1", "k2", "likely", "words")
+    return found.mapInArrow(verified, "k1 long, k2 long, label string, first_word int, last_word int, coverage double")
 
 
 def _address(text: str) -> list:
@@ -195,7 +251,6 @@ def _address(text: str) -> list:
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    docs = common.small_batches(docs)
     names = ["doc_id", "k1", "k2", "n_words", "n_base", "first_word", "last_word", "base"]
     label = list(PHRASES.values())
 
