@@ -4,11 +4,12 @@ The lattice of a text has an edge for every vocabulary piece that stands at a pl
 1 / (r + 100) ** alpha. Forward filtering sums the weights of all paths to each place, backward sampling draws the edge
 into the last place by its share of that sum, and so on to the start: each segmentation comes with its exact probability.
 Blanks are written as the vocabulary's blank sign; no piece reaches past a blank into the next word, so words are
-independent parts of the lattice: each different word is filtered once, and all words of a batch are sampled together.
+independent parts of the lattice; so are the parts of a long word between places that no piece reaches across. Each
+different part is filtered once, and all parts of a batch are sampled together.
 Random numbers are a hash of row key, word and step, so a row's segmentation is the same on any cluster and partition.
 
 A character without a piece of its own is its UTF-8 bytes (byte pieces); so is the blank sign when a text holds it
-itself. Decoding is lossless for every text. Defined cases: null and empty texts have no pieces; a null key is the key 0;
+itself. Decoding is lossless for every text. Defined cases: null and empty texts have no pieces; a null key has the key hash 0;
 rows with equal key and text are sampled alike; empty tables give empty results; other columns are not read.
 """
 
@@ -26,6 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 _BLANK = "▁"
+
+#: Words of more characters are cut where no piece reaches across, so that text without blanks is words again.
+APART = 40
 _WORDS = re.compile(r" *[^ ]+| +")
 
 
@@ -190,6 +194,31 @@ class Lattice:
         reach, share, size, ids = (np.array(x) for x in zip(*out, strict=True))
         return int(self._put(reach, share, size, ids, n)[-1])
 
+    def _apart(self, word: str) -> list[str]:
+        """Parts of a long word that no piece reaches across: as independent of each other as words are."""
+        points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        n, k = len(points), 0
+        reach = np.arange(1, n + 1)
+        live, state = np.arange(n), np.zeros(n, np.int64)
+        while len(live):
+            key = state << 21 | points[live + k]
+            at = np.searchsorted(self.keys, key)
+            fine = self.keys[at] == key
+            live, state = live[fine], self.targets[at[fine]]
+            k += 1
+            hit = self.piece[state] >= 0
+            reach[live[hit]] = live[hit] + k
+            go = live + k < n
+            live, state = live[go], state[go]
+        cuts = [0, *(np.flatnonzero(np.maximum.accumulate(reach)[:-1] <= np.arange(1, n)) + 1).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _parts(self, text: str) -> list[str]:
+        words = _WORDS.findall(text)
+        if all(len(w) <= APART for w in words):
+            return words
+        return [part for w in words for part in (self._apart(w) if len(w) > APART else (w,))]
+
     def place(self, words: list[str]) -> np.ndarray:
         """(last place, characters) of each word."""
         known = self.node_of
@@ -206,7 +235,7 @@ class Lattice:
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each): one drawn segmentation of each text."""
-        parts = [_WORDS.findall(t) for t in texts]
+        parts = [self._parts(t) for t in texts]
         counts = np.array([len(p) for p in parts], np.int64)
         words = [w for p in parts for w in p]
         if not words:
@@ -273,7 +302,6 @@ def lattice(path: str, alpha: float) -> Lattice:
 
 def sampled(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, text: str = "text", key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Per row: key, n_pieces, ids_crc32 (little-endian unsigned 32 bits), lossless, and ``ids`` as such bytes if asked for."""
-    docs = common.small_batches(docs)
     kind = docs.schema[key].dataType.simpleString()
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,5 +321,5 @@ def sampled(docs: DataFrame, model: str, alpha: float = 1.0, seed: int = 0, text
                     columns, names = [*columns, pa.array([raw[4 * a : 4 * b] for a, b in cuts], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    plain = docs.select(F.col(key), F.col(text), F.coalesce(F.xxhash64(F.col(key)), F.lit(0)).alias("key_hash"))
+    plain = docs.select(F.col(key), F.col(text), F.when(F.col(key).isNull(), F.lit(0)).otherwise(F.xxhash64(F.col(key))).cast("long").alias("key_hash"))
     return plain.mapInArrow(draw, f"{key} {kind}, n_pieces long, ids_crc32 long, lossless boolean" + ", ids binary" * with_ids)
