@@ -92,3 +92,28 @@ def test_passages_cover_all_words():
     x, first = quality.encode(*common.buffers(pa.array(texts)))
     assert np.diff(first).tolist() == [1, 1, 2, 1, 1]
     assert (x[:, -2] * quality.WORDS).round().tolist() == [0, 64, 64, 1, 0, 1]
+
+
+def test_own_column_names_are_free(spark, texts):
+    """A table that already has the columns the classifiers add: both stay readable, the new one is last."""
+    docs = texts.select("doc_id", "text", F.lit(7).alias("Quality_score"), F.lit("x").alias("language"))
+    scored = quality.assess(docs, quality.fit([], []))
+    assert scored.columns == [*docs.columns, "quality_score_"]
+    assert {(r["Quality_score"], r["quality_score_"]) for r in scored.collect()} == {(7, 0.5)}
+    found = language.identify(docs, language.fit(["the"], ["en"]))
+    assert found.columns == [*docs.columns, "language_"] and {r["language"] for r in found.select("language").collect()} == {"x"}
+
+
+def test_every_language_and_label_teaches(spark):
+    rows = [(i, f"text number {i} " + "abcdefgh"[i % 8] * 30, f"l{i % 40:02d}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.train(docs, F.lit(True), per_class=50, most=80).classes == tuple(f"l{k:02d}" for k in range(40))
+    labels = spark.createDataFrame([(i, 5 * (i % 2)) for i in range(400)], "doc_id long, quality int")
+    assert quality.train(docs, labels, epochs=1).share == 0.5
+
+
+def test_session_settings_come_back(spark, texts):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    common.written(quality.assess(texts, quality.fit([], [])), "test").count()
+    assert [spark.conf.get(n) for n in names] == before

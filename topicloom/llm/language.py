@@ -7,10 +7,9 @@ one-versus-rest kernel ridge regression is solved on those vectors. The kernel i
 landmarks' part of a score is folded once into a matrix n-gram x class, and a batch of texts is scored by the product of
 its presence matrix with that matrix. Grams are addressed by 16 hash bits.
 
-Fitting reads a bounded sample (``per_class`` texts of each language, those of the smallest hash of text, whole texts);
-scoring reads every byte of every text. Defined cases: a null text or one without a letter is ``und`` with score 0;
+Fitting reads a bounded sample of whole texts (see ``train``); scoring reads every byte of every text. Defined cases: a null text or one without a letter is ``und`` with score 0;
 ties go to the first language in alphabetical order; without any training row every text is ``und``. Empty tables give
-empty results, and other columns are carried along whatever their names.
+empty results, and other columns are carried along whatever their names (see ``identify``).
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,7 +67,7 @@ class LanguageModel:
         out = np.zeros((n, len(self.classes)))
         if not len(self.classes):
             return out
-        codes, sizes, first = [], [], 0
+        codes, sizes, first, held = [], [], 0, 0
 
         def flush(upto: int) -> None:
             if not codes:
@@ -84,9 +83,10 @@ class LanguageModel:
         for i, found in enumerate(presence(body, offsets)):
             codes.append(found)
             sizes.append(len(found))
-            if len(codes) == 256:
+            held += len(found) * len(self.classes)
+            if len(codes) == 256 or held > 1 << 22:
                 flush(i + 1)
-                first = i + 1
+                first, held = i + 1, 0
         flush(n)
         z = out * self.scale
         z = np.exp(z - z.max(axis=1, keepdims=True))
@@ -120,19 +120,21 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 192, ridge: float
     return LanguageModel(classes, folded, scale)
 
 
-def train(docs: DataFrame, learn: Column, per_class: int = 300, text: str = "text", lang: str = "lang", **options) -> LanguageModel:
-    """Fits on at most ``per_class`` rows of each language for which ``learn`` holds, those of the smallest text hash."""
+def train(docs: DataFrame, learn: Column, per_class: int = 300, most: int = 60_000, text: str = "text", lang: str = "lang", **options) -> LanguageModel:
+    """Fits on a bounded sample of the rows for which ``learn`` holds: of each language at most ``per_class`` different texts.
+
+    Every language of those rows is learned. With more than ``most`` / ``per_class`` of them, each has as many fewer texts
+    (one at least) that the sample has about ``most``. A language's texts are dealt to buckets by hash; each bucket gives
+    its smallest hash, and of those the smallest are taken, so one pass over keys finds the sample, the same on any cluster.
+    """
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("label"), F.xxhash64(F.col(text), F.lit(17)).alias("h"))
-    names = [r["label"] for r in rows.select("label").distinct().limit(1000).collect()]
-    if not names:
+    buckets = common.written(rows.groupBy("label", F.pmod("h", F.lit(8 * per_class)).alias("bucket")).agg(F.min("h").alias("h")), "sample")
+    classes = buckets.select("label").distinct().count()
+    if not classes:
         return fit([], [], **options)
-    # Keys only are ranked; each class takes its smallest hashes by a bounded top-k in every task.
-    best = None
-    for name in sorted(names):
-        top = rows.filter(F.col("label") == name).select("label", "h").distinct().orderBy("h").limit(per_class)
-        best = top if best is None else best.unionByName(top)
-    keys = {(r["label"], r["h"]) for r in best.collect()}
-    chosen = docs.sparkSession.createDataFrame(sorted(keys), "label string, h long")
+    each = max(1, min(per_class, most // classes))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h"))  # of 8 * per_class rows at most
+    chosen = buckets.withColumn("place", place).filter(F.col("place") <= each).select("label", "h")
     source = docs.filter(learn).select(F.col(lang).alias("label"), F.col(text).alias("t"), F.xxhash64(F.col(text), F.lit(17)).alias("h"))
     got = source.join(F.broadcast(chosen), ["label", "h"]).groupBy("label", "h").agg(F.min("t").alias("t")).orderBy("h", "label").collect()
     model = fit([r["t"] for r in got], [r["label"] for r in got], **options)
@@ -155,8 +157,11 @@ def has_letters(texts: pa.Array, body: np.ndarray, offsets: np.ndarray) -> np.nd
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with a last column ``into``: struct of lang_pred and score. Other columns pass through, repeats of a name too."""
-    docs = common.small_batches(docs)
+    """``docs`` with a last column ``into``: struct of lang_pred and score. Other columns pass through.
+
+    Where ``docs`` has a column of that name, underscores are added to it; the new column is the last one in any case.
+    """
+    into = common.free_name(docs, into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -167,7 +172,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
         for batch in batches:
             texts = batch.column(at)
             body, offsets = common.buffers(texts)
-            fine = has_letters(texts, body, offsets) & bool(model_.classes)
+            parts = [has_letters(texts.slice(i, j - i), body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in common.slices(offsets, 4 << 20)]
+            fine = np.concatenate([np.zeros(0, bool), *parts]) & bool(model_.classes)
             p = model_.scores(body, offsets)
             if model_.classes:
                 top = p.argmax(axis=1)

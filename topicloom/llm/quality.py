@@ -8,7 +8,7 @@ passages is scored by a logistic output. Everything is trained together by gradi
 Fitting reads a bounded sample (``per_label`` texts of each label, those of the smallest text hash, whole texts);
 scoring reads every passage of every text. Defined cases: a null or blank text is a bag of one empty passage and gets
 that passage's score; with no label or only one, every score is that label's share (0.5 without any). Rows with equal
-texts get equal scores. Empty tables give empty results; other columns are carried along whatever their names.
+texts get equal scores. Empty tables give empty results; other columns are carried along (see ``assess``).
 """
 
 from __future__ import annotations
@@ -152,8 +152,12 @@ def fit(texts: list[str], labels: list[int], hidden: int = 24, gate: int = 12, e
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, text: str = "text", doc_id: str = "doc_id", label: str = "quality", **options) -> QualityModel:
-    """Fits on at most ``per_label`` labelled texts of each label; an id with several labels counts as its largest."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    """Fits on at most ``per_label`` labelled texts of each label, 1 or 0.
+
+    A label above 0 counts as 1, any other as 0; an id with several labels counts as its largest; rows with a null label or
+    id teach nothing.
+    """
+    known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     rank = F.xxhash64(F.col("id"), F.lit(23))
     picks = [known.filter(F.col("y") == y).select("id", "y", rank.alias("h")).orderBy("h", "id").limit(per_label) for y in (0, 1)]
     chosen = [tuple(r) for r in picks[0].unionByName(picks[1]).collect()]
@@ -167,8 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1000, text: str =
 
 
 def assess(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "quality_score") -> DataFrame:
-    """``docs`` with a last column ``into``: the probability of label 1."""
-    docs = common.small_batches(docs)
+    """``docs`` with a last column ``into``: the probability of label 1.
+
+    Where ``docs`` has a column of that name, underscores are added to it; the new column is the last one in any case.
+    """
+    into = common.free_name(docs, into)
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
