@@ -43,16 +43,22 @@ def prompt_line(title: Column, description: Column) -> Column:
     return F.concat(stripped(F.left(or_empty(title), F.lit(200))), F.lit(". "), stripped(F.left(or_empty(description), F.lit(300))))
 
 
+def capitals(c: Column) -> Column:
+    """A capital at the start and after whatever is no letter, small letters elsewhere."""
+    apart = F.regexp_replace(F.lower(c), r"([^\p{Lu}\p{Ll}\p{Lt}])", "$1\u0001 ")
+    return F.replace(F.initcap(apart), F.lit("\u0001 "), F.lit(""))
+
+
 def title_case(label: Column) -> Column:
-    """Hyphens become blanks, words get a capital."""
-    return F.initcap(F.replace(label, F.lit("-"), F.lit(" ")))
+    """Capitals, and hyphens become blanks."""
+    return F.replace(capitals(label), F.lit("-"), F.lit(" "))
 
 
 def canonical_label(raw: Column) -> Column:
     """A known label in canonical form, another in title case; null and empty are Unknown."""
     known = F.create_map(*[F.lit(x) for kv in dims.LABELS.items() for x in kv])
     found = F.try_element_at(known, F.lower(stripped(raw)))
-    return F.when(raw.isNull(), "Unknown").otherwise(F.coalesce(found, F.initcap(raw)))
+    return F.when(raw.isNull(), "Unknown").otherwise(F.coalesce(found, capitals(raw)))
 
 
 def tokens(c: Column, stop: list[str], least: int = 3) -> Column:

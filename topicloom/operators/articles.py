@@ -5,6 +5,8 @@ Rows carry ``ord``, their place in the input. Order is never taken from the Data
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,14 @@ def parsed_date(day: Column) -> Column:
     return F.when(F.length(day) == 10, F.try_to_date(day, "yyyy-MM-dd"))
 
 
+def day_of(date: str) -> datetime.date | None:
+    """A date of the form YYYY-MM-DD given to a run; null where it isn't one."""
+    try:
+        return datetime.date.fromisoformat(date) if len(date) == 10 else None
+    except ValueError:
+        return None
+
+
 def time_box(articles: DataFrame, target: str, days: int = 1) -> DataFrame:
     """Rows within ``days`` of the target date, and those without a valid date. An invalid target filters nothing."""
     centre = parsed_date(F.lit(target))

@@ -248,3 +248,59 @@ def replicated_snippets(spark, sf_dir):
 def approved_clusters(spark, sf_dir):
     rows = articles(spark, sf_dir).filter("cluster_id is not null").groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("source").alias("s"))
     return ops.approved(rows, F.when(F.col("s").isin("src0", "src1"), " Yes, one story").when(F.col("s") == "src2", "No")).select("cluster_id", "n")
+
+
+_CAPITALS = "array_to_string(list_transform(range(1, length({c}) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr({c}, i - 1, 1), '[A-Za-z]') THEN upper(substr({c}, i, 1)) ELSE lower(substr({c}, i, 1)) END), '')"
+
+
+@query(f"""WITH r AS (SELECT doc_id, 'u.s. ' || coalesce(upper(lang), 'x') || '-o''neil/' || source || ' 3rd d''OR-left' AS raw FROM documents)
+    SELECT doc_id, replace({_CAPITALS.format(c="raw")}, '-', ' ') AS title_case, {_CAPITALS.format(c="raw")} AS canonical FROM r""")
+def title_case_labels(spark, sf_dir):
+    """Labels with points, apostrophes, digits and hyphens."""
+    raw = F.concat(F.lit("u.s. "), F.coalesce(F.upper("lang"), F.lit("x")), F.lit("-o'neil/"), "source", F.lit(" 3rd d'OR-left"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.title_case(raw).alias("title_case"), text.canonical_label(raw).alias("canonical"))
+
+
+_FOUR = ("source", "outlet", "publisher", "site_name")
+
+
+@query(rf"""WITH {_DIMS_SQL}, i AS (SELECT name, row_number() OVER (ORDER BY o) - 1 AS i FROM names),
+    a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN i.name END AS source, CASE WHEN doc_id % 3 = 0 THEN lower(j.name) ELSE 'nobody' END AS outlet, CASE WHEN doc_id % 5 = 0 THEN i.name END AS publisher, CASE WHEN doc_id % 7 = 0 THEN upper(j.name) END AS site_name
+        FROM documents LEFT JOIN i ON i.i = doc_id % {len(dims.OUTLETS)} LEFT JOIN i j ON j.i = (doc_id * 13 + 5) % {len(dims.OUTLETS)})
+    SELECT doc_id, coalesce(e0.label, f0.label, e1.label, f1.label, e2.label, f2.label, e3.label, f3.label, 'Center') AS label FROM a
+    """ + " ".join(f"LEFT JOIN names e{k} ON e{k}.name = a.{c} LEFT JOIN folded f{k} ON f{k}.low = lower(a.{c})" for k, c in enumerate(_FOUR)))
+def bias_name_chain(spark, sf_dir):
+    """Names of four kinds, known or not, without URL or own label: the first that is known decides."""
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(dims.OUTLETS)], "i long, name string")
+    d, n = F.col("doc_id"), len(dims.OUTLETS)
+    base = table(spark, sf_dir, "documents").select("doc_id", (d % n).alias("i"), ((d * 13 + 5) % n).alias("j"))
+    rows = base.join(F.broadcast(names), "i", "left").join(F.broadcast(names.select(F.col("i").alias("j"), F.col("name").alias("other"))), "j", "left").select(
+        "doc_id", F.lit(None).cast("string").alias("url"), F.lit("").alias("bias"),
+        F.when(d % 2 == 0, F.col("name")).alias("source"), F.when(d % 3 == 0, F.lower("other")).otherwise("nobody").alias("outlet"), F.when(d % 5 == 0, F.col("name")).alias("publisher"), F.when(d % 7 == 0, F.upper("other")).alias("site_name"),
+    )
+    return ops.bias_labels(rows, _FOUR).select("doc_id", "label")
+
+
+@query("""SELECT e.event_id AS ord, e.event_type AS title, NULL::VARCHAR AS description, 'src' || e.user_id AS source,
+        CASE WHEN e.event_id % 9 = 0 THEN '' ELSE strftime(e.ts, '%Y-%m-%dT%H:%M:%SZ') END AS published_at, CASE WHEN e.event_id % 9 = 0 THEN '' ELSE strftime(e.ts, '%Y-%m-%d') END AS published_date FROM events e""")
+def api_projection(spark, sf_dir):
+    """Events as rows of a news API's reply: nested source, times that may be missing, no description."""
+    at = F.when(F.col("event_id") % 9 != 0, ops.iso_timestamp(F.col("ts")))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("description"), F.lit("u").alias("url"), F.struct(F.concat(F.lit("src"), "user_id").alias("name")).alias("source"), at.alias("publishedAt"))
+    return ops.api_articles(rows).drop("url")
+
+
+@query("""SELECT feed, ord, title, description, url, source, published_at, left(published_at, 10) AS published_date FROM (
+        SELECT 'https://feed/' || user_id AS feed, event_id AS ord, coalesce(event_type, '') AS title, CASE WHEN event_id % 4 = 0 THEN '' ELSE props END AS description, '' AS url,
+            CASE WHEN user_id % 2 = 0 THEN 'Feed ' || user_id ELSE 'https://feed/' || user_id END AS source,
+            CASE WHEN event_id % 6 = 0 THEN '' ELSE strftime(CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 DAY ELSE ts END, '%Y-%m-%dT%H:%M:%SZ') END AS published_at,
+            row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events) WHERE place <= 25""")
+def feed_projection(spark, sf_dir):
+    """Events as feed entries: the first 25 of each feed, updated times where published ones are missing."""
+    e, who = F.col("event_id"), F.col("user_id")
+    feed = F.concat(F.lit("https://feed/"), who)
+    rows = table(spark, sf_dir, "events").select(
+        feed.alias("feed"), F.when(who % 2 == 0, F.concat(F.lit("Feed "), who)).alias("feed_title"), e.alias("ord"), F.col("event_type").alias("title"), F.when(e % 4 != 0, F.col("props")).alias("summary"), F.lit(None).cast("string").alias("link"),
+        F.when(e % 3 != 0, F.col("ts")).alias("published"), F.when(e % 6 != 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("updated"),
+    )
+    return ops.feed_articles(rows)

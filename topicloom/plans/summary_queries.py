@@ -185,3 +185,39 @@ def credit_lines(spark, sf_dir):
     SELECT cluster_id, label, count(*) AS n, coalesce(string_agg(DISTINCT host, ',' ORDER BY host), '') AS domains FROM l GROUP BY 1, 2""")
 def lean_groups(spark, sf_dir):
     return serving.lean_groups(grouped(spark, sf_dir), text.canonical_label(F.col("bias"))).withColumn("domains", F.array_join("domains", ","))
+
+
+#: Whole first lines and texts.
+_WHOLE = "a AS (SELECT doc_id AS ord, split_part(text, chr(10), 1) AS title, text AS description FROM documents WHERE text IS NOT NULL)"
+
+
+def _whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("ord"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("text").alias("description"))
+
+
+@query(rf"""WITH {_WHOLE}, h AS (SELECT ord, trim(regexp_replace(title, '\s+', ' ', 'g')) AS one, '(' || title || ') [x]' AS headline FROM a),
+    p AS (SELECT ord, one, array_to_string({_WORDS.format(c=_PLAIN.format(c=r"regexp_replace(headline, '[()\[\]{}]', ' ', 'g')"))}[1:8], ' ') AS two FROM h)
+    SELECT ord, CASE WHEN one = '' THEN two WHEN two = '' OR two = one THEN one ELSE one || '|' || two END AS queries FROM p""")
+def short_image_queries(spark, sf_dir):
+    headline = F.concat(F.lit("("), "title", F.lit(") [x]"))
+    return _whole(spark, sf_dir).select("ord", F.array_join(text.short_queries(F.col("title"), headline), "|").alias("queries"))
+
+
+@query(rf"""WITH {_WHOLE}, t AS (SELECT ord, trim(regexp_replace(left(title, 20), '^\s+|\s+$', '', 'g')) AS one, array_to_string(({_TOK.format(c="title", n=3, stop=_quoted(dims.IMAGE_STOP))})[1:5], ' ') AS two, {_TOK.format(c="description", n=3, stop=_quoted(dims.IMAGE_STOP))} AS w FROM a),
+    n AS (SELECT ord, w, row_number() OVER (PARTITION BY ord ORDER BY count(*) DESC, w) AS r FROM (SELECT ord, unnest(w) AS w FROM t) GROUP BY 1, 2),
+    k AS (SELECT ord, string_agg(w, ' ' ORDER BY r) AS three FROM n WHERE r <= 5 GROUP BY 1),
+    q AS (SELECT ord, unnest([one, two, coalesce(three, '')]) AS q, unnest([1, 2, 3]) AS p FROM t LEFT JOIN k USING (ord)),
+    d AS (SELECT ord, q, min(p) AS p FROM q WHERE q <> '' GROUP BY 1, 2)
+    SELECT t.ord, coalesce(string_agg(q, '|' ORDER BY p), '') AS queries FROM t LEFT JOIN d ON d.ord = t.ord GROUP BY 1""")
+def photo_query_variants(spark, sf_dir):
+    """A query, a headline's telling words, a text's most frequent ones: each once, in order."""
+    return _whole(spark, sf_dir).select("ord", F.array_join(text.photo_queries(F.left("title", F.lit(20)), F.col("description"), F.col("title")), "|").alias("queries"))
+
+
+@query(f"""WITH {_WHOLE}, t AS (SELECT ord, list_distinct({_TOK.format(c="description", n=3, stop=_quoted(dims.IMAGE_STOP))}) AS w FROM a)
+    SELECT x.ord, len(list_intersect(x.w, y.w)) >= 2 AS words, len(list_intersect(x.w, y.w)) >= 2 AND x.ord % 100 >= 32 AS relevant FROM t x JOIN t y ON y.ord = x.ord + 1""")
+def image_relevance(spark, sf_dir):
+    """Each text beside the next one as a picture's description, at similarities from 0 to 0.99."""
+    rows = _whole(spark, sf_dir).select("ord", F.col("description").alias("topic"))
+    met = rows.join(rows.select((F.col("ord") - 1).alias("ord"), F.col("topic").alias("picture")), "ord")
+    return met.select("ord", pictures.keyword_overlap(F.col("topic"), F.col("picture")).alias("words"), pictures.relevant(F.col("topic"), F.col("picture"), (F.col("ord") % 100) / 100).alias("relevant"))
