@@ -283,3 +283,83 @@ def test_signature_collapse(spark):
     df = rows(spark, [(1, 0, "https://a/x"), (1, 1, "https://a/y"), (2, 2, "https://a/y?ref=z"), (2, 3, "http://www.a/x/"), (2, 4, "https://a/x"), (3, 5, None), (4, 6, None), (4, 7, None)], "cluster_id long, ord long, url string")
     got = sorted((r["cluster_id"], r["place"]) for r in clusters.signature_collapse(df).collect())
     assert got == [(2, 0), (4, 5)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_set_pairs_are_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    sets = {g: {f"x{min(draw.randrange(12), draw.randrange(12))}" for _ in range(draw.randrange(1, 9))} for g in range(18)}
+    df = rows(spark, [(g, x) for g, xs in sets.items() for x in xs] + [(0, ""), (1, None)], "cluster_id long, key string")
+    for least in (0.2, 0.5, 1.0):
+        got = {(r["i"], r["j"]): r["jaccard"] for r in similarity.set_pairs(df, "key", least).collect()}
+        want = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j and sets[i] & sets[j]}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= least})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tfidf_pairs_are_all_pairs(spark, seed):
+    draw = random.Random(seed)
+    texts = [" ".join(draw.choice(["common", "common", "harbour", "strike", "talks", "vote", "rain", "goal"]) for _ in range(draw.randrange(1, 8))) for _ in range(20)]
+    weights = similarity.tfidf(rows(spark, list(enumerate(texts)), "cluster_id long, text string"), [])
+    held = {}
+    for r in weights.collect():
+        held.setdefault(r["cluster_id"], {})[r["term"]] = r["weight"]
+    sims = {(i, j): sum(w * held[j].get(t, 0.0) for t, w in held[i].items()) for i in held for j in held if i < j}
+    for least in (0.3, 0.88):
+        got = {(r["i"], r["j"]): r["sim"] for r in similarity.tfidf_pairs(weights, least).collect()}
+        assert got == pytest.approx({k: v for k, v in sims.items() if v >= least})
+
+
+@pytest.mark.parametrize("least", [-0.2, 0.0, 0.35, 0.9, 0.999])
+def test_pivot_cells_lose_no_pair(spark, least):
+    draw = np.random.default_rng(7)
+    x = np.vstack([draw.normal(size=3) + 0.05 * draw.normal(size=(25, 3)) for _ in range(6)])
+    x[[3, 4]] = x[5]  # equal vectors
+    df = unit(spark, x).unionByName(rows(spark, [(0, 900, [0.0] * 3), (0, 901, [0.0] * 3)], "cluster_id long, ord long, vector array<double>").select(*unit(spark, x).columns))
+    u = {r["ord"]: np.array(r["vector"]) for r in df.collect()}
+    got = [(r["i"], r["j"]) for r in vectors.similar_pairs(df, least, block=9).collect()]
+    close = {(i, j) for i in u for j in u if i < j and abs(u[i] @ u[j] - least) < 1e-9}
+    want = {(i, j) for i in u for j in u if i < j and u[i] @ u[j] >= least}
+    assert len(got) == len(set(got)) and set(got) ^ want <= close
+
+
+def test_trim_candidates_match_numpy(spark):
+    x = np.random.default_rng(8).normal(size=(24, 4)) + 1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u.mean(axis=0) / np.linalg.norm(u.mean(axis=0))
+    order = np.argsort(u @ c)
+    got = {r["k"]: r for r in vectors.trim_candidates(unit(spark, x)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4, 5]
+    for k, r in got.items():
+        left = u[order[k:]]
+        sims = left @ (left.mean(axis=0) / np.linalg.norm(left.mean(axis=0)))
+        assert (r["mean_sim"], r["p10_sim"], r["std_sim"]) == pytest.approx((sims.mean(), np.percentile(sims, 10), sims.std()))
+
+
+def test_title_case_follows_letters(spark):
+    from topicloom.functions import text
+
+    df = rows(spark, [("u.s. left",), ("o'neil/RIGHT",), ("far-left",), ("3rd way",), ("éa-ß x",), ("日a b",), (None,), ("",)], "c string")
+    got = [tuple(r) for r in df.select(text.title_case(F.col("c")), text.canonical_label(F.col("c"))).collect()]
+    assert got[:4] == [("U.S. Left", "U.S. Left"), ("O'Neil/Right", "O'Neil/Right"), ("Far Left", got[2][1]), ("3Rd Way", "3Rd Way")]
+    assert got[4][0].startswith("Éa ") and got[4][0].endswith(" X") and got[5][0] == "日A B" and got[6][0] is None and got[7][0] == ""
+
+
+def test_dominant_merge_in_turn(spark):
+    """A leader goes stale by what it takes in; its articles are united by link, those without one are lost."""
+    data = [(c, 10 * c + k, f"l{c}{k}" if (c, k) != (0, 1) else "", True, c != 3) for c in range(6) for k in range(4)]
+    articles = rows(spark, [*data, (4, 49, "l00", True, True)], "cluster_id long, ord long, link string, dated boolean, today boolean")
+    clusters_ = rows(spark, [(c, 4, 1.0, 9.0 - c, c) for c in range(6)], "cluster_id long, size long, today_ratio double, matter_score double, cluster_ord long")
+    sims = rows(spark, [(i, j, 0.95 if i == 0 else 0.9 if (i, j) == (1, 5) else 0.1) for i in range(3) for j in range(3, 6)], "lead long, cluster_id long, sim double")
+    got = {}
+    for r in folds.merge_dominant(articles, clusters_, sims).collect():
+        got.setdefault(r["cluster_id"], set()).add(r["ord"])
+    # 3 (not of today) makes the first leader stale (3 of 7), so 4 stays alone and 5 goes to the second.
+    assert got == {0: {0, 2, 3, 30, 31, 32, 33}, 1: {10, 11, 12, 13, 50, 51, 52, 53}, 2: {20, 21, 22, 23}, 4: {40, 41, 42, 43, 49}}
+
+
+def test_kmeans_of_few_different_vectors(spark):
+    same = vectors.kmeans(unit(spark, np.ones((9, 3)))).collect()
+    assert {(r["ord"], r["cluster_id"]) for r in same} == {(i, 0) for i in range(9)}
+    two = {r["ord"]: r["cluster_id"] for r in vectors.kmeans(unit(spark, np.repeat(np.eye(3)[:2], 6, axis=0))).collect()}
+    assert len(two) == 12 and len(set(two.values())) == 2 and len({two[i] for i in range(6)}) == 1

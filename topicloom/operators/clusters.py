@@ -163,14 +163,21 @@ def domain_list(articles: DataFrame) -> DataFrame:
 def url_signature(articles: DataFrame, most: int = 8000) -> DataFrame:
     """Canonical URLs of a cluster, sorted, joined by bars, cut to ``most`` characters."""
     link = F.when(text.or_empty(F.col("url")) != "", url.canonical(F.col("url")))
-    return articles.groupBy("cluster_id").agg(F.left(F.array_join(F.array_sort(F.collect_list(link)), "|"), F.lit(most)).alias("signature"))
+    linked = articles.select("cluster_id", link.alias("link"))
+    # Each URL takes a bar at least, so no more than ``most`` + 1 of them can show.
+    first = head(linked.filter("link is not null"), most + 1, order="link")
+    joined = first.groupBy("cluster_id").agg(F.left(F.array_join(F.array_sort(F.collect_list("link")), "|"), F.lit(most)).alias("signature"))
+    return articles.select("cluster_id").distinct().join(joined, "cluster_id", "left").fillna("", ["signature"])
 
 
 def signature_collapse(articles: DataFrame) -> DataFrame:
     """One cluster for each set of canonical URLs: the largest, then the one of most entropy, then the first."""
     link = F.when(text.or_empty(F.col("url")) != "", url.canonical(F.col("url")))
-    sets = articles.groupBy("cluster_id").agg(F.array_sort(F.collect_set(link)).alias("urls"), F.count("*").alias("size"), F.min("ord").alias("cluster_ord"))
-    rows = sets.join(diversity(articles).select("cluster_id", "entropy"), "cluster_id")
+    size = articles.groupBy("cluster_id").agg(F.count("*").alias("size"), F.min("ord").alias("cluster_ord"))
+    # A set is known by its size and by a sum and an exclusive or of two hashes of its members: sets needn't be gathered.
+    each = articles.select("cluster_id", link.alias("link")).filter("link is not null").distinct()
+    sets = each.groupBy("cluster_id").agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("link").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "link")).alias("xor")).alias("urls"))
+    rows = size.join(sets, "cluster_id", "left").join(diversity(articles).select("cluster_id", "entropy"), "cluster_id")
     own = Window.partitionBy("urls").orderBy(F.desc("size"), F.desc("entropy"), "cluster_ord")
     return rows.withColumn("_r", F.row_number().over(own)).withColumn("place", F.min("cluster_ord").over(Window.partitionBy("urls"))).filter("_r = 1").select("cluster_id", "size", "entropy", "place")
 
@@ -196,3 +203,32 @@ def budget_gate(reviewed: DataFrame, budget: int = 24) -> DataFrame:
     rows = reviewed.withColumn("used", used)
     decision = F.when(~(F.col("forced") | F.col("suspicious")), "pass").when(F.col("cached").isNotNull(), F.when(F.col("cached").isin("THEMATIC_BUCKET", "MIXED"), "drop").otherwise("keep")).when(F.col("used") <= budget, "judge").when(F.col("forced"), "drop").otherwise("pass")
     return rows.withColumn("decision", decision).drop("used")
+
+
+def event_filter(judged: DataFrame, strict: bool) -> DataFrame:
+    """Topics that aren't labelled as several; ``strict``: only those labelled as one event."""
+    kept = judged.filter(~F.coalesce(F.col("eventness_label").isin("THEMATIC_BUCKET", "MIXED"), F.lit(False)))
+    return kept.filter(F.col("eventness_label") == "SINGLE_EVENT") if strict else kept
+
+
+def zipped(left: DataFrame, right: DataFrame, order: str = "ord") -> DataFrame:
+    """Rows of two tables side by side, by place in their order from 0: cluster and summary files that belong together.
+
+    The shorter table decides how many. Both are the topics of one run: their numbering is one small window each.
+    """
+    place = F.row_number().over(Window.orderBy(order)) - 1
+    two = right.withColumn("place", place).drop(order)
+    return left.withColumn("place", place).join(two, "place")
+
+
+def by_topic_label(articles: DataFrame, label: Column) -> DataFrame:
+    """Articles grouped by a model's topic label, in order; a missing or blank label is Other."""
+    name = F.coalesce(F.nullif(url.stripped(label), F.lit("")), F.lit("Other"))
+    fields = F.struct("ord", *[c for c in articles.columns if c != "ord"])
+    return articles.groupBy(name.alias("topic")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(fields)).alias("articles"))
+
+
+def first_titles(articles: DataFrame, most: int = 5) -> DataFrame:
+    """cluster_id, n, titles: what the run's report prints of each cluster."""
+    first = head(articles, most).groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.or_empty(F.col("title")).alias("t")))), lambda p: p["t"]).alias("titles"))
+    return articles.groupBy("cluster_id").agg(F.count("*").alias("n")).join(first, "cluster_id")

@@ -1,7 +1,8 @@
 """Order-dependent merges of ranked topics. Each reads what earlier steps changed, so it is one sequential fold.
 
-The input is the topics of one run: some hundreds at most. Pairs are found in Spark before; the fold gets one group per
-run and refuses more than ``LIMIT`` topics instead of slowing down unseen.
+Pairs are found in Spark before. Topics that no chain of pairs connects don't affect each other: each such group is folded
+in a task of its own, and topics without a pair aren't folded at all. A single group of more than ``LIMIT`` topics is
+refused instead of slowing down unseen.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.sources.tables import written
+
 LIMIT = 5000
 
 
@@ -25,13 +28,14 @@ def _checked(n: int) -> None:
 
 @dataclass
 class _Topic:
-    """Articles by merge key, in first-seen order: key to (domain, place)."""
+    """Articles by merge key, in first-seen order: key to (domain, place); ``domains`` of all articles, also of repeated keys."""
 
     items: dict[str, tuple[str, int]] = field(default_factory=dict)
     size: int = 0
+    domains: list[str] | None = None
 
     def spread(self) -> float:
-        counts = Counter(d for d, _ in self.items.values() if d)
+        counts = Counter(d for d in (self.domains if self.domains is not None else [d for d, _ in self.items.values()]) if d)
         total = sum(counts.values())
         return -sum(c / total * math.log2(c / total) for c in counts.values()) if total else 0.0
 
@@ -62,7 +66,7 @@ def fold_duplicates(topics: list[_Topic], pairs: set[tuple[int, int]], compat: b
             w, lost = (i, j) if first else (j, i)
             merged = dict(topics[w].items)
             merged.update(topics[lost].items)
-            topics[w].items, topics[w].size = merged, len(merged)
+            topics[w].items, topics[w].size, topics[w].domains = merged, len(merged), None
             taken[lost] = w
     return {i: taken.get(i, i) for i in range(len(topics))}
 
@@ -72,25 +76,33 @@ def merge_duplicates(articles: DataFrame, pairs: DataFrame, compat: bool = True)
 
     articles: topic (0 and up, in rank order), ord, key, domain (``key`` null: not merged over); pairs: i, j.
     """
-    one = F.lit(0).alias("run")
-    left = articles.select(one, F.col("topic").cast("long"), F.col("ord").cast("long"), "key", "domain")
-    right = pairs.select(one, F.col("i").cast("long"), F.col("j").cast("long"))
+    from .vectors import linked
+
+    links = written(pairs.select(F.col("i").cast("long"), F.col("j").cast("long")), "links")
+    both = links.unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    parts = linked(both.select(F.col("i").alias("ord")).distinct(), both).select(F.col("ord").alias("topic"), F.col("label").alias("part"))
+    rows_ = articles.select(F.col("topic").cast("long"), F.col("ord").cast("long"), "key", "domain").join(parts, "topic", "left")
+    right = links.join(parts.withColumnRenamed("topic", "i"), "i").select(F.col("part").alias("part"), "i", "j")
 
     def fold(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["topic", "ord"])
-        topics = [_Topic() for _ in range(int(rows["topic"].max()) + 1 if len(rows) else 0)]
+        names = sorted({*rows["topic"], *links["i"], *links["j"]})
+        place = {name: k for k, name in enumerate(names)}
+        topics = [_Topic(domains=[]) for _ in names]
         plain: dict[int, list[int]] = {}
-        for topic, place, key, domain in rows[["topic", "ord", "key", "domain"]].itertuples(index=False):
-            topics[topic].size += 1
-            plain.setdefault(topic, []).append(place)
+        for name, at, key, domain in rows.sort_values(["topic", "ord"])[["topic", "ord", "key", "domain"]].itertuples(index=False):
+            topic = topics[place[name]]
+            topic.size += 1
+            topic.domains.append(domain or "")
+            plain.setdefault(place[name], []).append(at)
             if key:
-                topics[topic].items[key] = (domain or "", place)
-        owner = fold_duplicates(topics, {(int(a), int(b)) for a, b in links[["i", "j"]].itertuples(index=False)}, compat)
+                topic.items[key] = (domain or "", at)
+        owner = fold_duplicates(topics, {(place[a], place[b]) for a, b in links[["i", "j"]].itertuples(index=False)}, compat)
         won = {w for lost, w in owner.items() if lost != w}
-        out = [(t, place) for t, w in owner.items() if t == w and t in plain for place in ([p for _, p in topics[t].items.values()] if t in won else plain[t])]
+        out = [(names[t], at) for t, w in owner.items() if t == w and t in plain for at in ([p for _, p in topics[t].items.values()] if t in won else plain[t])]
         return pd.DataFrame(out, columns=["topic", "ord"]).astype("int64")
 
-    return left.groupBy("run").cogroup(right.groupBy("run")).applyInPandas(fold, "topic long, ord long")
+    folded = rows_.filter("part is not null").groupBy("part").cogroup(right.groupBy("part")).applyInPandas(fold, "topic long, ord long")
+    return folded.unionByName(rows_.filter("part is null").select("topic", "ord"))
 
 
 def sequence_ratio(a: str, b: str) -> float:
@@ -147,26 +159,66 @@ def merge_summaries(summaries: DataFrame, most: int = 10, **limits) -> DataFrame
     return rows.groupBy("run").applyInPandas(fold, "ord long, topic_title string, summary string, sources array<string>, num_sources long")
 
 
+def _united(*urls) -> dict:
+    """URLs that aren't empty, in order, each with what it names; a later one takes the place of an earlier one."""
+    out: dict = {}
+    for some in urls:
+        out |= {u: v for u, v in (some.items() if isinstance(some, dict) else dict.fromkeys(some).items()) if u}
+    return out
+
+
 def fold_dominant(clusters: list[dict], sims: dict[tuple[int, int], float], refreshed, most: int = 25, fresh: float = 0.60, least: float = 0.86) -> dict[int, int]:
-    """Cluster to the leader that absorbed it. A leader's freshness is measured anew after each merge.
+    """Cluster to the leader that absorbed it; of the rest, small fresh ones come in order of score.
 
-    clusters: size, today_ratio, score, urls, in input order; ``refreshed(urls)`` is the freshness of a set of URLs.
+    clusters: size, today_ratio, score, urls (a list, or a dict with what each names), in input order. A leader must be
+    fresh at that moment: ``refreshed(urls)`` measures it anew after each merge, over the united URLs.
     """
     _checked(len(clusters))
-    if len(clusters) < 3:
-        return {}
-    order = sorted(range(len(clusters)), key=lambda i: -clusters[i]["score"])
-    leaders = order[:3]
-    tr = lambda i: clusters[i]["today_ratio"] or 1.0
-    out: dict[int, int] = {}
-    for j in order[3:]:
-        if clusters[j]["size"] > most or tr(j) < fresh:
-            continue
-        open_ = [(sims[i, j], -leaders.index(i), i) for i in leaders if tr(i) >= fresh]
-        best = max(open_, default=(-1.0, 0, -1))
-        if best[0] >= least:
-            lead = clusters[best[2]]
-            lead["urls"] = list(dict.fromkeys([*[u for u in lead["urls"] if u], *[u for u in clusters[j]["urls"] if u]]))
-            lead["size"], lead["today_ratio"] = len(lead["urls"]), round(refreshed(lead["urls"]), 3)
-            out[j] = best[2]
-    return out
+    value = lambda c: c["today_ratio"] or 1.0
+    ranks = sorted(range(len(clusters)), key=lambda i: -clusters[i]["score"])
+    joined: dict[int, int] = {}
+    for j in ranks[3:]:
+        small = clusters[j]
+        if small["size"] <= most and value(small) >= fresh:
+            likeness = {i: sims[i, j] for i in ranks[:3] if value(clusters[i]) >= fresh and sims[i, j] >= least}
+            if likeness:
+                lead = clusters[joined.setdefault(j, max(likeness, key=likeness.get))]
+                lead["urls"] = _united(lead["urls"], small["urls"])
+                lead["size"], lead["today_ratio"] = len(lead["urls"]), round(refreshed(lead["urls"]), 3)
+    return joined
+
+
+def merge_dominant(articles: DataFrame, clusters: DataFrame, sims: DataFrame) -> DataFrame:
+    """cluster_id, ord of the articles that remain after small fresh clusters went into the leading three.
+
+    articles: cluster_id, ord, link (canonical URL; empty: lost when its cluster merges), dated, today; clusters:
+    cluster_id, size, today_ratio, matter_score, cluster_ord; sims: lead, cluster_id, sim. Only the three leaders and the
+    clusters that may join one are folded, in one group; all others keep their articles.
+    """
+    may = written(sims.filter(F.col("sim") >= 0.86).select(F.lit(0).alias("run"), "lead", "cluster_id", F.col("sim").cast("double")), "may")
+    leads = sims.select(F.col("lead").alias("cluster_id")).distinct()
+    some = written(leads.unionByName(may.select("cluster_id")).distinct(), "some")
+    left = articles.join(some, "cluster_id", "left_semi").join(clusters.select("cluster_id", "size", F.coalesce("today_ratio", F.lit(1.0)).alias("today_ratio"), "matter_score", "cluster_ord"), "cluster_id").select(F.lit(0).alias("run"), F.col("cluster_id").cast("long"), F.col("ord").cast("long"), "link", "dated", "today", F.col("size").cast("long"), "today_ratio", "matter_score", F.col("cluster_ord").cast("long"))
+
+    def fold(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        heads = rows.drop_duplicates("cluster_id").sort_values(["matter_score", "cluster_ord"], ascending=[False, True], kind="stable")
+        names = heads["cluster_id"].tolist()
+        own = {name: part.sort_values("ord") for name, part in rows.groupby("cluster_id")}
+        found = [
+            {"size": size, "today_ratio": ratio, "score": score, "urls": {u: (place, dated, today) for u, place, dated, today in own[name][["link", "ord", "dated", "today"]].itertuples(index=False)}}
+            for name, size, ratio, score in heads[["cluster_id", "size", "today_ratio", "matter_score"]].itertuples(index=False)
+        ]
+        known = {(names.index(a), names.index(b)): s for a, b, s in near[["lead", "cluster_id", "sim"]].itertuples(index=False)}
+        every = {(i, j): known.get((i, j), -1.0) for i in range(3) for j in range(3, len(names))}
+
+        def ratio(urls: dict) -> float:
+            days = [today for _, dated, today in urls.values() if dated]
+            return sum(map(bool, days)) / len(days) if days else 1.0
+
+        joined = fold_dominant(found, every, ratio)
+        grown = set(joined.values())
+        out = [(names[k], place) for k in range(len(names)) if k not in joined for place in ([p for p, _, _ in found[k]["urls"].values()] if k in grown else own[names[k]]["ord"].tolist())]
+        return pd.DataFrame(out, columns=["cluster_id", "ord"]).astype("int64")
+
+    folded = left.groupBy("run").cogroup(may.groupBy("run")).applyInPandas(fold, "cluster_id long, ord long")
+    return folded.unionByName(articles.join(some, "cluster_id", "left_anti").select(F.col("cluster_id").cast("long"), F.col("ord").cast("long")))

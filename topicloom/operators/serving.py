@@ -74,3 +74,8 @@ def latest(rows: DataFrame, date: str = "dt") -> DataFrame:
     """Rows of the newest date; the date is a partition column, so only its files are read."""
     newest = rows.agg(F.max(date).alias(date))
     return rows.join(F.broadcast(newest), date, "left_semi")
+
+
+def front(summaries: DataFrame, most: int = 3, order: str = "ord") -> DataFrame:
+    """The topics that the front page shows: the first ones."""
+    return summaries.orderBy(order).limit(most)

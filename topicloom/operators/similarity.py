@@ -9,13 +9,21 @@ from topicloom.functions import text, url
 
 
 def set_pairs(items: DataFrame, item: str, least: float, group: str = "cluster_id") -> DataFrame:
-    """(i, j, jaccard) with i < j for groups whose item sets are so alike. items: group, item; empty items don't count."""
+    """(i, j, jaccard) with i < j for groups whose item sets are so alike. items: group, item; empty items don't count.
+
+    With items ordered from rare to frequent, sets so alike share one of their first n - ceil(least * n) + 1 items: only
+    groups that do are counted in full, so an item in every group pairs no others.
+    """
     own = items.select(F.col(group).alias("g"), F.col(item).alias("x")).filter(F.coalesce("x", F.lit("")) != "").distinct()
     size = own.groupBy("g").agg(F.count("*").alias("n"))
-    a, b = own.select(F.col("g").alias("i"), "x"), own.select(F.col("g").alias("j"), "x")
-    shared = a.join(b, "x").filter("i < j").groupBy("i", "j").agg(F.count("*").alias("s"))
-    met = shared.join(size.select(F.col("g").alias("i"), F.col("n").alias("ni")), "i").join(size.select(F.col("g").alias("j"), F.col("n").alias("nj")), "j")
-    return met.withColumn("jaccard", F.col("s") / (F.col("ni") + F.col("nj") - F.col("s"))).filter(F.col("jaccard") >= least).select("i", "j", "jaccard")
+    seen = own.groupBy("x").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("g").orderBy("df", "x"))
+    first = own.join(seen, "x").join(size, "g").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    a, b = first.select(F.col("g").alias("i"), "x", F.col("n").alias("ni")), first.select(F.col("g").alias("j"), "x", F.col("n").alias("nj"))
+    fit = (F.col("i") < F.col("j")) & (F.least("ni", "nj") >= F.greatest("ni", "nj") * least - 1e-9)
+    likely = a.join(b, "x").filter(fit).select("i", "j", "ni", "nj").distinct()
+    shared = likely.join(own.select(F.col("g").alias("i"), "x"), "i").join(own.select(F.col("g").alias("j"), "x"), ["j", "x"]).groupBy("i", "j", "ni", "nj").agg(F.count("*").alias("s"))
+    return shared.withColumn("jaccard", F.col("s") / (F.col("ni") + F.col("nj") - F.col("s"))).filter(F.col("jaccard") >= least).select("i", "j", "jaccard")
 
 
 def url_pairs(articles: DataFrame, least: float = 0.50) -> DataFrame:
@@ -46,10 +54,19 @@ def tfidf(texts: DataFrame, stop: list[str], most: int = 5000, group: str = "clu
 
 
 def tfidf_pairs(weights: DataFrame, least: float, group: str = "cluster_id") -> DataFrame:
-    """(i, j, sim) with i < j by the products of shared terms."""
-    a = weights.select(F.col(group).alias("i"), "term", F.col("weight").alias("a"))
-    b = weights.select(F.col(group).alias("j"), "term", F.col("weight").alias("b"))
-    return a.join(b, "term").filter("i < j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).filter(F.col("sim") >= least)
+    """(i, j, sim) with i < j by the products of shared terms.
+
+    Terms are ordered from rare to frequent. Rows of unit length so similar share a term among the first ones of both,
+    up to where the length of what is left falls below ``least``: only such pairs are multiplied out.
+    """
+    own = weights.select(F.col(group).alias("g"), "term", "weight")
+    seen = own.groupBy("term").agg(F.count("*").alias("df"))
+    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("g").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    first = own.join(seen, "term").withColumn("rest", rest).filter(F.sqrt("rest") >= least - 1e-9)
+    likely = first.select(F.col("g").alias("i"), "term").join(first.select(F.col("g").alias("j"), "term"), "term").filter("i < j").select("i", "j").distinct()
+    a = likely.join(own.select(F.col("g").alias("i"), "term", F.col("weight").alias("a")), "i")
+    both = a.join(own.select(F.col("g").alias("j"), "term", F.col("weight").alias("b")), ["j", "term"])
+    return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).filter(F.col("sim") >= least)
 
 
 def entity_share(articles: DataFrame, most: int = 18, least: int = 4) -> DataFrame:

@@ -56,13 +56,16 @@ def report(rows: DataFrame, least: int = 4, most: int = 18) -> DataFrame:
 
 
 def central(rows: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` articles nearest the centroid, nearest first (later ones first on a tie); a small cluster in its own order."""
+    """The ``k`` articles nearest the centroid, nearest first (later ones first on a tie); a small cluster in its own order.
+
+    Both orders are cut to ``k`` rows of a cluster in each task before they meet.
+    """
+    size = rows.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    sims = similarities(rows, "cluster_id").join(size, "cluster_id")
     own = Window.partitionBy("cluster_id")
-    size = F.count("*").over(own)
-    near = F.row_number().over(own.orderBy(F.desc("sim"), F.desc("ord")))
-    plain = F.row_number().over(own.orderBy("ord"))
-    placed = similarities(rows, "cluster_id").withColumn("n", size).withColumn("place", F.when(F.col("n") <= k, plain).otherwise(near))
-    return placed.filter(F.col("place") <= k).select("cluster_id", "ord", "sim", "place")
+    near = sims.filter(F.col("n") > k).withColumn("place", F.row_number().over(own.orderBy(F.desc("sim"), F.desc("ord")))).filter(F.col("place") <= k)
+    plain = sims.filter(F.col("n") <= k).withColumn("place", F.row_number().over(own.orderBy("ord"))).filter(F.col("place") <= k)
+    return near.unionByName(plain).select("cluster_id", "ord", "sim", "place")
 
 
 def most_central(rows: DataFrame) -> DataFrame:
@@ -71,13 +74,31 @@ def most_central(rows: DataFrame) -> DataFrame:
     return met.groupBy("cluster_id").agg(F.max_by("ord", F.struct(F.round("sim", 9), -F.col("ord"))).alias("ord"))
 
 
-def trim_candidates(rows: DataFrame, least: int = 6, most_removed: int = 8, share: float = 0.2) -> DataFrame:
-    """Cohesion of each cluster without its k worst articles, k = 0 and up: cluster_id, n, k, mean_sim, p10_sim, std_sim."""
-    own = Window.partitionBy("cluster_id")
-    placed = similarities(rows, "cluster_id").withColumn("n", F.count("*").over(own)).withColumn("worst", F.row_number().over(own.orderBy("sim", "ord"))).filter(F.col("n") >= least)
-    most = F.greatest(F.lit(0), F.least(F.lit(most_removed), F.ceil(F.col("n") * share).cast("int"), (F.col("n") - least).cast("int")))
-    tried = placed.select("cluster_id", "n", "ord", "worst", "vector", F.explode(F.sequence(F.lit(0), most)).alias("k")).filter(F.col("worst") > F.col("k"))
-    return similarities(tried, "cluster_id", "k").groupBy("cluster_id", "n", "k").agg(*stats.cohesion(F.col("sim")))
+#: Most articles that a trim takes off a cluster.
+MOST_REMOVED = 8
+
+
+def _worst(rows: DataFrame, most: int = MOST_REMOVED) -> DataFrame:
+    """cluster_id, ord, vector, worst: the ``most`` articles farthest from each centroid, cut in each task."""
+    order = Window.partitionBy("cluster_id").orderBy("sim", "ord")
+    return similarities(rows, "cluster_id").withColumn("worst", F.row_number().over(order)).filter(F.col("worst") <= most).select("cluster_id", "ord", "vector", "worst")
+
+
+def trim_candidates(rows: DataFrame, least: int = 6, share: float = 0.2) -> DataFrame:
+    """Cohesion of each cluster without its k worst articles, k = 0 and up: cluster_id, n, k, mean_sim, p10_sim, std_sim.
+
+    A centroid without some articles is the cluster's sum less theirs, so vectors are not copied for each k.
+    """
+    sums = rows.groupBy("cluster_id").agg(F.count("*").alias("n"), vector_to_array(Summarizer.sum(array_to_vector(F.col("vector")))).alias("sum")).filter(F.col("n") >= least)
+    far = _worst(rows.join(sums.select("cluster_id"), "cluster_id", "left_semi"))
+    listed = far.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("worst", "vector"))), lambda p: p["vector"]).alias("far"))
+    most = F.greatest(F.lit(0), F.least(F.lit(MOST_REMOVED), F.ceil(F.col("n") * share).cast("int"), (F.col("n") - least).cast("int")))
+    without = lambda k: F.aggregate(F.slice("far", 1, k), F.col("sum"), lambda s, v: F.zip_with(s, v, lambda a, b: a - b))
+    centres = sums.join(listed, "cluster_id").select("cluster_id", "n", F.transform(F.sequence(F.lit(0), most), lambda k: vectors.unit(without(k))).alias("centres"))
+    met = rows.join(centres, "cluster_id").join(far.select("cluster_id", "ord", "worst"), ["cluster_id", "ord"], "left")
+    sims = F.transform("centres", lambda c: vectors.dot(F.col("vector"), c))
+    tried = met.select("cluster_id", "n", F.coalesce("worst", F.lit(MOST_REMOVED + 1)).alias("worst"), F.posexplode(sims).alias("k", "sim")).filter(F.col("worst") > F.col("k"))
+    return tried.groupBy("cluster_id", "n", "k").agg(*stats.cohesion(F.col("sim")))
 
 
 def trims(candidates: DataFrame, cautious: bool = True, floor: int = 6) -> DataFrame:
@@ -97,41 +118,67 @@ def trims(candidates: DataFrame, cautious: bool = True, floor: int = 6) -> DataF
 
 def trimmed(rows: DataFrame, cautious: bool = True, floor: int = 6) -> DataFrame:
     """cluster_id, ord of the articles that stay."""
-    order = F.row_number().over(Window.partitionBy("cluster_id").orderBy("sim", "ord"))
-    ranks = similarities(rows, "cluster_id").withColumn("worst", order)
-    return ranks.join(trims(trim_candidates(rows), cautious, floor), "cluster_id", "left").filter(F.col("worst") > F.coalesce("removed", F.lit(0))).select("cluster_id", "ord")
+    gone = _worst(rows).join(trims(trim_candidates(rows), cautious, floor), "cluster_id").filter(F.col("worst") <= F.col("removed"))
+    return rows.select("cluster_id", "ord").join(gone.select("cluster_id", "ord"), ["cluster_id", "ord"], "left_anti")
 
 
-def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str = "vector", block: int = 1024) -> DataFrame:
-    """(i, j, sim) with i < j for all unit vectors at least so similar.
+def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str = "vector", block: int = 1024, most_pivots: int = 2048) -> DataFrame:
+    """(i, j, sim) with i < j for all unit vectors (or zero vectors) at least so similar.
 
-    Every pair is compared, as blocks of rows x blocks of rows; a task holds two blocks and makes only the pairs it keeps.
+    Pivots drawn by hash divide the vectors into cells of their nearest pivot. Vectors within r = sqrt(2 - 2 * least) of x
+    live in cells that the triangle inequality leaves open, and x is copied to those; a cell is joined as blocks of rows, by
+    matrix products, and a pair is made where its smaller key is at home. With a low ``least`` most cells stay open: then
+    every pair is compared, in blocks of bounded size.
     """
-    count = rows.count()
-    parts = max(1, -(-count // block))
-    placed = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    dealt = placed.select("id", "v", "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
-    dealt = dealt.select("id", "v", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") <= F.col("other")).alias("first"))
+    slim = written(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "unit_vectors")
+    count = slim.count()
+    if not count:
+        return rows.sparkSession.createDataFrame([], "i long, j long, sim double")
+    wanted = min(most_pivots, max(1, -(-count // block)))
+    drawn = slim.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).collect()  # ``most_pivots`` vectors at most
+    pivots = np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), -1)
+    radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        square = (p * p).sum(axis=1)
+        between = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * p @ p.T))
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            own = (x * x).sum(axis=1)
+            d2 = np.maximum(0, own[:, None] + square[None, :] - 2 * x @ p.T)
+            home = d2.argmin(axis=1)
+            gap = d2 - d2[np.arange(len(x)), home][:, None]
+            # A neighbour lives beyond the plane between both pivots; zero vectors reach no one at a positive ``least``.
+            goes = gap <= 2 * radius * between[home] + 1e-9
+            if least > 0:
+                goes &= (own > 0)[:, None]
+            goes[np.arange(len(x)), home] = True
+            r, c = np.nonzero(goes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=["id", "v", "cell", "home"])
+
+    dealt = written(slim.mapInArrow(deal, "id long, v array<double>, cell int, home boolean"), "cells")
+    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = placed.filter("home").select("cell", F.col("part").alias("p"), others.alias("q"), F.lit(True).alias("first"), "id", "v")
+    right = placed.select("cell", others.alias("p"), F.col("part").alias("q"), F.lit(False).alias("first"), "id", "v")
 
     def compare(table: pa.Table) -> pa.Table:
         first = np.array(table["first"].to_pylist(), bool)
-        second = first if table["p"][0].as_py() == table["q"][0].as_py() else ~first
         ids, x = table["id"].to_numpy(), np.array(table["v"].to_pylist(), np.float64).reshape(len(first), -1)
-        if not first.any() or not second.any():
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
-        sims = x[first] @ x[second].T
-        a, b = np.nonzero(sims >= least)
-        left, right, sim = ids[first][a], ids[second][b], sims[a, b]
-        keep = left < right if second is first else left != right
-        return pa.table({"i": np.minimum(left, right)[keep], "j": np.maximum(left, right)[keep], "sim": sim[keep]})
+        sims = x[first] @ x[~first].T
+        a, b = np.nonzero((sims >= least) & (ids[first][:, None] < ids[~first][None, :]))
+        return pa.table({"i": ids[first][a], "j": ids[~first][b], "sim": sims[a, b]})
 
-    return dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long, sim double")
+    return left.unionByName(right).groupBy("cell", "p", "q").applyInArrow(compare, "i long, j long, sim double")
 
 
 def alike_titles(rows: DataFrame, least: float = 80.0, key: str = "ord", title: str = "title", block: int = 512) -> DataFrame:
     """(i, j, ratio) with i < j for titles whose sorted words are so alike, in percent; compared block by block.
 
-    Texts whose lengths alone keep the ratio below ``least`` aren't compared.
+    Texts whose characters alone keep the ratio below ``least`` aren't aligned.
     """
     from .folds import token_sort_ratio
 
@@ -141,17 +188,25 @@ def alike_titles(rows: DataFrame, least: float = 80.0, key: str = "ord", title:
     dealt = dealt.select("id", "t", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") <= F.col("other")).alias("first"))
 
     def compare(table: pa.Table) -> pa.Table:
-        rows_ = list(zip(table["id"].to_pylist(), (" ".join(sorted(t.lower().split())) for t in table["t"].to_pylist()), table["first"].to_pylist(), strict=True))
+        texts = [" ".join(sorted(t.lower().split())) for t in table["t"].to_pylist()]
+        first, ids = np.array(table["first"].to_pylist(), bool), table["id"].to_numpy()
         own = table["p"][0].as_py() == table["q"][0].as_py()
-        left, right = [r for r in rows_ if r[2]], [r for r in rows_ if own or not r[2]]
+        left, right = np.flatnonzero(first), np.flatnonzero(first if own else ~first)
+        # Characters that two texts share bound their ratio: only pairs that may reach ``least`` are aligned.
+        counts = np.zeros((len(texts), 64), np.int32)
+        for row, t in enumerate(texts):
+            counts[row] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
+        size = counts.sum(axis=1)
+        both = np.zeros((len(left), len(right)), np.int32)
+        for k in np.flatnonzero(counts.any(axis=0)):
+            both += np.minimum(counts[left, k][:, None], counts[right, k][None, :])
+        total = size[left][:, None] + size[right][None, :]
+        may = (200 * both >= least * total) & (ids[left][:, None] < ids[right][None, :] if own else ids[left][:, None] != ids[right][None, :])
         out = []
-        for a, x, _ in left:
-            for b, y, _ in right:
-                if (a < b if own else a != b) and 200 * min(len(x), len(y)) >= least * (len(x) + len(y)):
-                    first, second = ((a, x), (b, y)) if a < b else ((b, y), (a, x))
-                    ratio = token_sort_ratio(first[1], second[1])
-                    if ratio >= least:
-                        out.append((first[0], second[0], ratio))
+        for a, b in zip(*np.nonzero(may), strict=True):
+            (i, x), (j, y) = sorted(((int(ids[left[a]]), texts[left[a]]), (int(ids[right[b]]), texts[right[b]])))
+            if (ratio := token_sort_ratio(x, y)) >= least:
+                out.append((i, j, ratio))
         i, j, ratio = zip(*out, strict=True) if out else ([], [], [])
         return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "ratio": pa.array(ratio, pa.float64())})
 
@@ -188,18 +243,39 @@ def greedy_merge(nodes: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFr
 
 
 def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """cluster_id, ord by k-means on raw vectors (ord, vector); k is a tenth of the rows, at least 5."""
+    """cluster_id, ord by k-means on raw vectors (ord, vector); k is a tenth of the rows, at least 5.
+
+    There are no more clusters than different vectors; equal vectors alone are one cluster.
+    """
     from pyspark.ml.clustering import KMeans
 
     table = written(rows.select("ord", "vector").orderBy("ord"), "kmeans")
     n = table.count()
     if n == 0:
         return rows.select(F.lit(0).alias("cluster_id"), "ord").limit(0)
+    k = min(k or max(5, n // 10), table.select("vector").distinct().count())
+    if k == 1:
+        return table.select(F.lit(0).alias("cluster_id"), "ord")
     feats = table.withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=min(n, k or max(5, n // 10)), seed=seed, maxIter=20).fit(feats)
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(feats)
     return model.transform(feats).select(F.col("prediction").alias("cluster_id"), "ord")
 
 
+def linked(nodes: DataFrame, both: DataFrame) -> DataFrame:
+    """ord, label: the smallest node that each node reaches. nodes: ord; both: i, j in both directions, between nodes.
+
+    Labels go along links and jump to their label's label, so rounds grow with the logarithm of the longest chain.
+    """
+    label = written(nodes.select("ord", F.col("ord").alias("label")), "labels")
+    while True:
+        near = both.join(label, both["i"] == label["ord"]).groupBy(F.col("j").alias("ord")).agg(F.min("label").alias("m"))
+        moved = label.join(near, "ord", "left").select("ord", F.least("label", F.coalesce("m", "label")).alias("label"))
+        new = written(moved.join(moved.select(F.col("ord").alias("label"), F.col("label").alias("next")), "label").select("ord", F.col("next").alias("label")), "labels")
+        if new.join(label.withColumnRenamed("label", "old"), "ord").filter("label <> old").isEmpty():
+            return new
+        label = new
+
+
 def dbscan(rows: DataFrame, reach: float = 0.55, least: int = 3) -> DataFrame:
     """ord, cluster (its smallest core's ord; -1 is noise) by density: cosine distance at most ``reach``, ``least`` points.
 
@@ -212,45 +288,38 @@ def dbscan(rows: DataFrame, reach: float = 0.55, least: int = 3) -> DataFrame:
         cores = rows.select("ord")
     links = written(both.join(cores.select(F.col("ord").alias("i")), "i", "left_semi"), "core_links")
     inner = written(links.join(cores.select(F.col("ord").alias("j")), "j", "left_semi"), "core_pairs")
-    label = written(cores.select("ord", F.col("ord").alias("label")), "labels")
-    while True:
-        least_near = inner.join(label, inner["i"] == label["ord"]).groupBy(F.col("j").alias("ord")).agg(F.min("label").alias("m"))
-        moved = label.join(least_near, "ord", "left").select("ord", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = moved.join(moved.select(F.col("ord").alias("label"), F.col("label").alias("next")), "label").select("ord", F.col("next").alias("label"))
-        new = written(jump, "labels")
-        if new.join(label.withColumnRenamed("label", "old"), "ord").filter("label <> old").isEmpty():
-            break
-        label = new
+    label = linked(cores, inner)
     border = links.join(label, links["i"] == label["ord"]).groupBy(F.col("j").alias("ord")).agg(F.min("label").alias("near"))
     every = rows.select("ord").join(label, "ord", "left").join(border, "ord", "left")
     return every.select("ord", F.coalesce("label", "near", F.lit(-1)).cast("long").alias("cluster"))
 
 
-def _two_lumps(x: np.ndarray, rounds: int = 5) -> bool:
-    """Whether two halves hold together much better than the whole: cosine 2-means from a far pair."""
-    def spread(part: np.ndarray) -> tuple[float, float]:
-        c = part.mean(axis=0)
-        sims = part @ (c / max(np.linalg.norm(c), 1e-12))
-        return float(np.percentile(sims, 10)), float(sims.std())
+def _two_lumps(x: np.ndarray, rounds: int = 5, least: int = 4, closer: float = 0.10, steadier: float = 0.03) -> bool:
+    """Whether a partition of the unit rows in two is that much closer at its tenth percentile and steadier than the whole.
 
-    p0, s0 = spread(x)
-    a = int((x @ x[0]).argmin())
-    seeds = np.stack([x[a], x[int((x @ x[a]).argmin())]])
-    side = np.zeros(len(x), int)
+    The partition: cosine two-means. A part's direction is its row sum, so a round is one product of a 2 x n membership
+    matrix with the rows; the first directions are the row least like the first row, and the row least like that one.
+    """
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+    gram = x @ x.T
+    far = int(gram[0].argmin())
+    member = np.zeros((2, len(x)))
+    member[[0, 1], [far, int(gram[far].argmin())]] = 1
     for _ in range(rounds):
-        near = x @ seeds.T
-        side = (near[:, 1] > near[:, 0]).astype(int)
-        if side.min() == side.max():
-            break
-        for h in (0, 1):
-            c = x[side == h].mean(axis=0)
-            seeds[h] = c / max(np.linalg.norm(c), 1e-12)
-    halves = [x[side == h] for h in (0, 1)]
-    if min(map(len, halves)) < 4:
+        near = x @ unit(member @ x).T
+        second = near[:, 1] > near[:, 0]
+        member = np.stack([~second, second]).astype(float)
+        if second.all() or not second.any():
+            return False
+    if member.sum(axis=1).min() < least:
         return False
-    after = [spread(h) for h in halves]
-    mean = lambda k: sum(len(h) * s[k] for h, s in zip(halves, after, strict=True)) / len(x)
-    return mean(0) - p0 >= 0.10 and s0 - mean(1) >= 0.03
+    tails = []
+    for part in (np.ones(len(x)), *member):
+        sims = x[part > 0] @ unit(part @ x)
+        tails.append((np.percentile(sims, 10), sims.std()))
+    share = member.sum(axis=1) / len(x)
+    (p0, s0), after = tails[0], share @ np.array(tails[1:])
+    return bool(after[0] - p0 >= closer and s0 - after[1] >= steadier)
 
 
 def thematic(rows: DataFrame, least: int = 12, most: int = 18) -> DataFrame:
@@ -267,14 +336,20 @@ def thematic(rows: DataFrame, least: int = 12, most: int = 18) -> DataFrame:
     return first.select(F.col("cluster_id").cast("long"), "n", "p", "vector").groupBy("cluster_id").applyInArrow(look, "cluster_id long, lumps boolean")
 
 
+def _leaders(clusters: DataFrame) -> DataFrame:
+    """The three clusters of the highest score, with ``tr``, their freshness."""
+    tr = stats.today_value(F.col("today_ratio"))
+    return clusters.orderBy(F.desc("matter_score"), "cluster_ord").limit(3).withColumn("tr", tr)
+
+
 def dominant_merge(clusters: DataFrame, titles: DataFrame, most: int = 25, fresh: float = 0.60, least: float = 0.86) -> DataFrame:
     """cluster_id, into: small fresh clusters and the leading cluster (of the top three) that they are most like.
 
     clusters: cluster_id, size, today_ratio, matter_score, cluster_ord; titles: cluster_id, vector (unit). The three
-    leaders are broadcast. Leaders' freshness is the one before any merge (see ``folds`` for the sequential form).
+    leaders are broadcast. Leaders' freshness is the one before any merge (``folds.merge_dominant`` is the sequential form).
     """
     tr = stats.today_value(F.col("today_ratio"))
-    rank = clusters.orderBy(F.desc("matter_score"), "cluster_ord").limit(3).select("cluster_id", "matter_score", "cluster_ord", tr.alias("tr"))
+    rank = _leaders(clusters)
     leads = rank.join(titles, "cluster_id").filter(F.col("tr") >= fresh).select(F.col("cluster_id").alias("into"), F.col("vector").alias("lead"), "matter_score", "cluster_ord")
     small = clusters.filter((F.col("size") <= most) & (tr >= fresh)).join(rank.select("cluster_id"), "cluster_id", "left_anti").join(titles, "cluster_id").select("cluster_id", "vector")
     met = small.join(F.broadcast(leads), vectors.dot(F.col("vector"), F.col("lead")) >= least)
@@ -282,6 +357,14 @@ def dominant_merge(clusters: DataFrame, titles: DataFrame, most: int = 25, fresh
     return met.groupBy("cluster_id").agg(F.max_by("into", F.struct(F.round(sim, 9), "matter_score", -F.col("cluster_ord"))).alias("into"))
 
 
+def leader_similarities(clusters: DataFrame, titles: DataFrame) -> DataFrame:
+    """lead, cluster_id, sim: each cluster beside the three leaders, which are broadcast."""
+    rank = _leaders(clusters).select("cluster_id")
+    leads = rank.join(titles, "cluster_id").select(F.col("cluster_id").alias("lead"), F.col("vector").alias("lead_vector"))
+    others = titles.join(rank, "cluster_id", "left_anti")
+    return others.join(F.broadcast(leads)).select("lead", "cluster_id", vectors.dot(F.col("vector"), F.col("lead_vector")).alias("sim"))
+
+
 def as_provider(df: DataFrame, text: str, encode, dims_: int) -> DataFrame:
     """``df`` with ``vector``: ``encode(texts) -> matrix`` on Arrow batches."""
 

@@ -152,6 +152,18 @@ def url_jaccard_pairs(spark, sf_dir):
     return similarity.set_pairs(items, "key", 0.1).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("""WITH k AS (SELECT DISTINCT label AS cluster_id, 'news.example/p' || (2 * label + vec_id % 6) AS x FROM embeddings WHERE label IS NOT NULL),
+    n AS (SELECT cluster_id, count(*) AS n FROM k GROUP BY 1),
+    s AS (SELECT a.cluster_id AS i, b.cluster_id AS j, count(*) AS s FROM k a JOIN k b ON a.x = b.x AND a.cluster_id < b.cluster_id GROUP BY 1, 2)
+    SELECT i, j, round(s::DOUBLE / (a.n + b.n - s), 6) AS jaccard FROM s JOIN n a ON a.cluster_id = i JOIN n b ON b.cluster_id = j WHERE s::DOUBLE / (a.n + b.n - s) >= 0.5""")
+def url_pairs(spark, sf_dir):
+    """Clusters of which neighbours share half of their pages, under links that differ in case, query and slashes."""
+    page = F.concat(F.lit("/p"), (2 * F.col("label") + F.col("vec_id") % 6).cast("string"))
+    link = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("https://www.News.example"), page, F.lit("/?q="), "vec_id")).otherwise(F.concat(F.lit("http://news.example"), page, F.lit("#x")))
+    rows = table(spark, sf_dir, "embeddings").filter("label is not null").select(F.col("label").alias("cluster_id"), link.alias("url"))
+    return similarity.url_pairs(rows).select("i", "j", F.round("jaccard", 6).alias("jaccard"))
+
+
 #: Stop words of the term weights.
 STOP = ["a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "but", "by", "can", "could", "did", "do", "for", "from", "had", "has", "have", "he", "her", "his", "how", "if", "in", "into", "is", "it", "its", "more", "no", "not", "of", "on", "one", "or", "our", "out", "she", "so", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your"]
 
@@ -187,13 +199,28 @@ def fuzzy_topic_merge(spark, sf_dir):
     return ops.greedy_merge(names, ops.alike_titles(names, 55.0))
 
 
+@query("""SELECT vec_id AS ord, true AS placed, least(count(*) OVER (), greatest(5, count(*) OVER () // 10)) AS most FROM embeddings""")
+def kmeans_cover(spark, sf_dir):
+    """Each vector is in one cluster of at most a tenth as many as there are vectors, five at least."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
+    n = e.count()
+    most = min(n, max(5, n // 10))
+    return ops.kmeans(e).select("ord", F.col("cluster_id").between(0, most - 1).alias("placed"), F.lit(most).cast("long").alias("most"))
+
+
 @query()
 def kmeans_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
     return ops.kmeans(e).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIRS.replace("a.ord < b.ord WHERE list_dot_product(a.v, b.v) >= 0.35", "a.ord <> b.ord WHERE list_dot_product(a.v, b.v) >= 0.4")},
+    core AS (SELECT i AS ord FROM pairs GROUP BY 1 HAVING count(*) + 1 >= 3),
+    links AS (SELECT i, j FROM pairs SEMI JOIN core ON core.ord = i),
+    reach(a, b) AS (SELECT ord, ord FROM core UNION SELECT reach.a, l.j FROM reach JOIN links l ON l.i = reach.b SEMI JOIN core ON core.ord = l.j),
+    label AS (SELECT a AS ord, min(b) AS label FROM reach GROUP BY 1),
+    border AS (SELECT j AS ord, min(label) AS label FROM links JOIN label ON label.ord = i GROUP BY 1)
+    SELECT coalesce(l.label, b.label, -1) AS cluster, count(*) AS n FROM unit LEFT JOIN label l USING (ord) LEFT JOIN border b USING (ord) GROUP BY 1""")
 def dbscan_clusters(spark, sf_dir):
     return ops.dbscan(_rows(spark, sf_dir), reach=0.60).groupBy("cluster").agg(F.count("*").alias("n"))
 
@@ -210,6 +237,28 @@ def dominant_merges(spark, sf_dir):
     return ops.dominant_merge(m.withColumn("today_ratio", F.lit(1.0)), titles, most=10**9, least=-1.0)
 
 
+@query(f"""WITH g AS (SELECT vec_id AS ord, label * 10 + vec_id % 4 AS cluster_id, 'h' || (vec_id % 5) AS host, vec_id % 3 AS source, vec_id * 7 % 3 <= 1 AS today, embedding FROM embeddings WHERE label IS NOT NULL),
+    raw AS (SELECT ord, cluster_id, embedding::DOUBLE[] AS e FROM g),
+    {_UNIT.split("),", 1)[1].rstrip()},
+    h AS (SELECT cluster_id, round(-sum((n / t) * log2(n / t)), 3) AS entropy, count(*) AS domains FROM (SELECT cluster_id, host, count(*)::DOUBLE AS n, sum(count(*)) OVER (PARTITION BY cluster_id) AS t FROM g GROUP BY 1, 2) GROUP BY 1),
+    c AS (SELECT cluster_id, round(max(n)::DOUBLE / sum(n), 3) AS conc FROM (SELECT cluster_id, source, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1),
+    b AS (SELECT cluster_id, count(*) AS size, min(ord) AS cluster_ord, round(count(*) FILTER (today)::DOUBLE / count(*), 3) AS r FROM g GROUP BY 1),
+    m AS (SELECT *, CASE WHEN r = 0 THEN 1.0 ELSE r END AS tr FROM b JOIN h USING (cluster_id) JOIN c USING (cluster_id)),
+    s AS (SELECT *, size + entropy * 0.8 + domains * 0.12 + (tr - 0.5) * least(12.0, size * 0.4) - CASE WHEN size >= 12 AND tr < 0.25 THEN 3.0 ELSE 0.0 END - CASE WHEN size >= 12 AND conc >= 0.45 THEN 2.5 ELSE 0.0 END AS score FROM m),
+    top AS (SELECT * FROM s ORDER BY score DESC, cluster_ord LIMIT 3),
+    p AS (SELECT a.cluster_id, t.cluster_id AS into_, list_cosine_similarity(x.c, y.c) AS sim, t.score, t.cluster_ord FROM s a ANTI JOIN top USING (cluster_id) JOIN top t ON t.tr >= 0.60 JOIN cent x ON x.cluster_id = a.cluster_id JOIN cent y ON y.cluster_id = t.cluster_id WHERE a.size <= 12 AND a.tr >= 0.60)
+    SELECT cluster_id, first(into_ ORDER BY round(sim, 9) DESC, score DESC, cluster_ord) AS "into" FROM p WHERE sim >= 0.05 GROUP BY 1""")
+def dominant_merge_gates(spark, sf_dir):
+    """Forty small clusters with dates around the day: sizes, freshness and similarity decide who joins a leader."""
+    v = F.col("vec_id")
+    rows = table(spark, sf_dir, "embeddings").filter("label is not null").select(
+        (F.col("label") * 10 + v % 4).cast("long").alias("cluster_id"), v.alias("ord"), F.concat(F.lit("https://h"), v % 5, F.lit("/"), v).alias("url"), F.concat(F.lit("src"), v % 3).alias("source"), F.lit(None).cast("string").alias("bias"),
+        F.date_add(F.lit(TARGET).cast("date"), (v * 7 % 3).cast("int")).cast("string").alias("published_date"), F.lit(None).cast("string").alias("published_at"), "embedding",
+    )
+    titles = ops.centroids(ops.unit_rows(rows), "cluster_id").select("cluster_id", F.col("centroid").alias("vector"))
+    return ops.dominant_merge(clusters.measured(rows, TARGET, F.col("bias")), titles, most=12, least=0.05)
+
+
 @query()
 def duplicate_topic_merge(spark, sf_dir):
     """Clusters with shared URL sections merged in rank order; articles of the topics that remain."""
