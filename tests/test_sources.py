@@ -112,3 +112,46 @@ def test_streaming_keeps_first(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("kept").count() == 2
+
+
+def test_exports_replace_files_in_one_step(spark, tmp_path):
+    path = tmp_path / "out.json"
+    for k in (1, 2):
+        json_files.export_array(spark.range(k), str(path))
+        assert len(json.loads(path.read_text())) == k and not (tmp_path / "out.json.part").exists()
+
+
+def test_unreadable_cache_is_an_error(spark, tmp_path):
+    import pytest
+
+    assert caches.read(spark, str(tmp_path / "none"), schemas.EVENT_CACHE).count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        caches.read(spark, str(tmp_path / "bad"), schemas.EVENT_CACHE).count()
+
+
+def test_daily_entry_point(spark, tmp_path, capsys):
+    """A whole run from a feed: the files that people read, the console report, the caches."""
+    import os
+
+    import pytest
+
+    items = "".join(f"<item><title>Harbour strike talks open</title><description>Dock workers met the port board again</description><link>https://h{i}.example/{i}</link><pubDate>Wed, 10 Jan 2024 1{i}:00:00 GMT</pubDate></item>" for i in range(8))
+    feed = tmp_path / "feed.xml"
+    feed.write_text(f"<rss version='2.0'><channel><title>Feed</title>{items}</channel></rss>")
+    out = tmp_path / "out"
+    args = ["--date", "2024-01-10", "--feeds", f"file://{feed}", "--output", str(out), "--cache", str(tmp_path / "cache"), "--print-report"]
+    daily.main(args)
+    told = capsys.readouterr().out
+    assert "[1] size=8" in told and "Harbour strike talks" in told
+    topics = json.loads((out / "final_clusters.json").read_text())
+    assert len(topics) == 1 and len(topics[0]["articles"]) == 8 and topics[0]["source_diversity"]["unique_domains"] == 8
+    summary = json.loads((out / "summaries.json").read_text())
+    assert summary[0]["num_sources"] == 8 and summary[0]["topic_title"].startswith("Harbour strike talks")
+    assert json.loads((out / "trust_log.json").read_text())["date"] == "2024-01-10"
+    assert json.loads((out / "cohesion_report.json").read_text())["clusters_reported"] >= 1
+    assert {"embeddings", "events", "summaries"} <= set(os.listdir(tmp_path / "cache"))
+    assert spark.read.parquet(str(tmp_path / "cache" / "summaries")).count() == 1
+    with pytest.raises(SystemExit):
+        daily.main(["--date", "10.1.2024", "--input", "x", "--output", "y"])

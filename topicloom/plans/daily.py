@@ -1,6 +1,10 @@
 """The daily run: articles in, ranked topics, summaries and quality logs out. Every stage is a DataFrame.
 
     python -m topicloom.plans.daily --date 2024-01-10 --input articles.json --output out/
+
+Articles come from a file, or with --feeds from the feeds over HTTP. Beside the tables the run writes what the page and the
+reviewers read: final_clusters.json, summaries.json, trust_log.json and cohesion_report.json; --print-report shows the
+first titles of each topic.
 """
 
 from __future__ import annotations
@@ -13,9 +17,10 @@ from pyspark.sql import functions as F
 
 from topicloom import dims, providers, schemas
 from topicloom.functions import stats, text, url
+from topicloom.functions import vectors as unit_vectors
 from topicloom.operators import articles as art
 from topicloom.operators import clusters, folds, pictures, serving, similarity, vectors
-from topicloom.sources import caches, json_files
+from topicloom.sources import caches, feeds, json_files
 from topicloom.sources.tables import written
 
 
@@ -31,7 +36,8 @@ class Options:
     merge_at: float = 0.85
     centroid_k: int | None = None
     compat: bool = True
-    cache: str | None = None  # folder of the embedding and event caches
+    names: bool = False  # whether topics may also be one by a shared name and likeness (offline: capitalised words)
+    cache: str | None = None  # folder of the embedding, event and summary caches
     embedder: providers.Embedder = field(default_factory=providers.HashingEmbedder)
     judge_model: providers.Judge = field(default_factory=providers.FixedJudge)
     summarizer: providers.Summarizer = field(default_factory=providers.ExtractiveSummarizer)
@@ -79,12 +85,25 @@ def embedded(articles: DataFrame, opts: Options) -> DataFrame:
     return got.select(*articles.columns, F.coalesce("v", zero).alias("embedding"))
 
 
+def cluster_vectors(rows: DataFrame, opts: Options, most: int = 10) -> DataFrame:
+    """ord (the cluster), vector: the unit vector of each cluster's text, its first ``most`` articles as lines."""
+    texts = clusters.joined_text(rows, text.prompt_line(F.col("title"), F.col("description")), "\n", most)
+    found = vectors.as_provider(texts.select(F.col("cluster_id").alias("ord"), "text"), "text", opts.embedder.encode, opts.embedder.dims)
+    return written(found.select("ord", unit_vectors.unit(F.col("vector").cast("array<double>")).alias("vector")), "cluster_vectors")
+
+
+def title_vectors(rows: DataFrame, opts: Options) -> DataFrame:
+    """cluster_id, vector: the unit vector of all titles of each cluster."""
+    found = vectors.as_provider(clusters.title_text(rows), "text", opts.embedder.encode, opts.embedder.dims)
+    return written(found.select("cluster_id", unit_vectors.unit(F.col("vector").cast("array<double>")).alias("vector")), "title_vectors")
+
+
 def clustered(articles: DataFrame, opts: Options) -> DataFrame:
-    """k-means clusters, similar ones merged, tails trimmed, tiny ones dropped."""
+    """k-means clusters, those of similar texts merged, tails trimmed, tiny ones dropped."""
     raw = articles.select("ord", F.col("embedding").cast("array<double>").alias("vector"))
     rows = articles.join(vectors.kmeans(raw, opts.centroid_k), "ord")
-    centres = vectors.centroids(rows.select(F.col("cluster_id").cast("long").alias("ord"), F.col("embedding").cast("array<double>").alias("vector")), "ord").withColumnRenamed("centroid", "vector")
-    merged = vectors.greedy_merge(centres, vectors.similar_pairs(centres, opts.merge_at))
+    told = cluster_vectors(rows.withColumn("cluster_id", F.col("cluster_id").cast("long")), opts)
+    merged = vectors.greedy_merge(told, vectors.similar_pairs(told, opts.merge_at))
     rows = rows.join(merged.select(F.col("node").alias("cluster_id"), "topic"), "cluster_id").drop("cluster_id").withColumnRenamed("topic", "cluster_id")
     rows = written(art.sizeable(rows, 2), "clusters")
     kept = vectors.trimmed(vectors.unit_rows(rows))
@@ -108,13 +127,26 @@ def coherent(rows: DataFrame) -> DataFrame:
     return rows.join(size.filter(~bad).select("cluster_id"), "cluster_id", "left_semi")
 
 
+def duplicate_pairs(rows: DataFrame, opts: Options) -> DataFrame:
+    """i, j of clusters that are one topic: shared URLs, or like titles (with names: a shared name and like titles)."""
+    likely = similarity.tfidf_pairs(similarity.tfidf(clusters.title_text(rows), dims.TITLE_STOP), 0.78 if opts.names else 0.88)
+    met = similarity.url_pairs(rows).join(likely, ["i", "j"], "full")
+    if not opts.names:
+        return met.filter(similarity.duplicate_topics(F.coalesce("jaccard", F.lit(0.0)), F.coalesce("sim", F.lit(0.0)))).select("i", "j")
+    near = vectors.similar_pairs(title_vectors(rows, opts).withColumnRenamed("cluster_id", "ord"), 0.70).withColumnRenamed("sim", "semantic")
+    names = clusters.title_text(rows).select("cluster_id", text.entities(F.col("text")).alias("names"))
+    side = lambda k: names.select(F.col("cluster_id").alias(k), F.col("names").alias(f"names_{k}"))
+    met = met.join(near, ["i", "j"], "full").join(side("i"), "i", "left").join(side("j"), "j", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    shared = F.coalesce(F.arrays_overlap("names_i", "names_j"), F.lit(False))
+    return met.filter(similarity.duplicate_topics(zero("jaccard"), zero("sim"), zero("semantic"), shared)).select("i", "j")
+
+
 def deduplicated(rows: DataFrame, opts: Options, passes: int = 2) -> DataFrame:
     """``rows`` after near-duplicate topics are merged, until none is or after ``passes``; cluster_id is the rank from 0."""
     topics = rows.select("cluster_id").distinct().count()
     for _ in range(passes):
-        linked = similarity.url_pairs(rows).select("i", "j")
-        likely = similarity.tfidf_pairs(similarity.tfidf(clusters.title_text(rows), dims.TITLE_STOP), 0.88).select("i", "j")
-        pairs = linked.unionByName(likely).distinct().select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+        pairs = duplicate_pairs(rows, opts).select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
         key = url.merge_key(F.col("url_normalized"), F.col("url"), F.col("title"), F.col("source"))
         own = rows.select(F.col("cluster_id").alias("topic"), "ord", key.alias("key"), url.domain(F.col("url")).alias("domain"))
         stay = folds.merge_duplicates(own, pairs, opts.compat)
@@ -135,10 +167,13 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     rows = written(rows.join(index, "cluster_id").drop("cluster_id").withColumnRenamed("topic", "cluster_id"), "indexed")
     rows = deduplicated(rows, opts)
     measures = clusters.measured(rows, opts.date, F.col("bias"))
-    # Small fresh topics go into the leading three that they are most like.
-    titles = vectors.as_provider(clusters.title_text(rows), "text", opts.embedder.encode, opts.embedder.dims).select("cluster_id", F.col("vector").cast("array<double>").alias("vector"))
-    into = vectors.dominant_merge(measures, titles)
-    rows = written(rows.join(into, "cluster_id", "left").withColumn("cluster_id", F.coalesce("into", "cluster_id")).drop("into"), "merged")
+    # Small fresh topics go one by one into the leading three that they are most like.
+    day = art.parsed_date(art.article_date(F.col("published_date"), F.col("published_at")))
+    centre = art.parsed_date(F.lit(opts.date))
+    today = F.when(centre.isNull(), day.cast("string") == opts.date).otherwise(day.between(F.date_sub(centre, 1), F.date_add(centre, 1)))
+    linked = rows.select("cluster_id", "ord", url.canonical(F.col("url")).alias("link"), day.isNotNull().alias("dated"), F.coalesce(today, F.lit(False)).alias("today"))
+    stay = folds.merge_dominant(linked, measures, vectors.leader_similarities(measures, title_vectors(rows, opts)))
+    rows = written(stay.join(rows.drop("cluster_id"), "ord"), "merged")
     measures = clusters.measured(rows, opts.date, F.col("bias"))
     loose = vectors.cohesion(vectors.unit_rows(rows), "cluster_id", most=18).select("cluster_id", "p10_sim", "std_sim")
     names = similarity.entity_share(rows)
@@ -162,9 +197,7 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     if opts.cache:
         asked.select("key", "label", "why").write.mode("append").parquet(f"{opts.cache}/events")
     judged = gate.join(asked.select("cluster_id", F.col("label").alias("_new")), "cluster_id", "left").withColumn("eventness_label", F.coalesce("_new", "cached")).drop("_new")
-    judged = judged.filter((F.col("decision") != "drop") & ~F.coalesce(F.col("eventness_label").isin("THEMATIC_BUCKET", "MIXED"), F.lit(False)))
-    if opts.judge:
-        judged = judged.filter(F.col("eventness_label") == "SINGLE_EVENT")
+    judged = clusters.event_filter(judged.filter(F.col("decision") != "drop"), opts.judge)
     top = clusters.ranked(judged, "matter_score", "cluster_ord", opts.top)
     return rows.join(top.select("cluster_id", "matter_score", "eventness_label", "today_ratio"), "cluster_id")
 
@@ -184,9 +217,21 @@ def summaries(topics: DataFrame, opts: Options, least: int = 6) -> DataFrame:
     def shares(col):
         return col.map(lambda t: score(t, labels))
 
-    told = picked.select("cluster_id", reply("picked").alias("reply")).filter("reply is not null")
-    told = told.select("cluster_id", text.reply_headline(F.col("reply")).alias("topic_title"), text.reply_body(F.col("reply"), opts.compat).alias("summary"), text.reply_takeaways(F.col("reply")).alias("takeaways"))
-    told = written(told, "replies")
+    # A summary's key is made of all URLs of its cluster, the model and how many articles it may see.
+    links = F.array_join(F.array_sort(F.collect_list(F.nullif(F.col("url"), F.lit("")))), "\n")
+    keys = rows.groupBy("cluster_id").agg(text.cache_key(f"{opts.summarizer.name}:max10", links).alias("key"))
+    keyed = picked.join(keys, "cluster_id")
+
+    def provide(missing: DataFrame) -> DataFrame:
+        asked = written(missing.select("key", reply("picked").alias("reply")).filter("reply is not null"), "replies")
+        r = F.col("reply")
+        return asked.select("key", text.reply_headline(r).alias("headline"), text.reply_body(r, opts.compat).alias("summary"), text.reply_takeaways(r).alias("takeaways"))
+
+    if opts.cache:
+        found = caches.filled(keyed, f"{opts.cache}/summaries", schemas.SUMMARY_CACHE, "key", provide)
+    else:
+        found = keyed.join(provide(keyed.dropDuplicates(["key"])), "key", "left")
+    told = written(found.filter("headline is not null").select("cluster_id", F.col("headline").alias("topic_title"), "summary", "takeaways"), "told")
     scored = told.select("cluster_id", F.arrays_zip(shares(F.concat_ws(" ", "topic_title", "summary")).alias("s"), F.array(*map(F.lit, labels)).alias("l")).alias("z")).select(F.col("cluster_id").alias("topic_id"), F.explode("z").alias("z")).select("topic_id", F.col("z.l").alias("label"), F.col("z.s").alias("score"))
     category = pictures.runoff(scored).withColumnRenamed("topic_id", "cluster_id")
     share = clusters.label_shares(rows, F.col("bias")).groupBy("cluster_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "pct"))).alias("bias_distribution"))
@@ -217,18 +262,55 @@ def run(spark: SparkSession, raw: DataFrame, opts: Options) -> dict[str, DataFra
     }
 
 
+def export(tables: dict[str, DataFrame], output: str, opts: Options) -> None:
+    """The files of a run that people read: topics, summaries, quality log, cohesion report."""
+    topics = tables["topics"]
+    spread = clusters.diversity(topics).select("cluster_id", F.struct("unique_domains", "total_with_domain", "top_domain", "top_share", "entropy").alias("source_diversity"))
+    kept = [c for c in ("ord", "title", "description", "url", "source", "bias", "published_at", "published_date") if c in topics.columns]
+    nested = json_files.nested(topics.select("cluster_id", "eventness_label", "today_ratio", "matter_score", *kept), "eventness_label", "today_ratio", "matter_score").join(spread, "cluster_id")
+    json_files.export_array(nested.withColumn("rank", -F.col("matter_score")), f"{output}/final_clusters.json", "rank")
+    json_files.export_array(tables["summaries"].withColumn("_at", F.monotonically_increasing_id()), f"{output}/summaries.json", "_at")
+    json_files.export_object(json_files.trust_document(tables["trust"], opts.date), f"{output}/trust_log.json")
+    json_files.export_object(json_files.cohesion_document(tables["cohesion"], opts.date, opts.embedder.name), f"{output}/cohesion_report.json")
+
+
+def report(topics: DataFrame, most: int = 5) -> list[str]:
+    """Lines of the console report: size and first titles of each topic, best first."""
+    rank = topics.groupBy("cluster_id").agg(F.max("matter_score").alias("score"))
+    rows = clusters.first_titles(topics, most).join(rank, "cluster_id").orderBy(F.desc("score"), "cluster_id").collect()  # at most the run's top topics
+    return [line for i, r in enumerate(rows, 1) for line in (f"[{i}] size={r['n']}", *(f"   - {t}" for t in r["titles"]))]
+
+
 def main(argv: list[str] | None = None) -> None:
-    args = argparse.ArgumentParser(description="Daily topics from a JSON array of articles")
+    args = argparse.ArgumentParser(description="Daily topics from a JSON array of articles, or from feeds")
     args.add_argument("--date", required=True)
-    args.add_argument("--input", required=True)
+    args.add_argument("--input", help="a JSON array of articles; without it the feeds are read")
+    args.add_argument("--feeds", nargs="*", help="URLs of feeds; without any, the built-in list")
+    args.add_argument("--api-reply", help="a file with a news API's reply, read beside the feeds")
     args.add_argument("--output", required=True)
+    args.add_argument("--cache", help="folder of the embedding, event and summary caches")
     args.add_argument("--top-k", type=int, default=10)
+    args.add_argument("--names", action="store_true", help="topics may be one by shared names")
     args.add_argument("--no-judge", action="store_true")
+    args.add_argument("--print-report", action="store_true")
     got = args.parse_args(argv)
+    if art.day_of(got.date) is None:
+        args.error(f"not a date: {got.date}")
+    if got.input is None and got.feeds is None:
+        args.error("either --input or --feeds is needed")
     spark = SparkSession.builder.appName("daily topics").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    tables = run(spark, json_files.read_articles(spark, got.input), Options(got.date, top=got.top_k, judge=not got.no_judge))
+    if got.input:
+        raw = json_files.read_articles(spark, got.input)
+    else:
+        reply = spark.read.text(got.api_reply, wholetext=True).first()["value"] if got.api_reply else "{}"
+        raw = written(collected(feeds.api_rows(spark, reply), feeds.feed_entries(spark, got.feeds or None)), "collected")
+    opts = Options(got.date, top=got.top_k, judge=not got.no_judge, names=got.names, cache=got.cache)
+    output, tables = got.output.rstrip("/"), run(spark, raw, opts)
     for name, df in tables.items():
-        json_files.write_dated(df, f"{got.output.rstrip('/')}/{name}", got.date)
+        json_files.write_dated(df, f"{output}/{name}", got.date)
+    export(tables, output, opts)
+    if got.print_report:
+        print("\n".join(report(tables["topics"])))
 
 
 if __name__ == "__main__":

@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 
 
 def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The cache at ``path``; empty where there is none or it can't be read."""
+    """The cache at ``path``; empty where there is none. One that can't be read is an error: nothing is embedded anew for it."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -71,14 +71,33 @@ def scan(spark: SparkSession, urls: list[str], bodies: dict[str, str] | None = N
     return (reader if bodies is None else reader.option("bodies", json.dumps(bodies))).load()
 
 
+_ITEM = "title string, description string, link string, pubDate string, updated string"
+_ENTRY = "title string, summary string, content string, link array<struct<_href: string, _rel: string>>, published string, updated string"
+
+
+def _instant(c) -> Column:
+    """A mail date or an ISO time; null for anything else."""
+    plain = F.regexp_replace(F.regexp_replace(c, r"^\w{3},\s*", ""), r"\s(GMT|UTC?|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(plain, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c))
+
+
 def entries(bodies: DataFrame) -> DataFrame:
-    """feed_ord, feed, feed_title, ord, title, summary, link, published, updated of RSS bodies; a body that isn't XML has none."""
-    item = "title string, description string, link string, pubDate string, updated string"
-    parsed = F.from_xml("body", f"channel struct<title: string, item: array<struct<{item}>>>", {"mode": "PERMISSIVE", "rowTag": "rss"})
-    rows = bodies.filter(F.coalesce(F.col("body"), F.lit("")).rlike(r"(?s)^\s*<")).withColumn("x", parsed)
-    each = rows.select("feed_ord", "feed", F.col("x.channel.title").alias("feed_title"), F.posexplode("x.channel.item").alias("ord", "e"))
-    at = lambda c: F.coalesce(F.try_to_timestamp(F.regexp_replace(F.regexp_replace(c, r"^\w{3},\s*", ""), r"\s(GMT|UTC?|Z)$", " +0000"), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(c))
-    return each.select("feed_ord", "feed", "feed_title", F.col("ord").cast("long"), "e.title", F.col("e.description").alias("summary"), "e.link", at(F.col("e.pubDate")).alias("published"), at(F.col("e.updated")).alias("updated"))
+    """feed_ord, feed, feed_title, ord, title, summary, link, published, updated of RSS and Atom bodies.
+
+    A body that isn't XML has none. An Atom entry without a summary gives its content; its link is the alternate one.
+    """
+    xml = bodies.filter(F.coalesce(F.col("body"), F.lit("")).rlike(r"(?s)^\s*<"))
+    atom = F.col("body").rlike(r"(?s)^\s*(<\?[^>]*\?>\s*|<!--.*?-->\s*)*<feed[\s>]")
+    read = lambda df, tag, schema: df.withColumn("x", F.from_xml("body", schema, {"mode": "PERMISSIVE", "rowTag": tag, "ignoreNamespace": "true"}))
+    rss = read(xml.filter(~atom), "rss", f"channel struct<title: string, item: array<struct<{_ITEM}>>>")
+    one = rss.select("feed_ord", "feed", F.col("x.channel.title").alias("feed_title"), F.posexplode("x.channel.item").alias("ord", "e"))
+    one = one.select("feed_ord", "feed", "feed_title", F.col("ord").cast("long"), "e.title", F.col("e.description").alias("summary"), "e.link", _instant(F.col("e.pubDate")).alias("published"), _instant(F.col("e.updated")).alias("updated"))
+    feed = read(xml.filter(atom), "feed", f"title string, entry array<struct<{_ENTRY}>>")
+    two = feed.select("feed_ord", "feed", F.col("x.title").alias("feed_title"), F.posexplode("x.entry").alias("ord", "e"))
+    main = F.filter("e.link", lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.try_element_at(main, F.lit(1)), F.try_element_at("e.link", F.lit(1)))["_href"]
+    two = two.select("feed_ord", "feed", "feed_title", F.col("ord").cast("long"), "e.title", F.coalesce("e.summary", "e.content").alias("summary"), link.alias("link"), _instant(F.col("e.published")).alias("published"), _instant(F.col("e.updated")).alias("updated"))
+    return one.unionByName(two)
 
 
 def feed_entries(spark: SparkSession, urls: list[str] | None = None, fallbacks: dict[str, str] | None = None, bodies: dict[str, str] | None = None) -> DataFrame:

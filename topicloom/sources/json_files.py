@@ -60,19 +60,39 @@ def write_dated(df: DataFrame, path: str, date: str, form: str = "parquet") -> N
 
 def export_array(df: DataFrame, path: str, order: str | None = None) -> int:
     """The rows as one JSON array for the page, written beside ``path`` and renamed. For some topics, not for a corpus."""
-    spark = df.sparkSession
     rows = [json.loads(r["j"]) for r in (df.orderBy(order) if order else df).select(F.to_json(F.struct(*df.columns)).alias("j")).collect()]
-    body = json.dumps(rows, ensure_ascii=False, indent=2)
+    _published(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2))
+    return len(rows)
+
+
+def export_object(document: DataFrame, path: str) -> None:
+    """The one row of a table with a column ``json`` as a file, in place of the one before."""
+    _published(document.sparkSession, path, json.dumps(json.loads(document.first()["json"]), ensure_ascii=False, indent=2))
+
+
+def _published(spark: SparkSession, path: str, body: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop
     final, part = hadoop.fs.Path(path), hadoop.fs.Path(path + ".part")
-    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(part, True)
+    out = final.getFileSystem(spark._jsc.hadoopConfiguration()).create(part, True)
     out.write(bytearray(body.encode()))
     out.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    fs.rename(part, final)
-    return len(rows)
+    _replace(spark, part, final)
+
+
+def _replace(spark: SparkSession, part, final) -> None:
+    """One file in place of another, in one step where the store can: readers find the old file or the new one."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(part, final, options)
+
+
+def cohesion_document(report: DataFrame, date: str, model: str, least: int = 4, most: int = 18) -> DataFrame:
+    """The cohesion report as one JSON object: its settings, and the clusters, worst first."""
+    entry = F.struct("sort_score", "cluster_id", *[c for c in report.columns if c not in ("sort_score", "cluster_id")])
+    rows = F.array_sort(F.collect_list(entry))
+    return report.agg(F.to_json(F.struct(F.lit(date).alias("date"), F.lit(model).alias("model"), F.lit(least).alias("min_articles"), F.lit(most).alias("max_articles"), F.count("*").alias("clusters_reported"), rows.alias("clusters"))).alias("json"))
 
 
 def trust_document(log: DataFrame, date: str) -> DataFrame:
