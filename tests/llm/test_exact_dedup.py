@@ -48,3 +48,21 @@ def test_table_compares_contents_not_hashes():
     assert [table.place(7, b) for b in (b"a", b"b", b"a", b"c")] == [0, 1, 0, 2]
     assert [table.place(i, str(i).encode()) for i in range(50)] == list(range(3, 53))
     assert table.place(7, b"b") == 1
+
+
+def test_hot_text_is_folded(spark):
+    """One text in half of all rows, dealt over many batches: it reaches its bucket as few records."""
+    from topicloom.llm import exact_dedup as own
+
+    rows = [(i, "the hot text" + " " * (i % 3)) if i % 2 else (i, f"text {i % 900}") for i in range(40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(300)
+    spill = own._spill(df, "text", "doc_id").filter("row_id = rec_id")
+    records = spill.selectExpr("rec_id", "h", "n_bytes", "row.text as text", "members", "best_chars", "best_id", "best_row")
+    cooled, rounds = own._cooled(records)
+    most = lambda t: t.groupBy("h").count().agg({"count": "max"}).first()[0]
+    assert most(records) > own.FOLD >= most(cooled) and len(rounds) >= 1
+    got = exact_dedup(df).collect()
+    groups = plain(rows)
+    assert len(got) == 40_000 and sum(r["kept"] for r in got) == len(groups)
+    assert {r["group_size"] for r in got if r["doc_id"] % 2} == {20_000}
+    assert {r["keep_id"] for r in got if r["doc_id"] % 2} == {min(i for i, _ in rows if i % 2 and i % 3 == 2)}  # the longest original, then the smallest id
