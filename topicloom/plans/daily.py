@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from topicloom import dims, providers, schemas
+from topicloom import dims, providers, providers_http, schemas
 from topicloom.functions import stats, text, url
 from topicloom.functions import vectors as unit_vectors
 from topicloom.operators import articles as art
@@ -23,6 +23,8 @@ from topicloom.operators import clusters, folds, pictures, serving, similarity,
 from topicloom.sources import caches, feeds, json_files
 from topicloom.sources.tables import written
 
+from . import illustrated
+
 
 _RAW = ["title", "description", "url", "source", "published_at", "published_date"]
 
@@ -42,6 +44,8 @@ class Options:
     judge_model: providers.Judge = field(default_factory=providers.FixedJudge)
     summarizer: providers.Summarizer = field(default_factory=providers.ExtractiveSummarizer)
     zero_shot: providers.ZeroShot = field(default_factory=providers.KeywordZeroShot)
+    encyclopedia: providers.ImageSearch | None = None  # without these topics have no pictures
+    photos: providers.ImageSearch | None = None
 
 
 def collected(api: DataFrame, entries: DataFrame) -> DataFrame:
@@ -77,7 +81,8 @@ def embedded(articles: DataFrame, opts: Options) -> DataFrame:
 
     def provide(missing: DataFrame) -> DataFrame:
         found = vectors.as_provider(missing.select("key", "_text"), "_text", opts.embedder.encode, opts.embedder.dims)
-        return found.select("key", F.col("vector").alias("v"), F.lit(model).alias("model"))
+        some = F.exists("vector", lambda x: x != 0)  # a zero vector stands for a failure and isn't cached
+        return found.select("key", F.when(some, F.col("vector")).alias("v"), F.lit(model).alias("model"))
 
     keyed = rows.withColumn("key", text.cache_key(model, F.col("_text")))
     got = caches.filled(keyed, f"{opts.cache}/embeddings", schemas.EMBEDDING_CACHE, "key", provide)
@@ -240,6 +245,7 @@ def summaries(topics: DataFrame, opts: Options, least: int = 6) -> DataFrame:
     found = told.join(share, "cluster_id").join(sources, "cluster_id").join(chips, "cluster_id").join(category, "cluster_id", "left")
     query = text.image_query(F.col("topic_title"), F.col("summary"))
     found = found.withColumn("image_query", query)
+    found = pictured(found, rows, opts)
     best = [F.desc("num_sources"), F.desc("matter_score"), "cluster_id"]
     # At most ``top`` rows are numbered; repeated ones are folded into the first.
     told = written(found.orderBy(*best).limit(opts.top).withColumn("ord", F.row_number().over(Window.orderBy(*best))), "told")
@@ -247,6 +253,16 @@ def summaries(topics: DataFrame, opts: Options, least: int = 6) -> DataFrame:
     return told.drop("sources", "num_sources").join(stay, "ord").orderBy("ord").select(*found.columns)
 
 
+def pictured(told: DataFrame, rows: DataFrame, opts: Options) -> DataFrame:
+    """Summaries with the fields of their pictures, empty where there is none."""
+    middle = vectors.most_central(vectors.unit_rows(rows)).join(rows.select("cluster_id", "ord", F.col("title").alias("central")), ["cluster_id", "ord"]).drop("ord")
+    told = written(told, "told")
+    chosen = illustrated.illustrated(told.select("cluster_id", "topic_title", "summary").join(middle, "cluster_id", "left"), opts.embedder, opts.encyclopedia, opts.photos)
+    kept = chosen.select("cluster_id", *[F.col(f).alias(f"image_{f}") for f in illustrated.FIELDS], text.short_credit(F.col("credit")).alias("image_credit_short"))
+    fields = [c for c in kept.columns if c != "cluster_id"]
+    return told.join(kept, "cluster_id", "left").fillna("", fields).withColumns({"image_width": F.lit(600), "image_max_width": F.lit(600)})
+
+
 def run(spark: SparkSession, raw: DataFrame, opts: Options) -> dict[str, DataFrame]:
     """raw: articles with ``ord``. Tables: articles, unmapped, topics, cohesion, trust, summaries."""
     rows = written(embedded(labelled(raw, opts), opts), "articles")
@@ -287,6 +303,11 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--input", help="a JSON array of articles; without it the feeds are read")
     args.add_argument("--feeds", nargs="*", help="URLs of feeds; without any, the built-in list")
     args.add_argument("--api-reply", help="a file with a news API's reply, read beside the feeds")
+    args.add_argument("--news-key", help="key of the news API, asked beside the feeds")
+    args.add_argument("--chat", nargs=3, metavar=("URL", "KEY", "MODEL"), help="a chat endpoint that judges and summarises topics")
+    args.add_argument("--embed", nargs=3, metavar=("URL", "KEY", "MODEL"), help="an embeddings endpoint")
+    args.add_argument("--pictures", action="store_true", help="search the encyclopedia for pictures")
+    args.add_argument("--photo-key", help="client id of the photo search")
     args.add_argument("--output", required=True)
     args.add_argument("--cache", help="folder of the embedding, event and summary caches")
     args.add_argument("--top-k", type=int, default=10)
@@ -302,9 +323,15 @@ def main(argv: list[str] | None = None) -> None:
     if got.input:
         raw = json_files.read_articles(spark, got.input)
     else:
-        reply = spark.read.text(got.api_reply, wholetext=True).first()["value"] if got.api_reply else "{}"
+        reply = spark.read.text(got.api_reply, wholetext=True).first()["value"] if got.api_reply else providers_http.news_reply(got.news_key, got.date) if got.news_key else "{}"
         raw = written(collected(feeds.api_rows(spark, reply), feeds.feed_entries(spark, got.feeds or None)), "collected")
     opts = Options(got.date, top=got.top_k, judge=not got.no_judge, names=got.names, cache=got.cache)
+    if got.chat:
+        opts.judge_model, opts.summarizer = providers_http.ChatJudge(*got.chat), providers_http.ChatSummarizer(*got.chat)
+    if got.embed:
+        opts.embedder = providers_http.ApiEmbedder(*got.embed)
+    opts.encyclopedia = providers_http.EncyclopediaSearch() if got.pictures else None
+    opts.photos = providers_http.PhotoSearch(got.photo_key) if got.photo_key else None
     output, tables = got.output.rstrip("/"), run(spark, raw, opts)
     for name, df in tables.items():
         json_files.write_dated(df, f"{output}/{name}", got.date)

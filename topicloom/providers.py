@@ -44,7 +44,7 @@ class ZeroShot(Protocol):
 class ImageSearch(Protocol):
     name: str
 
-    def search(self, query: str) -> list[dict]: ...
+    def search(self, query: str) -> str | None: ...
 
 
 _WORD = re.compile(r"\w+")
@@ -103,8 +103,8 @@ class KeywordZeroShot:
 class NoImages:
     name = "none"
 
-    def search(self, query: str) -> list[dict]:
-        return []
+    def search(self, query: str) -> str | None:
+        return None
 
 
 #: Words whose share tells the language of a text, for the offline language gate.
