@@ -208,3 +208,39 @@ def test_full_memory_changes_no_ids(most):
         texts = [" ".join("".join(draw.choice(list("abé,.% \n"), draw.integers(1, 30))) for _ in range(20)) for _ in range(3)]
         assert own.batch(tokens.SPLITS["bytes"](pa.array(texts))) == own.whole(texts)
         assert own.memory.n <= most and len(own.memory.long) <= most
+
+
+def test_text_without_blanks_is_cut_where_no_piece_reaches(spark):
+    """Long words: parts that no piece spans, each path's chance unchanged, whole texts lossless."""
+    own = Lattice(PIECES)
+    pieces = {own.bytes_of[i].decode() for i in range(own.size) if len(own.bytes_of[i]) > 1 and not own.bytes_of[i].startswith(b" ")}
+    for word in ("日本語テスト" * 40, "there" * 30, "aé日" * 50, "x" * 200):
+        parts = own._apart(word)
+        assert "".join(parts) == word
+        at = 0
+        for part in parts[:-1]:
+            at += len(part)
+            around = [(a, b) for a in range(max(0, at - 20), at) for b in range(at + 1, min(len(word), at + 20) + 1)]
+            assert not any(word[a:b] in pieces for a, b in around)
+    word = "there" + "日" * 38
+    one = own.sample([word] * 4000, np.arange(4000))
+    two = own.sample(["there"] * 4000, np.arange(4000))
+    ends = np.cumsum(one[1])
+    heads: dict = {}
+    for e, n in zip(ends.tolist(), one[1].tolist(), strict=True):
+        raw, k = b"", 0
+        while raw != b"there":
+            raw += own.bytes_of[one[0][e - n + k]]
+            k += 1
+        heads[k] = heads.get(k, 0) + 1 / 4000
+    plain = np.bincount(two[1]) / 4000
+    assert all(heads.get(k, 0) == pytest.approx(p, abs=0.04) for k, p in enumerate(plain))
+    long = spark.createDataFrame([(1, "日本語の文章を切らずに書く" * 8000), (None, "no key"), (None, "no key")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sampled(long, PIECES).collect()}
+    assert all(r["lossless"] for r in got.values()) and len({r["ids_crc32"] for r in sampled(long, PIECES).filter("doc_id is null").collect()}) == 1
+
+
+def test_null_key_is_the_hash_zero(spark):
+    df = spark.createDataFrame([(None, "some words thereof")], "doc_id long, text string")
+    ids, _ = Lattice(PIECES).sample(["some words thereof"], np.zeros(1, np.int64))
+    assert sampled(df, PIECES).first()["ids"] == ids.astype("<u4").tobytes()
