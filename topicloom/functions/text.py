@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,11 +126,25 @@ def entities(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, F.lower), lambda w: ~w.isin(dims.ENTITY_STOP)))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value made once for a row, also where lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def top_tokens(words_: Column, most: int) -> Column:
-    """The most frequent words of an array, ties in alphabetical order."""
-    each = F.array_distinct(words_)
-    counted = F.transform(each, lambda w: F.struct((-F.size(F.filter(words_, lambda x: x == w))).alias("n"), w.alias("w")))
-    return F.transform(F.slice(F.array_sort(counted), 1, most), lambda s: s["w"])
+    """The most frequent words of an array, ties in alphabetical order: lengths of runs in the sorted words."""
+
+    def ranked(ordered: Column) -> Column:
+        size = F.size(ordered)
+        begins = F.filter(F.sequence(F.lit(1), size), lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
+
+        def best(starts: Column) -> Column:
+            runs = F.transform(starts, lambda at, k: F.struct((at - F.coalesce(F.get(starts, k + 1), size + 1)).alias("n"), F.get(ordered, at - 1).alias("w")))
+            return F.transform(F.slice(F.array_sort(runs), 1, most), lambda s: s["w"])
+
+        return F.when(size == 0, F.array().cast("array<string>")).otherwise(_once(begins, best))
+
+    return _once(F.array_sort(words_), ranked)
 
 
 def photo_queries(query: Column, topic: Column, headline: Column, most: int = 5) -> Column:

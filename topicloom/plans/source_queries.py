@@ -46,9 +46,9 @@ def article_file_scan(spark, sf_dir):
     return json_files.read_articles(spark, found).select("ord", "title", "url", "description")
 
 
-@query("""SELECT n_regionkey::BIGINT AS cluster_id, list(n_name ORDER BY n_nationkey) AS titles FROM nation GROUP BY 1""")
+@query("""SELECT n_regionkey::BIGINT AS cluster_id, string_agg(n_name, '|' ORDER BY n_nationkey) AS titles FROM nation GROUP BY 1""")
 def article_lists(spark, sf_dir):
-    return json_files.nested(_nations(spark, sf_dir)).select("cluster_id", F.transform("articles", lambda a: a["title"]).alias("titles"))
+    return json_files.nested(_nations(spark, sf_dir)).select("cluster_id", F.array_join(F.transform("articles", lambda a: a["title"]), "|").alias("titles"))
 
 
 @query("""SELECT n_regionkey::BIGINT AS cluster_id, n_nationkey::BIGINT AS ord, '2024-01-02' AS dt FROM nation WHERE n_nationkey % 2 = 0""")
