@@ -90,3 +90,12 @@ def test_requests(date):
         raise OSError
 
     assert providers_http.news_reply("key", get=broken) == "{}" and providers_http.EncyclopediaSearch(get=broken).search("q") is None
+
+
+def test_news_desk_passes_on_each_step():
+    post = lambda url, body, key: {"choices": [{"message": {"content": body["messages"][0]["content"].split()[0] + ": " + body["messages"][1]["content"][:5]}}]}
+    desk = providers_http.ChatNewsDesk("u", "k", "m", post=post)
+    found = desk.tell("strike", lambda q: [{"title": q, "url": "u", "text": "t"}] * 5)
+    assert found[0].count("strike news") == 3 and found[1:] == ["Put: strik", "Summarise: Put:"]
+    assert desk.tell("x", lambda q: []) == ["No news found for x."]
+    assert providers_http.ChatEventCheck("u", "k", "m", post=lambda *_: {}, sleep=lambda _: None).check(["a"]).startswith("Type: Specific")

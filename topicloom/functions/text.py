@@ -193,6 +193,14 @@ def reply_event(reply: Column) -> Column:
     return F.struct(label.alias("label"), F.coalesce(F.nullif(after("why:"), F.lit("")), F.lit("OK")).alias("why"))
 
 
+def reply_specific(reply: Column) -> Column:
+    """Whether an older judge's first line says a specific event, and what it says after it."""
+    lines = F.split(stripped(or_empty(reply)), r"\r?\n")
+    first = F.lower(stripped(F.get(lines, F.lit(0))))
+    rest = stripped(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " "))
+    return F.struct(F.startswith(first, F.lit("type: specific")).alias("specific"), rest.alias("why"))
+
+
 def chip(url: Column, bias: Column, source_name: Column) -> Column:
     """Anchor of one source. URL and name are escaped."""
     label = title_case(F.coalesce(F.nullif(bias, F.lit("")), F.lit("Unknown")))

@@ -134,6 +134,14 @@ def bias_labels(articles: DataFrame, names: tuple[str, ...] = ("source",), defau
     return df.withColumn("label", found).select(*articles.columns, "label")
 
 
+def display_names(rows: DataFrame, domain: str = "domain") -> DataFrame:
+    """``rows`` with ``display_name``: the outlet that a domain belongs to, also under www; null where none is known."""
+    known = dims.domains(rows.sparkSession).select(F.col("domain").alias("_known"), F.col("name").alias("display_name"))
+    bare = known.select(F.col("_known").alias("_bare"), F.col("display_name").alias("_under_www"))
+    met = rows.join(F.broadcast(known), F.col(domain) == F.col("_known"), "left").join(F.broadcast(bare), F.col(domain) == F.concat(F.lit("www."), F.col("_bare")), "left")
+    return met.select(*rows.columns, F.coalesce("display_name", "_under_www").alias("display_name"))
+
+
 def unmapped(labelled: DataFrame) -> DataFrame:
     """Rows whose label is Unknown, for review."""
     who = F.coalesce(F.nullif(F.col("source"), F.lit("")), F.col("outlet")) if "outlet" in labelled.columns else F.col("source")

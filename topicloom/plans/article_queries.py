@@ -304,3 +304,14 @@ def feed_projection(spark, sf_dir):
         F.when(e % 3 != 0, F.col("ts")).alias("published"), F.when(e % 6 != 0, F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("updated"),
     )
     return ops.feed_articles(rows)
+
+
+@query(f"""WITH {_DIMS_SQL}, h AS (SELECT domain, name, row_number() OVER (ORDER BY domain) - 1 AS i FROM aliases),
+    d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'www.' || h.domain WHEN 1 THEN h.domain ELSE 'nowhere.example' END AS domain FROM documents JOIN h ON h.i = doc_id % {len(dims.DOMAINS)})
+    SELECT doc_id, coalesce(a.name, b.name) AS display_name FROM d LEFT JOIN aliases a ON a.domain = d.domain LEFT JOIN aliases b ON 'www.' || b.domain = d.domain""")
+def display_names(spark, sf_dir):
+    hosts = spark.createDataFrame(list(enumerate(sorted(dims.DOMAINS))), "i long, host string")
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select("doc_id", (d % len(dims.DOMAINS)).alias("i")).join(F.broadcast(hosts), "i")
+    domain = F.when(d % 3 == 0, F.concat(F.lit("www."), "host")).when(d % 3 == 1, F.col("host")).otherwise("nowhere.example")
+    return ops.display_names(rows.select("doc_id", domain.alias("domain"))).select("doc_id", "display_name")

@@ -221,3 +221,11 @@ def image_relevance(spark, sf_dir):
     rows = _whole(spark, sf_dir).select("ord", F.col("description").alias("topic"))
     met = rows.join(rows.select((F.col("ord") - 1).alias("ord"), F.col("topic").alias("picture")), "ord")
     return met.select("ord", pictures.keyword_overlap(F.col("topic"), F.col("picture")).alias("words"), pictures.relevant(F.col("topic"), F.col("picture"), (F.col("ord") % 100) / 100).alias("relevant"))
+
+
+@query("""SELECT doc_id, doc_id % 4 IN (0, 3) AS specific, CASE doc_id % 4 WHEN 0 THEN 'One ' || source || '. Sure.' WHEN 1 THEN source ELSE '' END AS why FROM documents""")
+def specific_event_replies(spark, sf_dir):
+    """Replies of an older judge: with reasons on several lines or one, without any, in any case."""
+    k = F.col("doc_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit(" Type: Specific Event\nOne "), "source", F.lit(".\nSure. "))).when(k == 1, F.concat(F.lit("Type: Mixed\n"), "source")).when(k == 2, F.lit("")).otherwise("TYPE: SPECIFIC")
+    return table(spark, sf_dir, "documents").select("doc_id", text.reply_specific(reply).alias("r")).select("doc_id", "r.specific", "r.why")

@@ -73,6 +73,30 @@ class ChatJudge(_Chat):
         return self._ask(self.SYSTEM, f"Do these headlines tell of one event?\n{listed}", 60) or "Label: SINGLE_EVENT\nWhy: no answer"
 
 
+class ChatEventCheck(_Chat):
+    """The older judge's question; without an answer titles are taken to tell of one event."""
+
+    SYSTEM = "You check groups of news headlines. Answer 'Type: Specific Event', 'Type: Mixed' or 'Type: Thematic Similarity' in the first line, then a short reason."
+
+    def check(self, titles: Sequence[str]) -> str:
+        return self._ask(self.SYSTEM, "\n".join(titles), 80) or "Type: Specific Event\nno answer"
+
+
+class ChatNewsDesk(_Chat):
+    """A topic's news from a search: found, put together, summarised; each step reads the one before it."""
+
+    STEPS = ("Put these reports together into one account, without repeating what they share.", "Summarise this account in a few neutral sentences.")
+
+    def tell(self, topic: str, search: Callable[[str], list[dict]]) -> list[str]:
+        found = search(f"{topic} news")[:3]
+        if not found:
+            return [f"No news found for {topic}."]
+        told = ["\n\n".join(f"{r['title']}\n{r['url']}\n{r['text']}" for r in found)]
+        for step in self.STEPS:
+            told.append(self._ask(step, told[-1], 700) or told[-1])
+        return told
+
+
 class ChatSummarizer(_Chat):
     """Headline, summary and takeaways of a topic's articles; None without an answer."""
 
