@@ -157,33 +157,32 @@ def test_daily_entry_point(spark, tmp_path, capsys):
         daily.main(["--date", "10.1.2024", "--input", "x", "--output", "y"])
 
 
-def test_written_tables_are_dropped_and_swept(spark, tmp_path):
+def test_written_tables_are_dropped_and_swept(spark, tmp_path, monkeypatch):
     """By a bare path as by a full one; a sweep keeps the table that is still read."""
     from topicloom.sources import tables
 
-    before = spark.conf.get("spark.checkpoint.dir")
-    try:
-        for root in (str(tmp_path / "bare"), f"file://{tmp_path}/full", f"file:{tmp_path}/short"):
-            spark.conf.set("spark.checkpoint.dir", root)
-            began = tables.mark()
-            one, two, three = (tables.written(spark.range(k), f"t{k}") for k in (1, 2, 3))
-            folder = next((tmp_path / root.rsplit("/", 1)[1]).glob("topicloom/*"))
-            tables.drop_table(one)
-            assert sorted(p.name.split("-")[0] for p in folder.iterdir()) == ["t2", "t3"]
-            tables.sweep(began, three)
-            assert [p.name.split("-")[0] for p in folder.iterdir()] == ["t3"] and three.count() == 3
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
-
-
-def test_no_local_folder_on_a_cluster():
+    for root in (str(tmp_path / "bare"), f"file://{tmp_path}/full", f"file:{tmp_path}/short"):
+        monkeypatch.setattr(tables, "shared_folder", lambda _, root=root: root)
+        began = tables.mark()
+        one, two, three = (tables.written(spark.range(k), f"t{k}") for k in (1, 2, 3))
+        folder = next((tmp_path / root.rsplit("/", 1)[1]).glob("topicloom/*"))
+        tables.drop_table(one)
+        assert sorted(p.name.split("-")[0] for p in folder.iterdir()) == ["t2", "t3"]
+        tables.sweep(began, three)
+        assert [p.name.split("-")[0] for p in folder.iterdir()] == ["t3"] and three.count() == 3
+
+
+def test_folder_where_none_is_set():
+    """One local folder for an application without a shared one; none on a cluster."""
     import pytest
 
     from topicloom.sources import tables
 
     class Session:
         conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
-        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "app-test"})
 
     with pytest.raises(ValueError, match="checkpoint"):
         tables.shared_folder(Session())
+    Session.sparkContext.master = "local[2]"
+    assert tables.shared_folder(Session()) == tables.shared_folder(Session()) == tables._LOCAL["app-test"]

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: list[tuple[SparkSession, str]] = []
 
+#: The folder of each local application that was given none.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a new folder if driver and executors are one process, else an error."""
@@ -18,9 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="topicloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        _FOLDERS.append((spark, root))
+        name = spark.sparkContext.applicationId
+        if name not in _LOCAL:
+            _LOCAL[name] = "file://" + tempfile.mkdtemp(prefix="topicloom-")
+            _FOLDERS.append((spark, _LOCAL[name]))
+        root = _LOCAL[name]
     return root.rstrip("/")
 
 
@@ -81,5 +86,4 @@ def mark() -> int:
 def sweep(since: int, keep: DataFrame) -> None:
     """Removes the tables written since ``mark`` gave ``since``, but for the one that ``keep`` reads."""
     files = keep.inputFiles()[:1]
-    root = [p for s, p in _FOLDERS[since:] if p == s.conf.get("spark.checkpoint.dir", None)]
-    _drop([x for x in _FOLDERS[since:] if x[1] not in root and not _holds(x[1], files)])
+    _drop([x for x in _FOLDERS[since:] if x[1] not in _LOCAL.values() and not _holds(x[1], files)])
