@@ -35,6 +35,7 @@ def compare(rows, got):
     sizes, component = brute(rows)
     want = sorted((str(i), n, str(c)) for (i, _), n, c in zip(rows, sizes, component, strict=True))
     assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    assert all(r["kept"] == (None if r["doc_id"] is None else r["doc_id"] == r["component_id"]) for r in got)
 
 
 def test_odd_texts(spark, texts):
@@ -104,3 +105,30 @@ def test_components(spark, seed):
                 label[a] = label[b] = min(label[a], label[b])
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == label
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    """Nodes with very many edges take the broadcast way; the others the join."""
+    from topicloom.llm import components as own
+
+    monkeypatch.setattr(own, "LEAST_HUB", 8)
+    edges = [(i, 1000) for i in range(300)] + [(i, 2000) for i in range(250, 600)] + [(3000 + i, 3001 + i) for i in range(20)] + [(2000, 3000), (None, 5)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 600 + 2 + 21 and set(got.values()) == {0}
+
+
+@pytest.mark.parametrize("block", [300, 3000])
+def test_residue_in_small_blocks(spark, block):
+    """Buckets with several components, whose classes are dealt to many blocks by size."""
+    from topicloom.llm.minhash import near_groups
+
+    draw = random.Random(block)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(60):
+        size = draw.choice([60, 80, 110, 150, 200])
+        rows.append((k, " ".join(w if draw.random() > 0.012 else f"x{draw.randrange(10**6)}" for w in base[:size])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found_rows, found = near_groups(df, block=block)
+    got = {r["id"]: r["component_id"] for r in found_rows.join(found, "print").selectExpr("row.doc_id as id", "component_id").collect()}
+    assert got == {i: c for (i, _), c in zip(rows, brute(rows)[1], strict=True)}

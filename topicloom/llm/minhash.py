@@ -6,12 +6,13 @@
 3. Each bucket is a star: every class is compared with the bucket's first class only, on full sets.
 4. Links give components. Where a bucket still holds several components, its classes are compared with those of other
    components, unless their sizes, or the shingles that no other component has, show that they can't be linked. This is
-   done on full sets, in blocks of bounded size that count shared shingles by a matrix product and return only which
-   components a link joins. So no link that a bucket shows is lost, and pairs are never made as rows.
+   done on full sets, between sets of like size, in blocks of bounded size that count shared shingles by a matrix product
+   and return only which components a link joins. So no link that a bucket shows is lost, and pairs are never made as rows.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer than five words has
 one shingle, the whole sequence; equal rows are equal sets. A null id is never the smallest of a component that has
-another; rows that repeat an id are each returned, and one row of a component is kept. Other columns travel in a struct.
+another; rows that repeat an id are each returned. ``kept`` says doc_id = component_id, so it is null for a null id and true
+for each row that repeats a kept id, while ``near_distinct`` keeps one row of a component. Other columns travel in a struct.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, hub_join, hub_limit
 
 BANDS, ROWS = 42, 3
 BINS = 128
@@ -93,7 +94,6 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    docs = common.small_batches(docs)
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("row_id"))
     schema = T.StructType([*keyed.schema.fields, *T._parse_datatype_string("n_shingles long, print binary, bands array<long>").fields])
 
@@ -168,7 +168,8 @@ def _shared(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _met(block: pa.Table, percent: int) -> list[tuple[int, int]]:
     """Pairs of labels that a link between two rows of a block joins, as a forest. Full sets are compared, all at once."""
     first = np.array(block["first"].to_pylist(), bool)
-    second = first if block["i"][0].as_py() == block["j"][0].as_py() else ~first
+    alone = block["i"][0].as_py() == block["j"][0].as_py() and not ("next" in block.column_names and block["next"][0].as_py())
+    second = first if alone else ~first
     label, n, shared = (block[c].to_numpy() for c in ("label", "n", "shared"))
     sets = block["grams"].combine_chunks()
     if isinstance(sets, pa.ChunkedArray):
@@ -228,19 +229,31 @@ def _across(members: DataFrame, labels: DataFrame, texts: DataFrame, percent: in
     live = common.written(held.join(shared, "node").filter(F.col("shared") * 100 >= F.col("n") * percent), "live")
     hubs = live.groupBy("key").agg(F.min("node").alias("hub"))
     clusters = components(live.join(hubs, "key").select("node", "hub").distinct(), "node", "hub")
-    nodes = live.select("node", "n", "label", "shared").distinct().join(clusters, "node")
-    parts = nodes.groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("component", "parts")
-    dealt = nodes.join(parts, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("first"), "node", "n", "label", "shared")
+    # Sizes of linked sets differ by a factor of 100 / percent at most: classes of such sizes meet themselves and the next.
+    band = F.floor(F.log("n") / np.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    nodes = live.select("node", "n", "label", "shared").distinct().join(clusters, "node").withColumn("band", band)
+    sums = nodes.groupBy("component", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    mixed_ = sums.groupBy("component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("component")
+    parts = common.written(sums.join(mixed_, "component", "left_semi").select("component", "band", "parts"), "parts")
+    each = nodes.join(parts, ["component", "band"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    slim = ["node", "n", "label", "shared"]
+    same = each.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    same = same.select("component", "band", F.lit(0).alias("next"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("first"), *slim)
+    above = parts.select("component", (F.col("band") - 1).alias("band"), F.col("parts").alias("others"))
+    under = parts.select("component", (F.col("band") + 1).alias("band"), F.col("parts").alias("others"))
+    met = lambda side: each.join(side, ["component", "band"]).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
+    upper = met(above).select("component", "band", F.lit(1).alias("next"), F.col("part").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"), *slim)
+    lower = met(under).select("component", (F.col("band") - 1).alias("band"), F.lit(1).alias("next"), F.col("other").alias("i"), F.col("part").alias("j"), F.lit(False).alias("first"), *slim)
+    dealt = same.unionByName(upper).unionByName(lower)
 
     def meet(table: pa.Table) -> pa.Table:
         found = _met(table, percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return common.written(dealt.join(sets, "node").groupBy("component", "i", "j").applyInArrow(meet, "a long, b long"), "across")
+    return common.written(dealt.join(sets, "node").groupBy("component", "band", "next", "i", "j").applyInArrow(meet, "a long, b long"), "across")
 
 
-def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, block: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75, block: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(signature rows: row, row_id, n_shingles, print; print, component_id, keep_row of each class of equal sets)."""
     rows = _prepared(docs, text)
     some = rows.filter("n_shingles > 0")
@@ -250,12 +263,14 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
     placed = reps.select(F.col("row_id").alias("node"), F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     # The first class of a bucket by one of three orders, so that a group of near copies gets several centres.
     turn = F.xxhash64("node", F.col("band") % 3)
-    stars = placed.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("first.node").alias("centre"))
+    stars = placed.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "node", "n")).alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("first.node").alias("centre"), F.col("first.n").alias("centre_n"))
     members = common.written(placed.drop("band").join(stars, "key"), "members")
     texts = rows.select(F.col("row_id").alias("node"), F.col("row")[text].alias("text"))
 
     linked = F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent
-    spokes = members.filter("node <> centre").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+    # Sets of too different sizes can't be linked: their texts needn't meet.
+    sized = F.least("n", "centre_n") * 100 >= F.greatest("n", "centre_n") * percent
+    spokes = members.filter("node <> centre").filter(sized).select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
     links = _verified(spokes, texts).filter(linked).select("a", "b")
     labels = common.written(components(links), "labels")
     more = _across(members.select("key", "node", "n"), labels, texts, percent, block)
@@ -263,17 +278,17 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", per
         joined = components(more).withColumnRenamed("component", "next").withColumnRenamed("node", "component")
         every = labels.unionByName(joined.select(F.col("component").alias("node"), "component")).distinct()
         labels = every.join(joined, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    placed_ = classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = placed_.groupBy("component").agg(F.min("best").alias("first"))
-    return rows, placed_.join(best, "component").select("print", F.col("first.id").alias("component_id"), F.col("first.at").alias("keep_row"))
+    placed_ = common.written(classes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    best = placed_.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("c"))
+    return rows, hub_join(placed_, best, "component", hub_limit(placed_.count())).select("print", F.col("first.id").alias("component_id"), F.col("first.at").alias("keep_row"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     rows, found = near_groups(docs, text, doc_id, percent)
     slim = rows.select("row_id", F.col("row")[doc_id].alias("doc_id"), "n_shingles", "print")
-    linked = slim.filter("n_shingles > 0").join(found, "print").select("doc_id", "n_shingles", "component_id", (F.col("row_id") == F.col("keep_row")).alias("kept"))
-    return linked.unionByName(slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"), F.lit(True).alias("kept")))
+    linked = slim.filter("n_shingles > 0").join(found, "print").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return linked.unionByName(slim.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"), (F.col("doc_id") == F.col("doc_id")).alias("kept")))
 
 
 def near_distinct(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = 75) -> DataFrame:
