@@ -40,6 +40,7 @@ def test_matches_brute_force(spark, seed, cell_rows):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
     n, component = brute([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], lab) for i, v, lab in rows])
     got = near_vectors(df, cell_rows=cell_rows).collect()
+    assert all(r["kept"] == (None if r["vec_id"] is None else r["vec_id"] == r["component_id"]) for r in got)
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == sorted((str(r[0]), k, str(c)) for r, k, c in zip(rows, n, component, strict=True))
 
 

@@ -13,7 +13,9 @@ cells of their label: the result stays exact, the work then grows with the squar
 
 Defined cases: a null label, a null, empty or zero vector, or one with null or non-finite components links with nothing;
 vectors of different lengths never link. A null vec_id is never a component's smallest id if there is another; rows that
-repeat an id are each returned and count as other vectors. Empty tables give empty results.
+repeat an id are each returned and count as other vectors. ``kept`` says vec_id = component_id: null for a null id, true for
+each row that repeats such an id. Empty tables give empty results. Labels of at most ``cell_rows`` vectors are one cell, and
+so are the labels beyond the ``most_pivots`` largest: they are joined as blocks without pivots, with the same result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, hub_join, hub_limit
 
 _SLACK = 1e-9
 
@@ -139,9 +141,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     found = common.written(left.unionByName(right).groupBy(*by, "i", "j").applyInArrow(join, "node long, links long, other long"), "links")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found, "node", "other")
-    grouped = classes.select("node", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = grouped.groupBy("component").agg(F.min("best").alias("first"))
-    answer = grouped.join(best, "component").join(counted, "node", "left").select("node", F.coalesce("links", F.lit(0)).alias("links"), "first")
+    grouped = common.written(classes.select("node", "best").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
+    best = grouped.groupBy("component").agg(F.min("best").alias("first"), F.count("*").alias("c"))
+    answer = hub_join(grouped, best, "component", hub_limit(grouped.count())).join(counted, "node", "left").select("node", F.coalesce("links", F.lit(0)).alias("links"), "first")
     keyed = rows_.select("row_id", "vec_id", "sound", "label", "v")
-    sound_rows = keyed.filter("sound").join(classes.select("label", "v", "node", "copies"), ["label", "v"]).join(answer, "node").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("first.id").cast("long").alias("component_id"), (F.col("row_id") == F.col("first.at")).alias("kept"))
-    return sound_rows.unionByName(keyed.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.lit(True).alias("kept")))
+    sound_rows = keyed.filter("sound").join(classes.select("label", "v", "node", "copies"), ["label", "v"]).join(answer, "node").select("vec_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("first.id").cast("long").alias("component_id"), (F.col("vec_id") == F.col("first.id")).alias("kept"))
+    return sound_rows.unionByName(keyed.filter("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept")))
