@@ -67,15 +67,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
         return tables.written(df, label)
 
 
-def small_batches(df: DataFrame, rows: int = 256, size: int = 16 << 20) -> DataFrame:
-    """``df``, after its session's Arrow batches are bounded."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
