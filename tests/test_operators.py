@@ -305,9 +305,9 @@ def test_tfidf_pairs_are_all_pairs(spark, seed):
     for r in weights.collect():
         held.setdefault(r["cluster_id"], {})[r["term"]] = r["weight"]
     sims = {(i, j): sum(w * held[j].get(t, 0.0) for t, w in held[i].items()) for i in held for j in held if i < j}
-    for least in (0.3, 0.88):
+    for least in (0.0, 0.3, 0.88):
         got = {(r["i"], r["j"]): r["sim"] for r in similarity.tfidf_pairs(weights, least).collect()}
-        assert got == pytest.approx({k: v for k, v in sims.items() if v >= least})
+        assert got == pytest.approx({k: v for k, v in sims.items() if v >= least and (v > 0 or set(held[k[0]]) & set(held[k[1]]))})
 
 
 @pytest.mark.parametrize("least", [-0.2, 0.0, 0.35, 0.9, 0.999])

@@ -60,6 +60,9 @@ def tfidf_pairs(weights: DataFrame, least: float, group: str = "cluster_id") ->
     up to where the length of what is left falls below ``least``: only such pairs are multiplied out.
     """
     own = weights.select(F.col(group).alias("g"), "term", "weight")
+    if least <= 0:  # every pair that shares a term counts
+        both = own.select(F.col("g").alias("i"), "term", F.col("weight").alias("a")).join(own.select(F.col("g").alias("j"), "term", F.col("weight").alias("b")), "term").filter("i < j")
+        return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).filter(F.col("sim") >= least)
     seen = own.groupBy("term").agg(F.count("*").alias("df"))
     rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("g").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
     first = own.join(seen, "term").withColumn("rest", rest).filter(F.sqrt("rest") >= least - 1e-9)
