@@ -86,7 +86,7 @@ class Lattice:
         self.trie = trie
         self._table()
         self.extra: dict[str, int] = {}
-        self.node_of: dict[str, tuple[int, int]] = {}  # word: (last place, characters)
+        self.node_of: dict[str, int] = {}  # word: last place
         self.edges, self.places = _Rows(np.float64, np.int16, np.int32), _Rows(np.int64)
 
     def _table(self) -> None:
@@ -215,23 +215,22 @@ class Lattice:
 
     def _parts(self, text: str) -> list[str]:
         words = _WORDS.findall(text)
-        if all(len(w) <= APART for w in words):
+        if max(map(len, words), default=0) <= APART:
             return words
         return [part for w in words for part in (self._apart(w) if len(w) > APART else (w,))]
 
     def place(self, words: list[str]) -> np.ndarray:
-        """(last place, characters) of each word."""
+        """The last place of each word."""
         known = self.node_of
         fresh = list(set(words).difference(known))
         short = [w for w in fresh if len(w) <= self.LONG]
         if short:
-            known.update(zip(short, zip(self._filter(short).tolist(), map(len, short), strict=True), strict=True))
+            known.update(zip(short, self._filter(short).tolist(), strict=True))
         for w in fresh:
             if len(w) > self.LONG:
-                known[w] = (self._filter_long(w), len(w))
-        at = np.array(list(map(known.__getitem__, words)), np.int64).reshape(-1, 2)
+                known[w] = self._filter_long(w)
         self.fresh = fresh
-        return at
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def sample(self, texts: list[str], keys: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each): one drawn segmentation of each text."""
@@ -246,7 +245,7 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         number = np.arange(len(words)) - np.repeat(first, counts)
         state = common.mix(np.repeat(common.mix(keys.astype(np.uint64) + np.uint64(seed)), counts) + number.astype(np.uint64) * np.uint64(common.BASE))
-        live, node, left = np.arange(len(words)), at[:, 0].copy(), at[:, 1].copy()
+        live, node, left = np.arange(len(words)), at, np.fromiter(map(len, words), np.int64, len(words))
         size, steps = np.zeros(len(words), np.int64), []
         step = 0
         while len(live):
