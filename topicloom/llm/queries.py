@@ -90,6 +90,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    return resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -101,8 +107,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
+#: crc32 in SQL: its remainders of one byte by their rule, then one step for each byte of ``crc_of``'s text.
+CRC_TABLE_SQL = """tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def crc_of(text: str) -> str:
+    """SQL of the crc32 of a text's UTF-8 bytes; ``tab`` has to be joined."""
+    return f"xor(list_reduce(list_transform(range(1, length(hex({text})), 2), lambda p: ('0x' || substr(hex({text}), p, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_sharding": f"""
         WITH r AS (
@@ -138,6 +154,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM component LEFT JOIN counted USING (vec_id)
     """,
+    "op13_importance_resampling": rf"""
+        WITH {CRC_TABLE_SQL},
+        d AS (SELECT doc_id, row_number() OVER () AS pos, text FROM documents),
+        w AS (SELECT pos, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d),
+        b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+        v AS (SELECT word, {crc_of("word")} % 10000 AS bucket FROM (SELECT word FROM w UNION SELECT word FROM b), tab),
+        s AS (SELECT bucket, count(*) AS s FROM w JOIN v USING (word) GROUP BY bucket),
+        t AS (SELECT bucket, count(*) AS t FROM b JOIN v USING (word) GROUP BY bucket),
+        g AS (
+            SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE
+                   / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain
+            FROM s FULL JOIN t USING (bucket)
+        ),
+        f AS (SELECT pos, count(*) AS n, sum(gain)::BIGINT AS weight FROM w JOIN v USING (word) JOIN g USING (bucket) GROUP BY pos),
+        r AS (
+            SELECT doc_id, pos, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+                   coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+            FROM d LEFT JOIN f USING (pos)
+        ),
+        k AS (SELECT pos, row_number() OVER (ORDER BY score DESC, doc_id, pos) AS rank FROM r WHERE n_features >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM k) * 10 // 100 THEN rank END AS rank
+        FROM r LEFT JOIN k USING (pos)
+    """,
     "op9_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t,
