@@ -90,6 +90,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .enrichment import enrich
+
+    return enrich(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resample
 
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_sale_enrichment": op11_sale_enrichment,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -154,6 +161,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM component LEFT JOIN counted USING (vec_id)
     """,
+    "op11_sale_enrichment": f"""
+        WITH {CRC_TABLE_SQL},
+        s AS (
+            SELECT row_number() OVER () AS pos, sale_id, client_id, sold_at,
+                   greatest(0, least(9, floor((date_diff('day', DATE '1970-01-01', arrived_at::DATE) - 19723) * 10 / 152)))::BIGINT AS b
+            FROM sales
+        ),
+        c AS (
+            SELECT *, greatest(0, least(9, floor((date_diff('day', DATE '1970-01-01', valid_at::DATE)
+                   + coalesce({crc_of("change_id::VARCHAR")}, 0) % 4 - 19723) * 10 / 152)))::BIGINT AS b
+            FROM (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL), tab
+        ),
+        m AS (
+            SELECT p, (SELECT max(sold_at) FROM s WHERE b < p) - INTERVAL 36 HOUR AS sm, (SELECT max(valid_at) FROM c WHERE b < p) - INTERVAL 36 HOUR AS cm
+            FROM range(10) r(p)
+        ),
+        h AS (SELECT p, cm, CASE WHEN sm IS NOT NULL AND cm IS NOT NULL THEN least(sm, cm) END AS h FROM m),
+        v AS (
+            SELECT client_id, valid_at, change_id, op, b, floor(100 * balance + 0.5)::BIGINT AS cents,
+                   row_number() OVER (ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST, floor(100 * balance + 0.5) NULLS FIRST, coalesce(op, '')) AS o
+            FROM c JOIN h ON c.b = h.p WHERE cm IS NULL OR valid_at >= cm
+        ),
+        gone AS (SELECT client_id, p, max(o) AS o FROM v JOIN h ON b <= p AND valid_at <= h GROUP BY client_id, p),
+        e AS (
+            SELECT pos, sale_id, client_id, sold_at, coalesce(min(p), 10) AS e
+            FROM s LEFT JOIN h ON p >= b AND (sold_at IS NULL OR sold_at < h) GROUP BY ALL
+        ),
+        met AS (
+            SELECT pos, count(*) AS n_held, max(v.o) FILTER (valid_at <= sold_at) AS o
+            FROM e JOIN v ON v.client_id = e.client_id AND v.b <= e
+            LEFT JOIN gone ON gone.client_id = e.client_id AND gone.p = e - 1
+            WHERE v.b = e OR v.o >= coalesce(gone.o, 0) GROUP BY pos
+        )
+        SELECT 'sale' AS rec, sale_id AS id, e AS batch, coalesce(n_held, 0) AS n_held, change_id, cents AS balance_cents, op
+        FROM e LEFT JOIN met USING (pos) LEFT JOIN v ON v.o = met.o
+        UNION ALL
+        SELECT 'late', change_id, b, NULL, NULL, NULL, NULL FROM c JOIN h ON c.b = h.p WHERE valid_at < cm
+    """,
     "op13_importance_resampling": rf"""
         WITH {CRC_TABLE_SQL},
         d AS (SELECT doc_id, row_number() OVER () AS pos, text FROM documents),
