@@ -286,7 +286,13 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 10, first: int =
         if not end:
             rows = clock(pieces.filter(F.col("batch") == b), sm, cm).unionByName(rows)
         rows.write.mode("append").parquet(f"{base}/feed")
-        with _settings(spark, spark__sql__shuffle__partitions=str(tasks), spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        with _settings(
+            spark,
+            spark__sql__shuffle__partitions=str(tasks),
+            spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            # What a start has left in an executor's own folder goes soon after it.
+            spark__sql__streaming__stateStore__maintenanceInterval="2s",
+        ):
             stream = spark.readStream.schema(_STREAM).parquet(f"{base}/feed")
             found = stream.groupBy("cell").transformWithStateInPandas(Enricher(), _FOUND, "Append", "None")
             query = found.writeStream.format("parquet").outputMode("append").option("path", f"{base}/found").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
