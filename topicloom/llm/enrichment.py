@@ -290,7 +290,8 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 10, first: int =
             spark,
             spark__sql__shuffle__partitions=str(tasks),
             spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-            # What a start has left in an executor's own folder goes soon after it.
+            # Small stores needn't reserve room for their logs; what a start has left in an executor's own folder goes soon after it.
+            spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
             spark__sql__streaming__stateStore__maintenanceInterval="2s",
         ):
             stream = spark.readStream.schema(_STREAM).parquet(f"{base}/feed")
