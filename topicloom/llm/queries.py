@@ -96,6 +96,17 @@ def op11_sale_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(table(spark, sf_dir, "sales"), table(spark, sf_dir, "client_changes"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held out: rows whose crc32(doc_id) mod 3 is 1; a row without id is never learned from."""
+    from .toxicity import assess, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = id_crc32("doc_id") % 3
+    model = train(docs, table(spark, sf_dir, "labels").filter(fold != 1).select("doc_id", "toxic"))
+    scored = assess(docs, model)
+    return scored.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), F.when(F.col("toxicity") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .resampling import resample
 
@@ -114,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_sale_enrichment": op11_sale_enrichment,
+    "op12_toxicity": op12_toxicity,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
