@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from topicloom.functions import stats, vectors
 from topicloom.sources.tables import written
 
+from . import joins, metric
+
 
 def centroids(rows: DataFrame, *by: str, vector: str = "vector", unit: bool = True) -> DataFrame:
     """Mean vector of each group, of unit length. Means are combined in each task before the shuffle."""
@@ -122,52 +124,40 @@ def trimmed(rows: DataFrame, cautious: bool = True, floor: int = 6) -> DataFrame
     return rows.select("cluster_id", "ord").join(gone.select("cluster_id", "ord"), ["cluster_id", "ord"], "left_anti")
 
 
-def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str = "vector", block: int = 1024, most_pivots: int = 2048) -> DataFrame:
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``unit``, the bytes of the array of doubles ``v``, in its place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            flat, at = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+            units = pa.array([flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "v"], units], names=[*[c for c in batch.schema.names if c != "v"], "unit"])
+
+    kept = [f for f in rows.schema if f.name != "v"]
+    return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "unit binary"]))
+
+
+def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str = "vector", block: int = 1024) -> DataFrame:
     """(i, j, sim) with i < j for all unit vectors (or zero vectors) at least so similar.
 
-    Pivots drawn by hash divide the vectors into cells of their nearest pivot. Vectors within r = sqrt(2 - 2 * least) of x
-    live in cells that the triangle inequality leaves open, and x is copied to those; a cell is joined as blocks of rows, by
-    matrix products, and a pair is made where its smaller key is at home. With a low ``least`` most cells stay open: then
-    every pair is compared, in blocks of bounded size.
+    Vectors so similar are within r = sqrt(2 - 2 * least). A tree of pivots (``metric.pivot_cells``) deals them to cells of about
+    ``block`` vectors, so that each pair meets where its smaller key is at home. A cell is joined as blocks of ``block`` rows by
+    matrix products, also one that can't be divided: vectors without structure, or a low ``least``, leave cells whole.
     """
-    slim = written(rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "unit_vectors")
-    count = slim.count()
-    if not count:
-        return rows.sparkSession.createDataFrame([], "i long, j long, sim double")
-    wanted = min(most_pivots, max(1, -(-count // block)))
-    drawn = slim.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(wanted).collect()  # ``most_pivots`` vectors at most
-    pivots = np.array([r["v"] for r in drawn], np.float64).reshape(len(drawn), -1)
     radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        square = (p * p).sum(axis=1)
-        between = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * p @ p.T))
-        for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            own = (x * x).sum(axis=1)
-            d2 = np.maximum(0, own[:, None] + square[None, :] - 2 * x @ p.T)
-            home = d2.argmin(axis=1)
-            gap = d2 - d2[np.arange(len(x)), home][:, None]
-            # A neighbour lives beyond the plane between both pivots; zero vectors reach no one at a positive ``least``.
-            goes = gap <= 2 * radius * between[home] + 1e-9
-            if least > 0:
-                goes &= (own > 0)[:, None]
-            goes[np.arange(len(x)), home] = True
-            r, c = np.nonzero(goes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), pa.array(c.astype(np.int32)), pa.array(home[r] == c)], names=["id", "v", "cell", "home"])
-
-    dealt = written(slim.mapInArrow(deal, "id long, v array<double>, cell int, home boolean"), "cells")
-    parts = dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    placed = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    slim = packed(rows.select(F.lit("0").alias("cell"), F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v")))
+    none = (lambda x: (x * x).sum(axis=1) == 0) if least > 0 else None
+    cells = metric.pivot_cells(slim, radius, block, alone=none)
+    sized = joins.with_counts(written(cells, "cells"), "cell", _n=F.count("*"))
+    placed = sized.withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = placed.filter("home").select("cell", F.col("part").alias("p"), others.alias("q"), F.lit(True).alias("first"), "id", "v")
-    right = placed.select("cell", others.alias("p"), F.col("part").alias("q"), F.lit(False).alias("first"), "id", "v")
+    left = placed.filter("home").select("cell", F.col("part").alias("p"), others.alias("q"), F.lit(True).alias("first"), "node", "unit")
+    right = placed.select("cell", others.alias("p"), F.col("part").alias("q"), F.lit(False).alias("first"), "node", "unit")
 
     def compare(table: pa.Table) -> pa.Table:
         first = np.array(table["first"].to_pylist(), bool)
-        ids, x = table["id"].to_numpy(), np.array(table["v"].to_pylist(), np.float64).reshape(len(first), -1)
+        ids, x = table["node"].to_numpy(), metric.matrix(table["unit"])
         sims = x[first] @ x[~first].T
         a, b = np.nonzero((sims >= least) & (ids[first][:, None] < ids[~first][None, :]))
         return pa.table({"i": ids[first][a], "j": ids[~first][b], "sim": sims[a, b]})
