@@ -303,8 +303,8 @@ def without_copies(texts: list[str], least: int = 7, smallest: int = 4) -> list[
     return kept
 
 
-def learned_stems(toxic: list[str], clean: list[str], least: int = 5, share: float = 0.01, rarer: float = 50.0, doubt: float = 5.0, doubt_share: float = 0.04, shortest: int = 3, longest: int = 12) -> tuple[list[str], list[str]]:
-    """(insults, suspects): stems, and whole words with a blank, of ``least`` toxic texts and a ``share`` of them.
+def learned_stems(toxic: list[str], clean: list[str], least: int = 5, share: float = 0.01, rarer: float = 50.0, doubt: float = 5.0, doubt_share: float = 0.04, evidence: float = 25.0, shortest: int = 3, longest: int = 12) -> tuple[list[str], list[str]]:
+    """(insults, suspects): stems, and whole words with a blank, of ``least`` toxic texts and a ``share`` of them, beyond chance.
 
     Insults are ``rarer`` times rarer in clean texts, suspects ``doubt`` times, and stand in a ``doubt_share`` of the toxic ones. A stem
     is as long as it can be without losing a toxic text; longer stems that begin with a taken one add nothing. Suspects are taken
@@ -315,6 +315,10 @@ def learned_stems(toxic: list[str], clean: list[str], least: int = 5, share: flo
     of_toxic = _units(toxic, shortest, longest)
     some = {u for u, n in of_toxic.items() if n >= max(least, share * len(toxic)) and len(u) > 2}
     of_clean = _units(clean, shortest, longest, some)
+    # Twice the log likelihood ratio of "as frequent in toxic texts as seen" to "equally frequent": many beginnings are looked at.
+    even = len(toxic) / (len(toxic) + len(clean))
+    told = lambda n, m: 2 * (n * np.log(n / (even * (n + m))) + (m * np.log(m / ((1 - even) * (n + m))) if m else 0.0)) if clean else np.inf
+    some = {u for u in some if told(of_toxic[u], of_clean[u]) >= evidence}
     p = {u: of_toxic[u] / len(toxic) for u in some}
     q = {u: of_clean[u] / max(1, len(clean)) for u in some}
     taken: list[str] = []
@@ -324,7 +328,7 @@ def learned_stems(toxic: list[str], clean: list[str], least: int = 5, share: flo
 
     good = {u for u in some if q[u] * rarer <= p[u]}
     for u in sorted((u for u in good if not u.endswith(" ")), key=len):
-        if covered(u):
+        if covered(u) or any(t.startswith(u) for t in taken):
             continue
         while longer := [v for v in good if v.startswith(u) and len(v) == len(u) + 1 and not v.endswith(" ") and of_toxic[v] == of_toxic[u]]:
             u = longer[0]
@@ -333,7 +337,8 @@ def learned_stems(toxic: list[str], clean: list[str], least: int = 5, share: flo
     n = len(taken)
     tells = {u: p[u] - doubt * q[u] for u in some if p[u] >= doubt_share and q[u] * doubt < p[u]}
     for u in sorted(tells, key=lambda u: (-tells[u], -len(u), u)):
-        if not covered(u) and not any(t.startswith(u.rstrip(" ")) for t in taken):
+        begins = [t for t in taken if t.startswith(u.rstrip(" "))]  # an insult that has most of a suspect's texts makes it idle
+        if not covered(u) and not any(t in taken[n:] or 2 * of_toxic[t] >= of_toxic[u] for t in begins):
             taken.append(u)
     return taken[:n], taken[n:]
 
