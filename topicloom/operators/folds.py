@@ -7,7 +7,6 @@ refused instead of slowing down unseen.
 
 from __future__ import annotations
 
-import difflib
 import math
 from collections import Counter
 from dataclasses import dataclass, field
@@ -18,6 +17,8 @@ from pyspark.sql import functions as F
 
 from topicloom.sources.tables import written
 
+from .strings import sequence_ratio, sorted_words
+
 LIMIT = 5000
 
 
@@ -105,14 +106,9 @@ def merge_duplicates(articles: DataFrame, pairs: DataFrame, compat: bool = True)
     return folded.unionByName(rows_.filter("part is null").select("topic", "ord"))
 
 
-def sequence_ratio(a: str, b: str) -> float:
-    """Twice the matching characters over all characters, by longest matching blocks."""
-    return difflib.SequenceMatcher(None, a or "", b or "").ratio()
-
-
 def token_sort_ratio(a: str, b: str) -> float:
     """Sequence ratio of the sorted words in lower case, in percent."""
-    return 100 * sequence_ratio(" ".join(sorted((a or "").lower().split())), " ".join(sorted((b or "").lower().split())))
+    return 100 * sequence_ratio(sorted_words(a), sorted_words(b))
 
 
 def fold_summaries(items: list[dict], tokens, overlap: float = 0.50, title: float = 0.86, body: float = 0.88, most: int = 10) -> list[dict]:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import stats, vectors
 from topicloom.sources.tables import written
 
-from . import joins, metric
+from . import joins, metric, strings
 
 
 def centroids(rows: DataFrame, *by: str, vector: str = "vector", unit: bool = True) -> DataFrame:
@@ -165,42 +165,9 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str =
     return left.unionByName(right).groupBy("cell", "p", "q").applyInArrow(compare, "i long, j long, sim double")
 
 
-def alike_titles(rows: DataFrame, least: float = 80.0, key: str = "ord", title: str = "title", block: int = 512) -> DataFrame:
-    """(i, j, ratio) with i < j for titles whose sorted words are so alike, in percent; compared block by block.
-
-    Texts whose characters alone keep the ratio below ``least`` aren't aligned.
-    """
-    from .folds import token_sort_ratio
-
-    parts = max(1, -(-rows.count() // block))
-    placed = rows.select(F.col(key).alias("id"), F.coalesce(F.col(title), F.lit("")).alias("t"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("part"))
-    dealt = placed.select("id", "t", "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("other"))
-    dealt = dealt.select("id", "t", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") <= F.col("other")).alias("first"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        texts = [" ".join(sorted(t.lower().split())) for t in table["t"].to_pylist()]
-        first, ids = np.array(table["first"].to_pylist(), bool), table["id"].to_numpy()
-        own = table["p"][0].as_py() == table["q"][0].as_py()
-        left, right = np.flatnonzero(first), np.flatnonzero(first if own else ~first)
-        # Characters that two texts share bound their ratio: only pairs that may reach ``least`` are aligned.
-        counts = np.zeros((len(texts), 64), np.int32)
-        for row, t in enumerate(texts):
-            counts[row] = np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64)
-        size = counts.sum(axis=1)
-        both = np.zeros((len(left), len(right)), np.int32)
-        for k in np.flatnonzero(counts.any(axis=0)):
-            both += np.minimum(counts[left, k][:, None], counts[right, k][None, :])
-        total = size[left][:, None] + size[right][None, :]
-        may = (200 * both >= least * total) & (ids[left][:, None] < ids[right][None, :] if own else ids[left][:, None] != ids[right][None, :])
-        out = []
-        for a, b in zip(*np.nonzero(may), strict=True):
-            (i, x), (j, y) = sorted(((int(ids[left[a]]), texts[left[a]]), (int(ids[right[b]]), texts[right[b]])))
-            if (ratio := token_sort_ratio(x, y)) >= least:
-                out.append((i, j, ratio))
-        i, j, ratio = zip(*out, strict=True) if out else ([], [], [])
-        return pa.table({"i": pa.array(i, pa.int64()), "j": pa.array(j, pa.int64()), "ratio": pa.array(ratio, pa.float64())})
-
-    return dealt.groupBy("p", "q").applyInArrow(compare, "i long, j long, ratio double")
+def alike_titles(rows: DataFrame, least: float = 80.0, key: str = "ord", title: str = "title", block: int = strings.BLOCK) -> DataFrame:
+    """(i, j, ratio) with i < j for titles whose sorted words are so alike, in percent (see ``strings``)."""
+    return strings.alike_rows(rows, least, key, title, block)
 
 
 def nearest(rows: DataFrame) -> DataFrame:

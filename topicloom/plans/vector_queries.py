@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from topicloom import dims
 from topicloom.functions import stats, vectors
-from topicloom.operators import clusters, similarity
+from topicloom.operators import clusters, similarity, strings
 from topicloom.operators import vectors as ops
 
 from .book import TARGET, Book, articles, grouped, table
@@ -196,7 +196,14 @@ def cohesion_fast(spark, sf_dir):
 def fuzzy_topic_merge(spark, sf_dir):
     """Clusters' titles merged in order by the ratio of their sorted words."""
     names = grouped(spark, sf_dir).groupBy(F.col("cluster_id").cast("long").alias("ord")).agg(F.min_by("title", "ord").alias("title"))
-    return ops.greedy_merge(names, ops.alike_titles(names, 55.0))
+    return strings.topics(names, 55.0, text="title")
+
+
+@query()
+def alike_title_pairs(spark, sf_dir):
+    """Different article titles whose sorted words are at least 80 percent alike; equal titles are one, by their first article."""
+    titles, _ = strings.classes(articles(spark, sf_dir), text="title")
+    return strings.alike(titles, 80.0).select("i", "j", F.round("ratio", 6).alias("ratio"))
 
 
 @query("""SELECT vec_id AS ord, true AS placed, least(count(*) OVER (), greatest(5, count(*) OVER () // 10)) AS most FROM embeddings""")
