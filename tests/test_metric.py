@@ -69,7 +69,7 @@ def test_empty_and_single(spark):
 
 def test_counts_of_hot_and_other_keys(spark, monkeypatch):
     monkeypatch.setattr(joins, "LEAST", 10)
-    monkeypatch.setattr(joins, "HOT", 4)
+    monkeypatch.setattr(joins, "HOT", 4)  # fewer than there are keys
     rows = spark.range(1000).select(F.when(F.col("id") < 600, "a").otherwise((F.col("id") % 40).cast("string")).alias("k"), "id")
     got = joins.with_counts(rows, "k", n=F.count("*"))
     assert got.columns == ["k", "id", "n"] and got.count() == 1000

@@ -96,9 +96,10 @@ def image_query(title: Column, summary: Column, most: int = 12) -> Column:
     t, s = stripped(or_empty(title)), stripped(or_empty(summary))
     t = F.when(t == "", stripped(F.regexp_extract(s, r"^([^.!?]*)", 1))).otherwise(t)
     clean = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), "^[ .,:;–-]+|[ .,:;–-]+$", "")
-    seen = F.transform(F.regexp_extract_all(clean, F.lit(r"([A-Za-z0-9]+)"), 1), F.lower)
-    extra = F.filter(tokens(s, dims.QUERY_STOP, 4), lambda w: ~F.array_contains(seen, w))
-    return F.when(t == "", "").otherwise(F.array_join(F.slice(F.concat(words(clean), F.slice(extra, 1, 5)), 1, most), " "))
+    own = F.transform(F.regexp_extract_all(clean, F.lit(r"([A-Za-z0-9]+)"), 1), F.lower)
+    # Lambdas see the title's words as an array made once for a row, and what stands outside them is made once too.
+    telling = _once(own, lambda seen: F.filter(tokens(s, dims.QUERY_STOP, 4), lambda w: ~F.array_contains(seen, w)))
+    return F.when(t == "", "").otherwise(F.array_join(F.slice(F.concat(words(clean), F.slice(telling, 1, 5)), 1, most), " "))
 
 
 def distinct_queries(*queries: Column) -> Column:

@@ -18,7 +18,9 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, count: str = "_c")
     """
     values = written(values, "values")
     wanted = [c for c in values.columns if c not in (key, count)]
-    n = values.agg(F.sum(count)).first()[0] or 0
+    n, keys = values.agg(F.coalesce(F.sum(count), F.lit(0)), F.count("*")).first()
+    if keys <= HOT:  # few keys: their values are a bounded table
+        return rows.join(F.broadcast(values.drop(count)), key).select(*rows.columns, *wanted)
     limit = max(LEAST, n // HOT)
     hot = values.filter(F.col(count) > limit).select(F.col(key).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in wanted])
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")

@@ -93,7 +93,8 @@ def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bo
     leaves: list[DataFrame] = []
     for depth in range(ROUNDS):
         least = 1 if always and depth == 0 else limit
-        sized = written(with_counts(live, "cell", _h=F.sum(F.col("home").cast("int")), _n=F.count("*")), "sized")
+        live = written(live, "live") if depth == 0 else live
+        sized = with_counts(live, "cell", _h=F.sum(F.col("home").cast("int")), _n=F.count("*"))
         leaves.append(sized.filter(F.col("_h") <= least).drop("_h", "_n"))
         large = sized.filter(F.col("_h") > least)
         if large.isEmpty():
@@ -105,7 +106,7 @@ def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bo
         some = large.filter("home").select("cell", "unit", "_h", fan.alias("_fan"), chunks.alias("_chunks"), turn.alias("_turn"), "node")
         few = some.filter(F.pmod(F.col("_turn"), F.col("_h")) < 4 * SAMPLE)  # about 4 * SAMPLE rows of a large cell, all of a small one
         first = few.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("_turn", "node"))).filter(F.col("_r") <= FAN + SAMPLE)
-        guides = first.select("cell", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_r", "_fan", "unit")
+        guides = first.select(F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_r", "_fan", F.col("unit").alias("unit"))
         rows = large.withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).cast("int")).drop("_h", "_n")
         kept = [c for c in rows.columns if c not in ("cell", "_chunk", "home")]
 

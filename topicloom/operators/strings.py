@@ -140,12 +140,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, r: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            i, j, left, right = (batch.column(k).to_pylist() for k in range(4))
+            # Characters that both have bound the ratio from above: few pairs are aligned.
+            both, total = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+            for lo in range(0, len(i), 4096):
+                a, b = (np.stack([np.bincount(_points(s) % 128, minlength=128) for s in side[lo : lo + 4096]]) for side in (left, right))
+                both[lo : lo + 4096], total[lo : lo + 4096] = np.minimum(a, b).sum(axis=1), a.sum(axis=1) + b.sum(axis=1)
             out = []
-            for i, j, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                matcher = difflib.SequenceMatcher(None, a, b)
-                # Characters that both have bound the ratio from above: most pairs aren't aligned.
+            for k in np.flatnonzero(2 * both >= total * (r - _EPS)).tolist():
+                matcher = difflib.SequenceMatcher(None, left[k], right[k])
                 if matcher.quick_ratio() >= r - _EPS and (ratio := 100 * matcher.ratio()) >= 100 * r:
-                    out.append((i, j, ratio))
+                    out.append((i[k], j[k], ratio))
             i, j, ratio = zip(*out, strict=True) if out else ([], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(j, pa.int64()), pa.array(ratio, pa.float64())], names=["i", "j", "ratio"])
 

@@ -149,7 +149,7 @@ def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str =
     slim = packed(rows.select(F.lit("0").alias("cell"), F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v")))
     none = (lambda x: (x * x).sum(axis=1) == 0) if least > 0 else None
     cells = metric.pivot_cells(slim, radius, block, alone=none)
-    sized = joins.with_counts(written(cells, "cells"), "cell", _n=F.count("*"))
+    sized = joins.with_counts(cells, "cell", _n=F.count("*"))
     placed = sized.withColumn("parts", F.ceil(F.col("_n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     left = placed.filter("home").select("cell", F.col("part").alias("p"), others.alias("q"), F.lit(True).alias("first"), "node", "unit")
