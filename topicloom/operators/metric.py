@@ -59,12 +59,12 @@ def _dealer(radius: float, force: bool, alone: Callable[[np.ndarray], np.ndarray
         fan_ = guide["_fan"][0].as_py() if guide.num_rows else 0
         pivots = matrix(guide["unit"])[:fan_] if fan_ else np.zeros((0, 1))
         x = matrix(part["unit"])
-        if len(pivots) > 1 and not force:
+        if len(pivots) > 1:
             sample = matrix(guide["unit"])[fan_:]
             home, goes = reach(sample, pivots, radius)
             share = np.bincount(home, minlength=len(pivots)) / max(1, len(sample))
             if not len(sample) or (share * goes.mean(axis=0)).sum() > PAYS:
-                pivots = pivots[:0]
+                pivots = pivots[: 2 * force]
         if len(pivots) < 2:
             return pa.table({"cell": part["cell"], "final": pa.array(np.ones(len(x), bool)), "home": part["home"], **{c: part[c] for c in kept}})
         home, goes = reach(x, pivots, radius)
@@ -86,7 +86,7 @@ def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bo
 
     vectors: cell (string; vectors of different cells never meet), node (long, different for each row), unit (float64 bytes of one
     length in a cell), more columns. ``limit``: home vectors of a cell that isn't divided. ``always``: each cell of two vectors or
-    more is divided once, whether it pays or not. ``alone(matrix)`` tells vectors that reach no other: they only are at home.
+    more is divided once, by two pivots where it doesn't pay. ``alone(matrix)`` tells vectors that reach no other: they only are at home.
     """
     columns = [c for c in vectors.columns if c != "cell"]
     live = vectors.select("cell", F.lit(True).alias("home"), *columns)
