@@ -46,3 +46,28 @@ def test_matches_brute_force(spark, seed, cell_rows):
 
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+@pytest.mark.parametrize("cell_rows", [1024, 32])
+def test_linked_clusters_of_registered_size_go_through_pivots(spark, cell_rows, monkeypatch):
+    """Labels of a few hundred vectors, as the registered table has them, with thousands of links."""
+    from topicloom.llm import embeddings
+
+    draw = np.random.default_rng(7)
+    rows = []
+    for label, n in ((0, 300), (1, 220), (2, 2), (3, 1)):
+        centres = draw.normal(size=(12, 16))
+        for _ in range(n):
+            v = centres[min(draw.geometric(0.3) - 1, 11)] + 0.2 * draw.normal(size=16)
+            rows.append((len(rows), [float(np.float32(x)) for x in v], label))
+    seen = []
+    cells = embeddings.pivot_cells
+    monkeypatch.setattr(embeddings, "pivot_cells", lambda *a, **k: seen.append(cells(*a, **k)) or seen[-1])
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cell_rows=cell_rows).collect()
+    parts = {}
+    for r in seen[0].select("cell").distinct().collect():
+        parts.setdefault(r["cell"].split("|")[0], set()).add(r["cell"])
+    assert {k: len(v) >= 2 for k, v in parts.items()} == {"0": True, "1": True, "2": True, "3": False}
+    n, component = brute(rows)
+    assert sum(n) > 2000
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, k, c) for i, (k, c) in enumerate(zip(n, component, strict=True))]

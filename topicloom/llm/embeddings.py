@@ -1,21 +1,22 @@
 """Near-duplicate vectors by an exact metric range join.
 
 Unit vectors of cosine c are sqrt(2 - 2c) apart, so links are pairs within that radius r. Pivots, drawn from each label
-by hash, divide its vectors into the cells of their nearest pivot. A vector x at distance d(x, home) also goes to the
+by hash, divide its vectors into the cells of their nearest pivot, whatever the label's size; a cell of more than
+``cell_rows`` vectors is divided again by pivots of its own. A vector x at distance d(x, home) also goes to the
 cell of pivot p when a vector within r of x may live there: by the triangle inequality only if
 d(x, p) - d(x, home) <= 2r, and in Euclidean space only if (d(x, p)^2 - d(x, home)^2) / (2 d(home, p)) <= r.
 Cells are joined independently, each as blocks of bounded size (rows of a block x rows of a block as one matrix
 product), so neither a dense cell nor a hot label lands in one task. A block counts links and returns a spanning forest
 of them, not the pairs. Equal vectors are one vector with a count from the start.
 
-Vectors with little structure in many dimensions are nearly equally far from all pivots and are then replicated to most
-cells of their label: the result stays exact, the work then grows with the square of a label's size.
+Vectors with little structure in many dimensions are nearly equally far from all pivots. A sample of each cell tells; such a
+label is divided by two pivots only, and its cells no further: the result stays exact, the work then grows with the square of a
+label's size.
 
 Defined cases: a null label, a null, empty or zero vector, or one with null or non-finite components links with nothing;
 vectors of different lengths never link. A null vec_id is never a component's smallest id if there is another; rows that
 repeat an id are each returned and count as other vectors. ``kept`` says vec_id = component_id: null for a null id, true for
-each row that repeats such an id. Empty tables give empty results. Labels of at most ``cell_rows`` vectors are one cell, and
-so are the labels beyond the ``most_pivots`` largest: they are joined as blocks without pivots, with the same result.
+each row that repeats such an id. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topicloom.operators.joins import with_counts
+from topicloom.operators.metric import pivot_cells
+
 from . import common
 from .components import components, hub_join, hub_limit
 
-_SLACK = 1e-9
-
 
 def _forest(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Component labels of the rows and columns of a bipartite link matrix (a label is a row; -1: no link)."""
@@ -53,9 +55,8 @@ def _forest(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         by_row[some_rows] = new
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cell_rows: int = 2048, most_pivots: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cell_rows: int = 1024) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
     radius = float(np.sqrt(2 - 2 * cosine))
     rows = common.written(vectors.select(F.monotonically_increasing_id().alias("row_id"), F.col(vec_id).alias("vec_id"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("v")), "vectors")
     limit = F.lit(float("inf"))
@@ -65,60 +66,22 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     order = F.struct(F.col("vec_id").isNull().alias("none"), F.col("vec_id").alias("id"), F.col("row_id").alias("at"))
     classes = common.written(rows_.filter("sound").groupBy("label", "v").agg(F.min("row_id").alias("node"), F.count("*").alias("copies"), F.min(order).alias("best")), "classes")
 
-    # Pivots: of each label as many as it has cells of vectors, those of the smallest hash; most_pivots in all at most.
-    groups = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
-    share = groups.agg(F.sum(F.ceil(F.col("n") / cell_rows)).alias("p")).first()["p"] or 0
-    scale = min(1.0, most_pivots / max(1, share))
-    wanted = groups.select("label", "dim", F.ceil(F.col("n") / cell_rows * scale).alias("p"), "n")
-    drawn = classes.withColumn("dim", F.size("v")).join(F.broadcast(wanted.orderBy(F.desc("n")).limit(most_pivots)), ["label", "dim"])
-    drawn = drawn.filter(F.pmod(F.xxhash64("node"), F.col("n")) < 2 * F.col("p")).select("label", "dim", "p", "v", F.xxhash64("node", F.lit(5)).alias("h"))
-    pivots: dict[tuple, np.ndarray] = {}
-    for r in drawn.orderBy("h").limit(4 * most_pivots).collect():
-        pivots.setdefault((r["label"], r["dim"]), []).append(r)
-    pivots = {k: np.array([r["v"] for r in v[: v[0]["p"]]]) for k, v in pivots.items()}
-    pivots = {k: v / np.linalg.norm(v, axis=1, keepdims=True) for k, v in pivots.items()}
-    shared = spark.sparkContext.broadcast(pivots)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each cell of each vector, unit length."""
+    def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unit vectors as bytes; vectors of one label and length may meet: they are one cell at first."""
         for batch in batches:
-            labels, vs = batch.column(0).to_pylist(), batch.column(1)
+            vs = batch.column(1)
             flat, at = vs.values.to_numpy(zero_copy_only=False), vs.offsets.to_numpy()
-            dims = np.diff(at)
-            index, cells, home = [], [], []
-            units: list[np.ndarray] = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            units = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             units = [u / np.abs(u).max() for u in units]
             units = [u / np.sqrt(u @ u) for u in units]
-            groups_: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, dims.tolist(), strict=True)):
-                groups_.setdefault(key, []).append(i)
-            for key, members in groups_.items():
-                p = shared.value.get(key)
-                if p is None or len(p) < 2:
-                    index += members
-                    cells += [0] * len(members)
-                    home += [True] * len(members)
-                    continue
-                between = np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) + 1e-12
-                x = np.stack([units[i] for i in members])
-                d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-                near = d.argmin(axis=1)
-                dh = d[np.arange(len(x)), near][:, None]
-                goes = (d - dh <= 2 * radius + _SLACK) & ((d**2 - dh**2) / (2 * between[near]) <= radius + _SLACK)
-                goes[np.arange(len(x)), near] = True
-                r, c = np.nonzero(goes)
-                index += [members[i] for i in r]
-                cells += c.tolist()
-                home += (near[r] == c).tolist()
-            take = pa.array(index, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array([len(units[i]) for i in index], pa.int32()), pa.array(cells, pa.int32()), pa.array(home, pa.bool_()), batch.column(2).take(take), batch.column(3).take(take), pa.array([units[i].tobytes() for i in index], pa.binary())], names=["label", "dim", "cell", "home", "node", "copies", "unit"])
-
-    kind = vectors.schema[label].dataType.simpleString()
-    dealt = common.written(classes.select("label", "v", "node", "copies").mapInArrow(deal, f"label {kind}, dim int, cell int, home boolean, node long, copies long, unit binary"), "cells")
+            cells = [f"{label}|{len(u)}" for label, u in zip(batch.column(0).to_pylist(), units, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), batch.column(2), batch.column(3), pa.array([u.tobytes() for u in units], pa.binary())], names=["cell", "node", "copies", "unit"])
+
+    unit = classes.select("label", "v", "node", "copies").mapInArrow(scaled, "cell string, node long, copies long, unit binary")
+    dealt = common.written(pivot_cells(unit, radius, cell_rows, always=True), "cells")
     # Blocks: a cell's home rows and all its rows are each dealt to groups of about cell_rows; every pair of groups is one block.
-    by = ["label", "dim", "cell"]
-    counts = dealt.groupBy(*by).agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("parts"))
-    placed = dealt.join(counts, by).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    by = ["cell"]
+    placed = with_counts(dealt, "cell", _n=F.count("*")).withColumn("parts", F.ceil(F.col("_n") / cell_rows).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     slim = ["node", "copies", "unit"]
     left = placed.filter("home").select(*by, F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("own"), *slim)
     right = placed.select(*by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"), F.col("part").alias("j"), F.lit(False).alias("own"), *slim)
