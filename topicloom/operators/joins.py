@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.sources.tables import written
@@ -31,3 +31,13 @@ def with_values(rows: DataFrame, values: DataFrame, key: str, count: str = "_c")
 def with_counts(rows: DataFrame, key: str, **counts: Column) -> DataFrame:
     """``rows`` with aggregates of their key's rows, which are combined in each task before they meet."""
     return with_values(rows, rows.groupBy(key).agg(F.count("*").alias("_c"), *[c.alias(name) for name, c in counts.items()]), key)
+
+
+def numbered(rows: DataFrame, order: list[Column], into: str = "number") -> DataFrame:
+    """``rows`` with their place from 0 in that order: sorted by range, so no task sees all of them."""
+    at = F.monotonically_increasing_id()  # partition, then place in it
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(parts.select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")), "numbered")
+    sizes = kept.groupBy("_part").agg((F.max("_at") + 1).alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return kept.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_at")).alias(into))

@@ -15,12 +15,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.sources.tables import written
 
-from .joins import with_counts
+from .joins import with_counts, with_values
 
 #: Most pivots of one division, rows that tell whether it pays, rows of a chunk, rounds at most.
 FAN, SAMPLE, CHUNK, ROUNDS = 32, 256, 20_000, 40
@@ -35,8 +36,12 @@ def matrix(units: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.float64).reshape(len(parts), -1)
 
 
-def reach(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """(home of each vector, vectors x pivots: whether a vector within ``radius`` of it may be at home there)."""
+def reach(x: np.ndarray, pivots: np.ndarray, radius: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(home of each vector, vectors x pivots: whether a vector within ``radius`` of it may be at home there).
+
+    ``radius`` is one number or one for each vector.
+    """
+    radius = np.asarray(radius, np.float64).reshape(-1, 1)
     square, own = (pivots**2).sum(axis=1), (x**2).sum(axis=1)
     between = np.sqrt(np.maximum(0, square[:, None] + square[None, :] - 2 * pivots @ pivots.T))
     d2 = np.maximum(0, own[:, None] + square[None, :] - 2 * x @ pivots.T)
@@ -48,26 +53,27 @@ def reach(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray,
     return home, goes
 
 
-def _dealer(radius: float, force: bool, alone: Callable[[np.ndarray], np.ndarray] | None, kept: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A function of a chunk of a cell and the cell's pivots and sample: the chunk's rows in the cell's children."""
+def _dealer(radius: float | None, force: bool, alone: Callable[[np.ndarray], np.ndarray] | None, kept: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A function of a chunk of a cell and the cell's guides (pivots and samples): the chunk's rows in the cell's children."""
 
     def deal(part: pa.Table, guide: pa.Table) -> pa.Table:
         names = ["cell", "final", "home", *kept]
         if not part.num_rows:
             return pa.table({c: part[c] if c != "final" else pa.array([], pa.bool_()) for c in names})
-        guide = guide.sort_by("_r") if guide.num_rows else guide
-        fan_ = guide["_fan"][0].as_py() if guide.num_rows else 0
-        pivots = matrix(guide["unit"])[:fan_] if fan_ else np.zeros((0, 1))
+        own_guide = guide.filter(guide["_home"]).sort_by("_r")
+        fan = own_guide["_fan"][0].as_py() if own_guide.num_rows else 0
+        pivots, homes = (matrix(own_guide["unit"])[:fan], matrix(own_guide["unit"])[fan:]) if fan else (np.zeros((0, 1)), np.zeros((0, 1)))
+        reach_of = lambda t: radius if radius is not None else t["radius"].to_numpy()
         x = matrix(part["unit"])
         if len(pivots) > 1:
-            sample = matrix(guide["unit"])[fan_:]
-            home, goes = reach(sample, pivots, radius)
-            share = np.bincount(home, minlength=len(pivots)) / max(1, len(sample))
-            if not len(sample) or (share * goes.mean(axis=0)).sum() > PAYS:
+            looking = own_guide.slice(fan) if radius is not None else guide.filter(pc.invert(guide["_home"]))
+            goes = reach(matrix(looking["unit"]), pivots, reach_of(looking))[1] if looking.num_rows else np.ones((1, len(pivots)), bool)
+            share = np.bincount(reach(homes, pivots, 0.0)[0], minlength=len(pivots)) / max(1, len(homes)) if len(homes) else np.ones(len(pivots))
+            if (share * goes.mean(axis=0)).sum() > PAYS:
                 pivots = pivots[: 2 * force]
         if len(pivots) < 2:
             return pa.table({"cell": part["cell"], "final": pa.array(np.ones(len(x), bool)), "home": part["home"], **{c: part[c] for c in kept}})
-        home, goes = reach(x, pivots, radius)
+        home, goes = reach(x, pivots, reach_of(part))
         own = np.array(part["home"].to_pylist(), bool)
         if alone is not None:
             goes &= ~alone(x)[:, None]
@@ -81,15 +87,17 @@ def _dealer(radius: float, force: bool, alone: Callable[[np.ndarray], np.ndarray
     return deal
 
 
-def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bool = False, alone: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def pivot_cells(vectors: DataFrame, radius: float | None, limit: int = 1024, always: bool = False, alone: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """cell, home and the other columns of ``vectors``, a row for each cell of each vector.
 
     vectors: cell (string; vectors of different cells never meet), node (long, different for each row), unit (float64 bytes of one
     length in a cell), more columns. ``limit``: home vectors of a cell that isn't divided. ``always``: each cell of two vectors or
-    more is divided once, by two pivots where it doesn't pay. ``alone(matrix)`` tells vectors that reach no other: they only are at home.
+    more is divided once, by two pivots where it doesn't pay. ``alone(matrix)`` tells vectors that reach no other: they only are at
+    home. Without a common ``radius``, ``vectors`` has columns home and radius: rows that aren't at home look for those that are,
+    within a radius of their own.
     """
-    columns = [c for c in vectors.columns if c != "cell"]
-    live = vectors.select("cell", F.lit(True).alias("home"), *columns)
+    columns = [c for c in vectors.columns if c not in ("cell", "home")]
+    live = vectors.select("cell", "home" if radius is None else F.lit(True).alias("home"), *columns)
     leaves: list[DataFrame] = []
     for depth in range(ROUNDS):
         least = 1 if always and depth == 0 else limit
@@ -103,13 +111,14 @@ def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bo
         fan = F.greatest(F.lit(2), F.least(F.lit(FAN), F.ceil(F.col("_h") / limit))).cast("int")
         chunks = F.ceil(F.col("_n") / CHUNK).cast("int")
         turn = F.xxhash64("node", F.lit(depth))
-        some = large.filter("home").select("cell", "unit", "_h", fan.alias("_fan"), chunks.alias("_chunks"), turn.alias("_turn"), "node")
-        few = some.filter(F.pmod(F.col("_turn"), F.col("_h")) < 4 * SAMPLE)  # about 4 * SAMPLE rows of a large cell, all of a small one
-        first = few.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy("_turn", "node"))).filter(F.col("_r") <= FAN + SAMPLE)
-        guides = first.select(F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_r", "_fan", F.col("unit").alias("unit"))
+        # Pivots come from vectors at home, samples from them and from those that look for them.
+        some = large.select("cell", "unit", *([] if radius is not None else ["radius"]), F.col("home").alias("_home"), fan.alias("_fan"), chunks.alias("_chunks"), turn.alias("_turn"), "node", F.when(F.col("home"), F.col("_h")).otherwise(F.col("_n") - F.col("_h")).alias("_of"))
+        some = some.filter("_home") if radius is not None else some
+        few = some.filter(F.pmod(F.col("_turn"), F.col("_of")) < 4 * SAMPLE)  # about 4 * SAMPLE rows of a large cell, all of a small one
+        first = few.withColumn("_r", F.row_number().over(Window.partitionBy("cell", "_home").orderBy("_turn", "node"))).filter(F.col("_r") <= FAN + SAMPLE)
+        guides = first.select(F.col("cell").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), "_home", "_r", "_fan", *[F.col(c).alias(c) for c in first.columns if c in ("unit", "radius")])
         rows = large.withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).cast("int")).drop("_h", "_n")
         kept = [c for c in rows.columns if c not in ("cell", "_chunk", "home")]
-
         schema = ", ".join(["cell string", "final boolean", "home boolean", *[f"{f.name} {f.dataType.simpleString()}" for f in large.schema if f.name in kept]])
         dealt = written(rows.groupBy("cell", "_chunk").cogroup(guides.groupBy("cell", "_chunk")).applyInArrow(_dealer(radius, force, alone, kept), schema), "dealt")
         leaves.append(dealt.filter("final").drop("final"))
@@ -120,3 +129,60 @@ def pivot_cells(vectors: DataFrame, radius: float, limit: int = 1024, always: bo
     for leaf in leaves[1:]:
         out = out.unionByName(leaf)
     return out
+
+
+def nearest(points: DataFrame, centres: DataFrame, limit: int = 1024, block: int = 4096, few: int = 1024) -> DataFrame:
+    """node, centre, d2: the nearest centre of each point (the smallest of several), and the squared distance.
+
+    points: node, unit, and centre if one is known that may be near (else a hash draws up to ``few`` centres to begin with);
+    centres: centre, unit, one row for each. A point looks for centres within its distance to the known one: cells of centres
+    are divided by pivots, points go to the cells that the triangle inequality leaves open.
+    """
+    known = centres.select("centre", F.col("unit").alias("to"))
+    if "centre" in points.columns:
+        met = with_values(points, known.join(points.groupBy("centre").agg(F.count("*").alias("_c")), "centre"), "centre")
+        found = met.select("node", "unit", "to")
+    else:
+        drawn = matrix(pa.array([r["to"] for r in known.orderBy(F.xxhash64("centre"), "centre").limit(few).collect()], pa.binary()))  # ``few`` centres at most
+        shared = points.sparkSession.sparkContext.broadcast(drawn)
+
+        def begin(batches):
+            for batch in batches:
+                home, _ = reach(matrix(batch.column("unit")), shared.value, 0.0) if batch.num_rows else (np.zeros(0, np.int64), None)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("unit"), pa.array([shared.value[h].tobytes() for h in home], pa.binary())], names=["node", "unit", "to"])
+
+        found = points.select("node", "unit").mapInArrow(begin, "node long, unit binary, to binary")
+
+    def bounded(batches):
+        for batch in batches:
+            gap = matrix(batch.column("unit")) - matrix(batch.column("to")) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("unit"), pa.array(np.sqrt((gap**2).sum(axis=1)) * (1 + 1e-9) + 1e-9)], names=["node", "unit", "radius"])
+
+    looking = found.select("node", "unit", "to").mapInArrow(bounded, "node long, unit binary, radius double").select(F.lit("0").alias("cell"), F.lit(False).alias("home"), "node", "unit", "radius")
+    at_home = centres.select(F.lit("0").alias("cell"), F.lit(True).alias("home"), F.col("centre").cast("long").alias("node"), "unit", F.lit(0.0).alias("radius"))
+    cells = with_counts(pivot_cells(looking.unionByName(at_home), None, limit), "cell", _h=F.sum(F.col("home").cast("int")), _n=F.count("*"))
+    hs, ps = F.ceil(F.col("_h") / limit).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("_n") - F.col("_h")) / block)).cast("int")
+    dealt_to = lambda parts: F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
+    each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    left = cells.filter("home").select("cell", dealt_to(hs).alias("p"), each(ps).alias("q"), "home", "node", "unit")
+    right = cells.filter("not home and _h > 0").select("cell", each(hs).alias("p"), dealt_to(ps).alias("q"), "home", "node", "unit")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own = np.array(table["home"].to_pylist(), bool)
+        ids, x = table["node"].to_numpy(), matrix(table["unit"])
+        if own.all() or not own.any():
+            return pa.table({"node": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "centre": pa.array([], pa.int64())})
+        order = np.argsort(ids[own])  # the first of equal distances is the smallest centre
+        c, names = x[own][order], ids[own][order]
+        best, d2 = closest(x[~own], c)
+        return pa.table({"node": ids[~own], "d2": d2, "centre": names[best]})
+
+    met = left.unionByName(right).groupBy("cell", "p", "q").applyInArrow(compare, "node long, d2 double, centre long")
+    return met.groupBy("node").agg(F.min(F.struct("d2", "centre")).alias("b")).select("node", "b.centre", "b.d2")
+
+
+def closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the nearest centre of each row, squared distance), by matrix products; differences of 1e-12 count as ties."""
+    d2 = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
+    best = np.round(np.maximum(0, d2), 12).argmin(axis=1)
+    return best, np.round(np.maximum(0, d2[np.arange(len(x)), best]), 12)

@@ -199,23 +199,92 @@ def greedy_merge(nodes: DataFrame, pairs: DataFrame, key: str = "ord") -> DataFr
     return own.unionByName(owner.join(founders, "node", "left_anti"))
 
 
-def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
+#: Centres up to which an assignment broadcasts them all; more are found by ``metric.nearest``, with the same result.
+FEW_CENTRES = 4096
+
+
+def _assigned(points: DataFrame, centres: DataFrame, k: int, few: int) -> DataFrame:
+    """node, centre: the nearest of the ``k`` centres. ``points`` may have the centre of the round before."""
+    if k > few:
+        return metric.nearest(points, centres).select("node", "centre")
+    drawn = centres.orderBy("centre").collect()  # ``few`` at most
+    shared = points.sparkSession.sparkContext.broadcast((np.array([r["centre"] for r in drawn]), metric.matrix(pa.array([r["unit"] for r in drawn], pa.binary()))))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, at = shared.value
+        for batch in batches:
+            best = metric.closest(metric.matrix(batch.column("unit")), at)[0] if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(names[best])], names=["node", "centre"])
+
+    return points.select("node", "unit").mapInArrow(look, "node long, centre long")
+
+
+def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 20, few: int = FEW_CENTRES) -> DataFrame:
     """cluster_id, ord by k-means on raw vectors (ord, vector); k is a tenth of the rows, at least 5.
 
-    There are no more clusters than different vectors; equal vectors alone are one cluster.
+    It begins with the k different vectors whose md5 of seed and smallest ord is smallest, numbered in that order. Each round
+    gives every vector its nearest centre (the smallest of several) and moves each centre to the mean of its vectors; one that
+    has none stays. Rounds end when no vector moves, or after ``rounds``. There are no more clusters than different vectors.
     """
-    from pyspark.ml.clustering import KMeans
-
-    table = written(rows.select("ord", "vector").orderBy("ord"), "kmeans")
-    n = table.count()
+    points = written(packed(rows.select(F.col("ord").cast("long").alias("node"), F.col("vector").cast("array<double>").alias("v"))), "points")
+    kinds = written(points.groupBy("unit").agg(F.min("node").alias("first")), "kinds")
+    n, different = points.count(), kinds.count()
     if n == 0:
         return rows.select(F.lit(0).alias("cluster_id"), "ord").limit(0)
-    k = min(k or max(5, n // 10), table.select("vector").distinct().count())
-    if k == 1:
-        return table.select(F.lit(0).alias("cluster_id"), "ord")
-    feats = table.withColumn("features", array_to_vector("vector"))
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(feats)
-    return model.transform(feats).select(F.col("prediction").alias("cluster_id"), "ord")
+    k = min(k or max(5, n // 10), different)
+    order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("first").cast("string")).cast("binary")), F.col("first")]
+    centres = written(joins.numbered(kinds, order, "centre").filter(F.col("centre") < k).select("centre", "unit"), "centres")
+    placed = points
+    for _ in range(rounds):
+        found = written(_assigned(placed, centres, k, few), "assigned")
+        if "centre" in placed.columns:
+            still = placed.select("node", F.col("centre").alias("was")).join(found, "node").filter("was <> centre").isEmpty()
+            placed = written(points.join(found, "node"), "placed")
+            if still:
+                break
+        else:
+            placed = written(points.join(found, "node"), "placed")
+        centres = written(_means(placed, centres), "centres")
+    return placed.select(F.col("centre").cast("int").alias("cluster_id"), F.col("node").alias("ord"))
+
+
+def _means(placed: DataFrame, centres: DataFrame) -> DataFrame:
+    """centre, unit: the mean of each centre's vectors, summed up in each task first; centres without any stay."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                names, at = np.unique(batch.column("centre").to_numpy(), return_inverse=True)
+                x = metric.matrix(batch.column("unit"))
+                total = np.zeros((len(names), x.shape[1]))
+                np.add.at(total, at, x)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at)), pa.array([t.tobytes() for t in total], pa.binary())], names=["centre", "n", "sum"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by centre: the last centre of a batch may go on in the next."""
+        shown = lambda names, n, total: pa.RecordBatch.from_arrays([pa.array(names), pa.array([t.tobytes() for t in total / n[:, None]], pa.binary())], names=["centre", "unit"])
+        last: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, at = np.unique(batch.column("centre").to_numpy(), return_inverse=True)
+            x = metric.matrix(batch.column("sum"))
+            n, total = np.bincount(at, batch.column("n").to_numpy()), np.zeros((len(names), x.shape[1]))
+            np.add.at(total, at, x)
+            if last is not None and last[0][0] == names[0]:
+                n[0] += last[1][0]
+                total[0] += last[2][0]
+            elif last is not None:
+                yield shown(*last)
+            if len(names) > 1:
+                yield shown(names[:-1], n[:-1], total[:-1])
+            last = names[-1:], n[-1:], total[-1:]
+        if last is not None:
+            yield shown(*last)
+
+    parts = placed.select("centre", "unit").mapInArrow(sums, "centre long, n long, sum binary")
+    moved = parts.repartition("centre").sortWithinPartitions("centre").mapInArrow(means, "centre long, unit binary")
+    return centres.join(moved.withColumnRenamed("unit", "moved"), "centre", "left").select("centre", F.coalesce("moved", "unit").alias("unit"))
 
 
 def linked(nodes: DataFrame, both: DataFrame) -> DataFrame:

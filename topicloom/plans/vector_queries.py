@@ -206,6 +206,26 @@ def alike_title_pairs(spark, sf_dir):
     return strings.alike(titles, 80.0).select("i", "j", F.round("ratio", 6).alias("ratio"))
 
 
+def _lloyd_sql(rounds: int, of: str) -> str:
+    """k-means in SQL: the first centres by md5, then so many rounds of nearest centre and mean; a vector's last centre."""
+    steps, d2 = [], "list_dot_product(e, e) + list_dot_product(c, c) - 2 * list_dot_product(e, c)"
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT ord, e, first(id ORDER BY round(greatest(0, {d2}), 12), id) AS id FROM e CROSS JOIN c{r} GROUP BY ord, e)""")
+        steps.append(f"""m{r} AS (SELECT id, list(m ORDER BY d) AS c FROM (SELECT id, d, avg(x) AS m FROM (SELECT id, unnest(e) AS x, unnest(range(len(e))) AS d FROM a{r}) GROUP BY id, d) GROUP BY id)""")
+        steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.id, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (id))""")
+    return f"""WITH e AS (SELECT vec_id AS ord, embedding::DOUBLE[] AS e FROM embeddings),
+        k AS (SELECT e AS c, min(ord) AS f FROM e GROUP BY e),
+        c0 AS MATERIALIZED (SELECT * FROM (SELECT c, row_number() OVER (ORDER BY md5('42:' || f), f) - 1 AS id FROM k) WHERE id < greatest(5, (SELECT count(*) FROM e) // 10)),
+        {", ".join(steps)} {of.format(a=f"a{rounds - 1}")}"""
+
+
+@query(_lloyd_sql(4, "SELECT ord, id AS cluster_id FROM {a}"))
+def kmeans_rounds(spark, sf_dir):
+    """Four rounds of k-means with a tenth as many clusters as vectors: each vector's nearest centre."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vector"))
+    return ops.kmeans(e, rounds=4).select("ord", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
 @query("""SELECT vec_id AS ord, true AS placed, least(count(*) OVER (), greatest(5, count(*) OVER () // 10)) AS most FROM embeddings""")
 def kmeans_cover(spark, sf_dir):
     """Each vector is in one cluster of at most a tenth as many as there are vectors, five at least."""
