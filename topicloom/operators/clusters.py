@@ -160,13 +160,33 @@ def domain_list(articles: DataFrame) -> DataFrame:
     return articles.groupBy("cluster_id").agg(F.array_sort(F.collect_set(F.when(host != "", host))).alias("domains"))
 
 
+#: Parts that a cluster's links are dealt to before their first characters meet.
+SALTS = 64
+
+
+def first_links(links: DataFrame, most: int) -> DataFrame:
+    """cluster_id, link, n: of the sorted links (each n times), joined by one character, those that begin within ``most`` characters.
+
+    Equal links are counted in each task first. A cluster's links are dealt to SALTS parts; each part keeps what could begin within
+    ``most`` characters if it were alone, so at most SALTS times that many characters of a cluster meet.
+    """
+    counts = links.groupBy("cluster_id", "link").agg(F.count("*").alias("n")).withColumn("salt", F.pmod(F.xxhash64("link"), F.lit(SALTS)))
+    long = F.col("n") * (F.length("link") + 1)
+
+    def begun(*by: str) -> Column:
+        return F.coalesce(F.sum(long).over(Window.partitionBy(*by).orderBy("link").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    part = counts.withColumn("_b", begun("cluster_id", "salt")).filter(F.col("_b") < most)
+    return part.withColumn("_b", begun("cluster_id")).filter(F.col("_b") < most).select("cluster_id", "link", F.least("n", F.lit(most)).alias("n"))
+
+
 def url_signature(articles: DataFrame, most: int = 8000) -> DataFrame:
     """Canonical URLs of a cluster, sorted, joined by bars, cut to ``most`` characters."""
     link = F.when(text.or_empty(F.col("url")) != "", url.canonical(F.col("url")))
-    linked = articles.select("cluster_id", link.alias("link"))
-    # Each URL takes a bar at least, so no more than ``most`` + 1 of them can show.
-    first = head(linked.filter("link is not null"), most + 1, order="link")
-    joined = first.groupBy("cluster_id").agg(F.left(F.array_join(F.array_sort(F.collect_list("link")), "|"), F.lit(most)).alias("signature"))
+    first = first_links(articles.select("cluster_id", link.alias("link")).filter("link is not null"), most)
+    # What is listed begins within ``most`` characters: no list is longer than that.
+    every = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("link", "n"))), lambda p: F.array_repeat(p["link"], p["n"].cast("int"))))
+    joined = first.groupBy("cluster_id").agg(F.left(F.array_join(every, "|"), F.lit(most)).alias("signature"))
     return articles.select("cluster_id").distinct().join(joined, "cluster_id", "left").fillna("", ["signature"])
 
 
@@ -178,8 +198,9 @@ def signature_collapse(articles: DataFrame) -> DataFrame:
     each = articles.select("cluster_id", link.alias("link")).filter("link is not null").distinct()
     sets = each.groupBy("cluster_id").agg(F.struct(F.count("*").alias("n"), F.sum(F.xxhash64("link").cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64(F.lit(1), "link")).alias("xor")).alias("urls"))
     rows = size.join(sets, "cluster_id", "left").join(diversity(articles).select("cluster_id", "entropy"), "cluster_id")
-    own = Window.partitionBy("urls").orderBy(F.desc("size"), F.desc("entropy"), "cluster_ord")
-    return rows.withColumn("_r", F.row_number().over(own)).withColumn("place", F.min("cluster_ord").over(Window.partitionBy("urls"))).filter("_r = 1").select("cluster_id", "size", "entropy", "place")
+    # The best cluster of a set is an aggregate: clusters of one set (those without URLs are one, too) needn't meet in a task.
+    best = F.max_by(F.struct("cluster_id", "size", "entropy"), F.struct("size", "entropy", -F.col("cluster_ord")))
+    return rows.groupBy("urls").agg(best.alias("b"), F.min("cluster_ord").alias("place")).select("b.cluster_id", "b.size", "b.entropy", "place")
 
 
 def trust_log(articles: DataFrame, titles: int = 5, most: int = 140) -> DataFrame:

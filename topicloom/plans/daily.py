@@ -187,7 +187,7 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     order = measures.orderBy(F.desc("matter_score"), "cluster_ord").select("cluster_id").collect()
     ranks_ = rows.sparkSession.createDataFrame([(r["cluster_id"], i) for i, r in enumerate(order)] or [(-1, 0)], "cluster_id long, rank long")
     keyed = clusters.url_signature(rows).select("cluster_id", F.concat(F.lit(f"{opts.judge_model.name}::"), "signature").alias("key"))
-    known = caches.read(rows.sparkSession, f"{opts.cache}/events", schemas.EVENT_CACHE) if opts.cache else rows.sparkSession.createDataFrame([], schemas.EVENT_CACHE)
+    known = caches.read(rows.sparkSession, f"{opts.cache}/events", schemas.EVENT_CACHE, keyed) if opts.cache else rows.sparkSession.createDataFrame([], schemas.EVENT_CACHE)
     cached = caches.probe(keyed, known, "key").select("cluster_id", "key", F.col("label").alias("cached"))
     gate = clusters.budget_gate(measures.join(ranks_, "cluster_id").join(cached, "cluster_id").withColumn("forced", F.col("rank") < max(opts.top + 30, 60)), opts.event_calls)
     names_ = rows.groupBy("cluster_id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", text.or_empty(F.col("title")).alias("t")))), 1, 12), lambda p: p["t"]).alias("titles"))
@@ -200,7 +200,8 @@ def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     asked = gate.filter("decision = 'judge'").select("cluster_id", "key").join(names_, "cluster_id").select("cluster_id", "key", text.reply_event(verdict("titles")).alias("r")).select("cluster_id", "key", "r.label", "r.why")
     asked = written(asked, "judged")
     if opts.cache:
-        asked.select("key", "label", "why").write.mode("append").parquet(f"{opts.cache}/events")
+        caches.append(asked.select("key", "label", "why"), f"{opts.cache}/events")
+        caches.compact(rows.sparkSession, f"{opts.cache}/events", schemas.EVENT_CACHE)
     judged = gate.join(asked.select("cluster_id", F.col("label").alias("_new")), "cluster_id", "left").withColumn("eventness_label", F.coalesce("_new", "cached")).drop("_new")
     judged = clusters.event_filter(judged.filter(F.col("decision") != "drop"), opts.judge)
     top = clusters.ranked(judged, "matter_score", "cluster_ord", opts.top)
