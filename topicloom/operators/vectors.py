@@ -204,19 +204,23 @@ FEW_CENTRES = 4096
 
 
 def _assigned(points: DataFrame, centres: DataFrame, k: int, few: int) -> DataFrame:
-    """node, centre: the nearest of the ``k`` centres. ``points`` may have the centre of the round before."""
+    """node, unit, centre (the nearest of the ``k`` centres), moved. ``points`` may have the centre of the round before."""
+    before = "centre" in points.columns
     if k > few:
-        return metric.nearest(points, centres).select("node", "centre")
+        found = metric.nearest(points, centres).select("node", F.col("centre").alias("now"))
+        moved = F.col("centre") != F.col("now") if before else F.lit(True)
+        return points.join(found, "node").select("node", "unit", F.col("now").alias("centre"), moved.alias("moved"))
     drawn = centres.orderBy("centre").collect()  # ``few`` at most
     shared = points.sparkSession.sparkContext.broadcast((np.array([r["centre"] for r in drawn]), metric.matrix(pa.array([r["unit"] for r in drawn], pa.binary()))))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, at = shared.value
         for batch in batches:
-            best = metric.closest(metric.matrix(batch.column("unit")), at)[0] if batch.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(names[best])], names=["node", "centre"])
+            now = names[metric.closest(metric.matrix(batch.column("unit")), at)[0]] if batch.num_rows else np.zeros(0, np.int64)
+            moved = now != batch.column("centre").to_numpy() if before else np.ones(len(now), bool)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("unit"), pa.array(now), pa.array(moved)], names=["node", "unit", "centre", "moved"])
 
-    return points.select("node", "unit").mapInArrow(look, "node long, centre long")
+    return points.mapInArrow(look, "node long, unit binary, centre long, moved boolean")
 
 
 def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42, rounds: int = 20, few: int = FEW_CENTRES) -> DataFrame:
@@ -235,15 +239,10 @@ def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42, rounds: int =
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("first").cast("string")).cast("binary")), F.col("first")]
     centres = written(joins.numbered(kinds, order, "centre").filter(F.col("centre") < k).select("centre", "unit"), "centres")
     placed = points
-    for _ in range(rounds):
-        found = written(_assigned(placed, centres, k, few), "assigned")
-        if "centre" in placed.columns:
-            still = placed.select("node", F.col("centre").alias("was")).join(found, "node").filter("was <> centre").isEmpty()
-            placed = written(points.join(found, "node"), "placed")
-            if still:
-                break
-        else:
-            placed = written(points.join(found, "node"), "placed")
+    for r in range(rounds):
+        placed = written(_assigned(placed, centres, k, few), "placed")
+        if r + 1 == rounds or placed.filter("moved").isEmpty():
+            break
         centres = written(_means(placed, centres), "centres")
     return placed.select(F.col("centre").cast("int").alias("cluster_id"), F.col("node").alias("ord"))
 

@@ -122,7 +122,7 @@ def coherent(rows: DataFrame) -> DataFrame:
     def two_titles(some: DataFrame) -> DataFrame:
         return some.join(art.sizeable(some, 2, text.or_empty(F.col("title")) != "").select("cluster_id").distinct(), "cluster_id", "left_semi")
 
-    rows = two_titles(rows)
+    rows = written(two_titles(rows), "titled")
     kept = vectors.trimmed(vectors.unit_rows(rows), cautious=False, floor=10)
     rows = written(two_titles(rows.join(kept, ["cluster_id", "ord"], "left_semi")), "late_trim")
     told = rows.filter(text.article_text(F.col("title"), F.col("description"), most=300) != "")
@@ -165,7 +165,8 @@ def deduplicated(rows: DataFrame, opts: Options, passes: int = 2) -> DataFrame:
 def final_topics(rows: DataFrame, opts: Options) -> DataFrame:
     """Topics with measures and rank, after duplicates are collapsed, incoherent ones dropped and suspicious ones judged."""
     kept = clusters.signature_collapse(rows).select("cluster_id")
-    rows = written(coherent(rows.join(kept, "cluster_id", "left_semi")), "collapsed")
+    # Written before it is looked at from many sides: plans that read it stay short.
+    rows = written(coherent(written(rows.join(kept, "cluster_id", "left_semi"), "kept")), "collapsed")
     order = clusters.ranked(clusters.measured(rows, opts.date, F.col("bias")), "matter_score", "cluster_ord").select("cluster_id", "matter_score", "cluster_ord")
     ranks = {r["cluster_id"]: i for i, r in enumerate(order.collect())}  # topics of one run: at most a few hundred
     index = rows.sparkSession.createDataFrame(list(ranks.items()) or [(0, 0)], "cluster_id long, topic long")
