@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import text, url
+from topicloom.sources.tables import written
 
 
 def set_pairs(items: DataFrame, item: str, least: float, group: str = "cluster_id") -> DataFrame:
@@ -53,22 +54,39 @@ def tfidf(texts: DataFrame, stop: list[str], most: int = 5000, group: str = "clu
     return raw.join(length, group).select(group, "term", (F.col("w") / F.col("len")).alias("weight"))
 
 
-def tfidf_pairs(weights: DataFrame, least: float, group: str = "cluster_id") -> DataFrame:
+#: Rows of a term that meet each other at once: a more frequent term's rows are dealt to blocks.
+BLOCK = 2_048
+
+
+def tfidf_pairs(weights: DataFrame, least: float, group: str = "cluster_id", block: int = BLOCK) -> DataFrame:
     """(i, j, sim) with i < j by the products of shared terms.
 
-    Terms are ordered from rare to frequent. Rows of unit length so similar share a term among the first ones of both,
-    up to where the length of what is left falls below ``least``: only such pairs are multiplied out.
+    Terms are ordered from rare to frequent. Rows of unit length so similar share a term among the first ones of both, up to where
+    the length of what is left falls below ``least``. What two rows share up to the last such term is known when they meet there;
+    what may follow is at most the product of the lengths of what each has left after it. Pairs whose sum of both stays below
+    ``least`` are not multiplied out. The rows of a frequent term meet in blocks, so no join key has more than 2 * ``block``.
     """
     own = weights.select(F.col(group).alias("g"), "term", "weight")
     if least <= 0:  # every pair that shares a term counts
         both = own.select(F.col("g").alias("i"), "term", F.col("weight").alias("a")).join(own.select(F.col("g").alias("j"), "term", F.col("weight").alias("b")), "term").filter("i < j")
         return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).filter(F.col("sim") >= least)
+    own = written(own, "weights")
     seen = own.groupBy("term").agg(F.count("*").alias("df"))
-    rest = F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("g").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    square = F.col("weight") * F.col("weight")
+    rest = F.sum(square).over(Window.partitionBy("g").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0))
+    parts = F.ceil(F.col("df") / block).cast("int")
     first = own.join(seen, "term").withColumn("rest", rest).filter(F.sqrt("rest") >= least - 1e-9)
-    likely = first.select(F.col("g").alias("i"), "term").join(first.select(F.col("g").alias("j"), "term"), "term").filter("i < j").select("i", "j").distinct()
-    a = likely.join(own.select(F.col("g").alias("i"), "term", F.col("weight").alias("a")), "i")
-    both = a.join(own.select(F.col("g").alias("j"), "term", F.col("weight").alias("b")), ["j", "term"])
+    first = first.select("g", "term", "weight", "df", F.sqrt(F.greatest(F.lit(0.0), F.col("rest") - square)).alias("after"), parts.alias("parts"), F.pmod(F.xxhash64("g"), parts).cast("int").alias("part"))
+    first = written(first, "prefixes")
+    side = lambda s, *at: first.select("term", *at, F.col("g").alias(f"g{s}"), F.col("weight").alias(f"w{s}"), F.col("after").alias(f"after{s}"), *(["df"] if s == "a" else []))
+    a = side("a", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"))
+    b = side("b", F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"))
+    met = a.join(b, ["term", "p", "q"]).filter((F.col("ga") != F.col("gb")) & ((F.col("p") < F.col("q")) | (F.col("ga") < F.col("gb"))))
+    pair = [F.least("ga", "gb").alias("i"), F.greatest("ga", "gb").alias("j")]
+    sums = met.groupBy(*pair).agg(F.sum(F.col("wa") * F.col("wb")).alias("known"), F.max_by(F.col("aftera") * F.col("afterb"), F.struct("df", "term")).alias("more"))
+    likely = written(sums.filter(F.col("known") + F.col("more") >= least - 1e-9).select("i", "j"), "likely")
+    left = likely.join(own.select(F.col("g").alias("i"), "term", F.col("weight").alias("a")), "i")
+    both = left.join(own.select(F.col("g").alias("j"), "term", F.col("weight").alias("b")), ["j", "term"])
     return both.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("sim")).filter(F.col("sim") >= least)
 
 

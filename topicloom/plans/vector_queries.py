@@ -180,6 +180,24 @@ def tfidf_cosine_pairs(spark, sf_dir):
     return similarity.tfidf_pairs(similarity.tfidf(clusters.title_text(grouped(spark, sf_dir)), STOP), 0.0).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP) + "]"
+
+
+@query(r"""WITH t AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS text FROM documents),
+    w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([\p{L}\p{N}_][\p{L}\p{N}_]+)'), lambda x: NOT list_contains(STOP, x)) AS w FROM t),
+    tm AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS term FROM w),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tm GROUP BY 1, 2),
+    v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+    x AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM t)) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term)),
+    u AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x)
+    SELECT a.doc_id AS i, b.doc_id AS j, round(sum(a.w * b.w), 6) AS sim FROM u a JOIN u b ON a.term = b.term AND a.doc_id < b.doc_id
+    GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.78""".replace("STOP", _STOP_SQL))
+def like_headlines(spark, sf_dir):
+    """First lines of all documents whose weighted terms are as alike as duplicate topics': 0.78 or more."""
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cluster_id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("text"))
+    return similarity.tfidf_pairs(similarity.tfidf(lines, STOP), 0.78).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
 @query("""WITH {ARTICLES}, f AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY ord) AS r FROM grouped WHERE trim(title) <> ''),
     n AS (SELECT cluster_id, ord, list_filter(list_distinct(list_transform(regexp_extract_all(title, '([A-Z][A-Za-z0-9]+)', 1), lambda w: lower(w))), lambda w: NOT list_contains(ENT, w)) AS names FROM f WHERE r <= 18)
     SELECT a.cluster_id, round(avg(CASE WHEN len(list_intersect(a.names, b.names)) > 0 THEN 1.0 ELSE 0.0 END), 6) AS entity_cohesion FROM n a JOIN n b ON a.cluster_id = b.cluster_id AND a.ord < b.ord GROUP BY 1""".replace("ENT", "[" + ", ".join(f"'{w}'" for w in dims.ENTITY_STOP) + "]"))
