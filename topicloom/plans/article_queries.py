@@ -140,6 +140,15 @@ def normalised_first(spark, sf_dir):
     return ops.normalised_first(articles(spark, sf_dir), TARGET).select("ord")
 
 
+@query(f"""WITH n AS ({BOOK.sql["url_normalize"]}), k AS (SELECT page_id AS ord, coalesce(url_normalized, '') AS k FROM n)
+    SELECT ord, k AS url_normalized FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ord) AS r FROM k) WHERE r = 1""")
+def streamed_first(spark, sf_dir):
+    """Pages fed to a stateful stream in three parts, on one checkpoint: the first page of each normalised URL."""
+    from topicloom.streaming.articles import replayed
+
+    return replayed(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url")).select("ord", "url_normalized")
+
+
 @query("""WITH b AS (SELECT 0 AS part, doc_id AS ord, source AS k, lang AS v FROM documents WHERE lang = 'en' UNION ALL SELECT 1, doc_id, source, lang FROM documents WHERE lang <> 'en')
     SELECT k, v, ord, place_part, place_ord FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY part DESC, ord DESC) AS r,
         first_value(part) OVER (PARTITION BY k ORDER BY part, ord) AS place_part, first_value(ord) OVER (PARTITION BY k ORDER BY part, ord) AS place_ord FROM b) WHERE r = 1""")
