@@ -85,3 +85,39 @@ def test_registered_pairs(spark, sf_dir):
                 want.add((i, j, round(100 * m.ratio(), 6)))
     assert {(r["i"], r["j"], r["ratio"]) for r in catalogue.QUERIES["alike_title_pairs"](spark, sf_dir).collect()} == want
     assert folds.token_sort_ratio("b A", "a b") == 100.0
+
+
+@pytest.mark.parametrize(("seed", "least", "block"), [(1, 80.0, 2048), (2, 80.0, 5), (3, 55.0, 7), (4, 92.0, 3), (5, 30.0, 64), (7, 100.0, 4)])
+def test_lengths_and_grams_find_the_same(spark, seed, least, block):
+    found, _ = strings.classes(table(spark, varied(seed, 240)), text="title")
+    by = [{(r["i"], r["j"], r["ratio"]) for r in strings.alike(found, least, block, grams).collect()} for grams in (True, False)]
+    assert by[0] == by[1] and (by[0] or least == 100.0)
+
+
+def test_common_subsequence_against_a_table():
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abc") for _ in range(draw.randrange(1, 70))) for _ in range(2))
+        row = [0] * (len(a) + 1)
+        for c in b:
+            row = _next(row, a, c)
+        for need in range(max(1, row[-1] - 2), min(len(a), len(b), row[-1] + 2) + 1):
+            assert strings._reaches(strings._places(a), len(a), b, need) == (row[-1] >= need)
+
+
+def _next(row, a, c):
+    out = [0]
+    for k, d in enumerate(a):
+        out.append(row[k] + 1 if c == d else max(row[k + 1], out[k]))
+    return out
+
+
+def test_long_lines_of_the_same_syllables_meet_by_length(spark, monkeypatch):
+    """Nearly every text has nearly every q-gram: an index of them would hold more meetings than there are pairs."""
+    draw = random.Random(5)
+    words = ["en", "the", "ing", "on", "ti", "ha", "er", "or"]
+    lines = [" ".join("".join(draw.choice(words) for _ in range(3)) for _ in range(18)) for _ in range(60)]
+    lines += [x[:-3] + "q" for x in lines[:9]]
+    found, _ = strings.classes(table(spark, lines), text="title")
+    monkeypatch.setattr(strings, "_candidates", lambda *_: pytest.fail("by q-grams"))
+    assert strings.alike(found, 92.0).count() >= 9
