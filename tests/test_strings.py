@@ -3,6 +3,7 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,7 @@ def test_common_subsequence_against_a_table():
             row = _next(row, a, c)
         for need in range(max(1, row[-1] - 2), min(len(a), len(b), row[-1] + 2) + 1):
             assert strings._reaches(strings._places(a), len(a), b, need) == (row[-1] >= need)
+        assert strings._common(["xa", a], [b, "c"], np.array([1, 1]), np.array([0, 1])).tolist() == [row[-1], int("c" in a)]
 
 
 def _next(row, a, c):
@@ -121,3 +123,21 @@ def test_long_lines_of_the_same_syllables_meet_by_length(spark, monkeypatch):
     found, _ = strings.classes(table(spark, lines), text="title")
     monkeypatch.setattr(strings, "_candidates", lambda *_: pytest.fail("by q-grams"))
     assert strings.alike(found, 92.0).count() >= 9
+
+
+def test_long_texts_by_their_rare_characters(spark):
+    """Texts of about 200 characters and more, of which difflib leaves frequent characters out: against all pairs."""
+    draw = random.Random(11)
+    base = [" ".join("".join(draw.choice("eeenrtiaosdhqzxj") for _ in range(draw.randrange(2, 9))) for _ in range(n)) for n in (28, 36, 60, 90)]
+    lines = list(base)
+    for k in range(50):
+        words = draw.choice(base).split()
+        for _ in range(k % 12):
+            words[draw.randrange(len(words))] = "".join(draw.choice("eenrtiq") for _ in range(5))
+        lines.append(" ".join(words))
+    found, _ = strings.classes(table(spark, lines), text="title")
+    known = sorted((r["node"], r["s"]) for r in found.collect())
+    ratios = {(i, j): 100 * difflib.SequenceMatcher(None, a, b).ratio() for k, (i, a) in enumerate(known) for j, b in known[k + 1 :]}
+    for least in (60.0, 80.0):
+        got = {(r["i"], r["j"]): r["ratio"] for r in strings.alike(found, least, 9, False).collect()}
+        assert got == {p: v for p, v in ratios.items() if v >= least} and len(got) > 10
