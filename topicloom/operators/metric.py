@@ -16,7 +16,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.sources.tables import written
@@ -26,6 +26,9 @@ from .joins import with_counts, with_values
 #: Most pivots of one division, rows that tell whether it pays, rows of a chunk, rounds at most.
 FAN, SAMPLE, CHUNK, ROUNDS = 32, 256, 20_000, 40
 
+#: Blocks of a cell before they get larger than asked for, and rows of a block at most.
+BLOCKS, MOST_ROWS = 16, 65_536
+
 #: A division is kept if it leaves less than this share of the comparisons.
 PAYS = 0.9
 
@@ -131,6 +134,11 @@ def pivot_cells(vectors: DataFrame, radius: float | None, limit: int = 1024, alw
     return out
 
 
+def blocks(n: Column, block: int) -> Column:
+    """Blocks of a cell of ``n`` rows. Each row goes to as many of them: up to 16 * 65,536 rows their number doesn't grow with the cell."""
+    return F.greatest(F.lit(1), F.least(F.ceil(n / block), F.lit(BLOCKS)), F.ceil(n / MOST_ROWS)).cast("int")
+
+
 def nearest(points: DataFrame, centres: DataFrame, limit: int = 1024, block: int = 4096, few: int = 1024) -> DataFrame:
     """node, centre, d2: the nearest centre of each point (the smallest of several), and the squared distance.
 
@@ -161,7 +169,7 @@ def nearest(points: DataFrame, centres: DataFrame, limit: int = 1024, block: int
     looking = found.select("node", "unit", "to").mapInArrow(bounded, "node long, unit binary, radius double").select(F.lit("0").alias("cell"), F.lit(False).alias("home"), "node", "unit", "radius")
     at_home = centres.select(F.lit("0").alias("cell"), F.lit(True).alias("home"), F.col("centre").cast("long").alias("node"), "unit", F.lit(0.0).alias("radius"))
     cells = with_counts(pivot_cells(looking.unionByName(at_home), None, limit), "cell", _h=F.sum(F.col("home").cast("int")), _n=F.count("*"))
-    hs, ps = F.ceil(F.col("_h") / limit).cast("int"), F.greatest(F.lit(1), F.ceil((F.col("_n") - F.col("_h")) / block)).cast("int")
+    hs, ps = blocks(F.col("_h"), MOST_ROWS), blocks(F.col("_n") - F.col("_h"), block)
     dealt_to = lambda parts: F.pmod(F.xxhash64("node", F.lit(7)), parts).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
     left = cells.filter("home").select("cell", dealt_to(hs).alias("p"), each(ps).alias("q"), "home", "node", "unit")
@@ -174,7 +182,14 @@ def nearest(points: DataFrame, centres: DataFrame, limit: int = 1024, block: int
             return pa.table({"node": pa.array([], pa.int64()), "d2": pa.array([], pa.float64()), "centre": pa.array([], pa.int64())})
         order = np.argsort(ids[own])  # the first of equal distances is the smallest centre
         c, names = x[own][order], ids[own][order]
-        best, d2 = closest(x[~own], c)
+        x = x[~own]
+        best, d2 = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        for lo in range(0, len(x), limit):
+            part = slice(lo, lo + limit)
+            for at in range(0, len(c), 8 * limit):
+                now, near = closest(x[part], c[at : at + 8 * limit])
+                nearer = near < d2[part]
+                best[part], d2[part] = np.where(nearer, now + at, best[part]), np.where(nearer, near, d2[part])
         return pa.table({"node": ids[~own], "d2": d2, "centre": names[best]})
 
     met = left.unionByName(right).groupBy("cell", "p", "q").applyInArrow(compare, "node long, d2 double, centre long")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions import stats, vectors
@@ -138,29 +138,20 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], "unit binary"]))
 
 
-#: Blocks of a cell before they get larger than asked for, and rows of a block at most.
-BLOCKS, MOST_ROWS = 16, 65_536
-
-
-def _blocks(n: Column, block: int) -> Column:
-    """Blocks of a cell of ``n`` rows. Each row goes to as many of them: up to 16 * 65,536 rows their number doesn't grow with the cell."""
-    return F.greatest(F.lit(1), F.least(F.ceil(n / block), F.lit(BLOCKS)), F.ceil(n / MOST_ROWS)).cast("int")
-
-
 def similar_pairs(rows: DataFrame, least: float, key: str = "ord", vector: str = "vector", block: int = 1024) -> DataFrame:
     """(i, j, sim) with i < j for all unit vectors (or zero vectors) at least so similar.
 
     Vectors so similar are within r = sqrt(2 - 2 * least). A tree of pivots (``metric.pivot_cells``) deals them to cells of about
     ``block`` vectors, so that each pair meets where its smaller key is at home. A cell is joined as blocks by products of ``block``
     rows at a time, also one that can't be divided: vectors without structure, or a low ``least``, leave cells whole. Vectors of a cell
-    go to a bounded number of its blocks (see ``_blocks``), those at home meet each other once.
+    go to a bounded number of its blocks (see ``metric.blocks``), those at home meet each other once.
     """
     radius = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
     slim = packed(rows.select(F.lit("0").alias("cell"), F.col(key).cast("long").alias("node"), F.col(vector).cast("array<double>").alias("v")))
     none = (lambda x: (x * x).sum(axis=1) == 0) if least > 0 else None
     cells = metric.pivot_cells(slim, radius, block, alone=none)
     sized = joins.with_counts(cells, "cell", _n=F.count("*"), _v=F.sum(1 - F.col("home").cast("int")))
-    placed = sized.withColumn("parts", _blocks(F.col("_n"), block)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
+    placed = sized.withColumn("parts", metric.blocks(F.col("_n"), block)).withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("parts")).cast("int"))
     # Rows at home in blocks p < q meet there; in q, p only p's visitors are looked for.
     after = F.when(F.col("_v") > 0, 0).otherwise(F.col("part"))
     before = F.when(F.col("home"), F.col("part")).otherwise(F.col("parts") - 1)
