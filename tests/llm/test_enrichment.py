@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import os
 import random
+import threading
 import zlib
 from collections import defaultdict
 
@@ -10,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from topicloom.llm import enrichment
 from topicloom.llm.enrichment import _bisect, enrich
 from topicloom.llm.queries import CRC_TABLE_SQL, ORACLE_SQL, QUERIES, crc_of
 
@@ -104,6 +107,38 @@ def test_simulation_with_many_cells_and_a_hot_client(spark):
     assert any(r[0] == "late" for r in got) and any(r[2] == BATCHES for r in got) and {r[6] for r in got} >= {"I", "U", "D", None}
 
 
+def open_stores(pid):
+    """State stores that the JVM holds open: each has its lock file."""
+    found = []
+    for fd in os.listdir(f"/proc/{pid}/fd"):
+        try:
+            found.append(os.readlink(f"/proc/{pid}/fd/{fd}").endswith("/LOCK"))
+        except OSError:  # closed meanwhile
+            pass
+    return sum(found)
+
+
+def test_stores_are_open_only_while_their_task_runs(spark, monkeypatch):
+    monkeypatch.setattr(enrichment, "TASK", 20)  # many more stores than cores
+    pid, cores = spark._jvm.java.lang.ProcessHandle.current().pid(), spark.sparkContext.defaultParallelism
+    seen, over = [], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            seen.append(open_stores(pid))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        sales, changes = made(3, 400, 20)
+        enrich(*tables(spark, sales, changes), batches=2, cell=64)
+    finally:
+        left = open_stores(pid)
+        over.set()
+        watcher.join()
+    assert 0 < max(seen) <= cores and left == 0
+
+
 def test_empty_tables(spark):
     sales, changes = made(2, 40, 5)
     none_s, none_c = tables(spark, [], [])

@@ -290,9 +290,12 @@ def enrich(sales: DataFrame, changes: DataFrame, batches: int = 10, first: int =
             spark,
             spark__sql__shuffle__partitions=str(tasks),
             spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-            # Small stores needn't reserve room for their logs; what a start has left in an executor's own folder goes soon after it.
+            # Small stores needn't reserve room for their logs. A start has one batch, so a store that stays open after its task is only
+            # memory and disk: there are as many as shuffle partitions, whatever the cells. Lists are read once, and Spark does not give
+            # back the block cache of a store that it closes: none is kept.
             spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",
-            spark__sql__streaming__stateStore__maintenanceInterval="2s",
+            spark__sql__streaming__stateStore__rocksdb__blockCacheSizeMB="0",
+            spark__sql__streaming__stateStore__unloadOnCommit="true",
         ):
             stream = spark.readStream.schema(_STREAM).parquet(f"{base}/feed")
             found = stream.groupBy("cell").transformWithStateInPandas(Enricher(), _FOUND, "Append", "None")
