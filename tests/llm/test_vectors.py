@@ -71,3 +71,20 @@ def test_linked_clusters_of_registered_size_go_through_pivots(spark, cell_rows,
     n, component = brute(rows)
     assert sum(n) > 2000
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, k, c) for i, (k, c) in enumerate(zip(n, component, strict=True))]
+
+
+def test_a_vector_goes_once_to_each_of_few_parts(spark, monkeypatch):
+    """A label without structure: rows of blocks are as many as rows of cells, where a part holds them; many parts give the same."""
+    from topicloom.llm import embeddings
+
+    draw = np.random.default_rng(11)
+    rows = [(k, [float(np.float32(x)) for x in draw.normal(size=4)], 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    seen, cells = [], embeddings.pivot_cells
+    monkeypatch.setattr(embeddings, "pivot_cells", lambda *a, **k: seen.append(cells(*a, **k)) or seen[-1])
+    n, component = brute(rows)
+    assert sum(n) > 400
+    for part_rows in (1000, 30):
+        got = embeddings.near_vectors(df, cell_rows=400, part_rows=part_rows).collect()
+        assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(i, k, c) for i, (k, c) in enumerate(zip(n, component, strict=True))]
+    assert all(c.filter("home").count() == 400 and c.count() <= 600 for c in seen)  # only the later cell is visited

@@ -56,7 +56,7 @@ def reach(x: np.ndarray, pivots: np.ndarray, radius: float | np.ndarray) -> tupl
     return home, goes
 
 
-def _dealer(radius: float | None, force: bool, alone: Callable[[np.ndarray], np.ndarray] | None, kept: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _dealer(radius: float | None, force: bool, alone: Callable[[np.ndarray], np.ndarray] | None, kept: list[str], once: bool, matrix: Callable[[pa.ChunkedArray], np.ndarray]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A function of a chunk of a cell and the cell's guides (pivots and samples): the chunk's rows in the cell's children."""
 
     def deal(part: pa.Table, guide: pa.Table) -> pa.Table:
@@ -80,6 +80,8 @@ def _dealer(radius: float | None, force: bool, alone: Callable[[np.ndarray], np.
         own = np.array(part["home"].to_pylist(), bool)
         if alone is not None:
             goes &= ~alone(x)[:, None]
+        if once:
+            goes &= ~own[:, None] | (np.arange(len(pivots)) > home[:, None])
         goes[np.flatnonzero(own), home[own]] = True
         r, c = np.nonzero(goes)
         base = part["cell"][0].as_py()
@@ -90,13 +92,14 @@ def _dealer(radius: float | None, force: bool, alone: Callable[[np.ndarray], np.
     return deal
 
 
-def pivot_cells(vectors: DataFrame, radius: float | None, limit: int = 1024, always: bool = False, alone: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def pivot_cells(vectors: DataFrame, radius: float | None, limit: int = 1024, always: bool = False, alone: Callable[[np.ndarray], np.ndarray] | None = None, once: bool = False, read: Callable[[pa.ChunkedArray], np.ndarray] = matrix) -> DataFrame:
     """cell, home and the other columns of ``vectors``, a row for each cell of each vector.
 
     vectors: cell (string; vectors of different cells never meet), node (long, different for each row), unit (float64 bytes of one
     length in a cell), more columns. ``limit``: home vectors of a cell that isn't divided. ``always``: each cell of two vectors or
     more is divided once, by two pivots where it doesn't pay. ``alone(matrix)`` tells vectors that reach no other: they only are at
-    home. Without a common ``radius``, ``vectors`` has columns home and radius: rows that aren't at home look for those that are,
+    home. ``once``: a vector at home in a child visits only those after it, so two vectors meet in one cell: both at home, or one.
+    ``read`` gives the vectors of other bytes than those of float64. Without a common ``radius``, ``vectors`` has columns home and radius: rows that aren't at home look for those that are,
     within a radius of their own.
     """
     columns = [c for c in vectors.columns if c not in ("cell", "home")]
@@ -123,7 +126,7 @@ def pivot_cells(vectors: DataFrame, radius: float | None, limit: int = 1024, alw
         rows = large.withColumn("_chunk", F.pmod(F.xxhash64("node", F.lit(-1)), chunks).cast("int")).drop("_h", "_n")
         kept = [c for c in rows.columns if c not in ("cell", "_chunk", "home")]
         schema = ", ".join(["cell string", "final boolean", "home boolean", *[f"{f.name} {f.dataType.simpleString()}" for f in large.schema if f.name in kept]])
-        dealt = written(rows.groupBy("cell", "_chunk").cogroup(guides.groupBy("cell", "_chunk")).applyInArrow(_dealer(radius, force, alone, kept), schema), "dealt")
+        dealt = written(rows.groupBy("cell", "_chunk").cogroup(guides.groupBy("cell", "_chunk")).applyInArrow(_dealer(radius, force, alone, kept, once, read), schema), "dealt")
         leaves.append(dealt.filter("final").drop("final"))
         live = dealt.filter("not final").drop("final")
     else:
