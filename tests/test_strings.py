@@ -141,3 +141,28 @@ def test_long_texts_by_their_rare_characters(spark):
     for least in (60.0, 80.0):
         got = {(r["i"], r["j"]): r["ratio"] for r in strings.alike(found, least, 9, False).collect()}
         assert got == {p: v for p, v in ratios.items() if v >= least} and len(got) > 10
+
+
+def test_minima_of_counts_by_products():
+    """Exact where levels suffice, else never too small, by steps or with what is above the first levels."""
+    draw = np.random.default_rng(2)
+    a, b = draw.poisson(1.5, (30, 40)), draw.poisson(2.5, (20, 40))
+    want = np.minimum(a[:, None], b).sum(axis=2)
+    found, exact = strings._minima(a, b, 1000)
+    assert exact and (found == want).all()
+    for cap in (False, True):
+        found, exact = strings._minima(a, b, 90, cap=cap)
+        assert not exact and (found >= want).all() and (found - want).mean() < 60
+    assert strings._minima(a[:0], b, 9)[0].shape == (0, 20)
+
+
+def test_pairs_that_cannot_reach_their_need_are_left_early():
+    draw = random.Random(8)
+    left, right = (["".join(draw.choice("abcdef") for _ in range(draw.randrange(60, 190))) for _ in range(25)] for _ in range(2))
+    right[:5] = [s[:-3] for s in left[:5]]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(25), np.arange(25), indexing="ij"))
+    whole = strings._common(left, right, i, j)
+    need = strings._needed(np.array([len(left[a]) + len(right[b]) for a, b in zip(i, j, strict=True)]), 0.8)
+    some = strings._common(left, right, i, j, need)
+    assert ((some >= need) == (whole >= need)).all() and (some[whole >= need] == whole[whole >= need]).all()
+    assert (some < whole).any() and (whole >= need).sum() >= 5
