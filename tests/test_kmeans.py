@@ -69,3 +69,17 @@ def test_nearest_centre(spark, limit, block, noise):
 def test_numbers_by_range(spark):
     got = joins.numbered(spark.range(3000).select((F.col("id") * 7919 % 3000).alias("v")), [F.desc("v")])
     assert {r["v"]: r["number"] for r in got.collect()} == {v: 2999 - v for v in range(3000)}
+
+
+def test_only_rows_with_ties_have_all_their_distances_rounded(monkeypatch):
+    """The nearest centre as by all rounded distances, the smallest of equal ones; without ties only one distance a row is rounded."""
+    draw = np.random.default_rng(9)
+    c, x = draw.normal(size=(300, 8)), draw.normal(size=(100, 8))
+    c[200:210] = c[:10]
+    x[:10] = c[:10] + 1e-9
+    d2 = np.round(np.maximum(0, (x**2).sum(axis=1)[:, None] + (c**2).sum(axis=1) - 2 * x @ c.T), 12)
+    seen, plain = [], np.round
+    monkeypatch.setattr(np, "round", lambda a, *k: seen.append(np.size(a)) or plain(a, *k))
+    best, found = metric.closest(x, c)
+    assert (best == d2.argmin(axis=1)).all() and np.abs(found - d2.min(axis=1)).max() <= 2e-12
+    assert (best[:10] == np.arange(10)).all() and sum(seen) <= 100 + 300 * np.count_nonzero((d2 == d2.min(axis=1)[:, None]).sum(axis=1) > 1)

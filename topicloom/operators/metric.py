@@ -200,7 +200,20 @@ def nearest(points: DataFrame, centres: DataFrame, limit: int = 1024, block: int
 
 
 def closest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the nearest centre of each row, squared distance), by matrix products; differences of 1e-12 count as ties."""
-    d2 = (x**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1)[None, :] - 2 * x @ centres.T
-    best = np.round(np.maximum(0, d2), 12).argmin(axis=1)
-    return best, np.round(np.maximum(0, d2[np.arange(len(x)), best]), 12)
+    """(place of the nearest centre of each row, squared distance), by matrix products; differences of 1e-12 count as ties.
+
+    Half the squared length of a centre is one more column of the product, so that its largest value tells the nearest one. Only rows
+    with a second value that may be a tie have all their distances rounded and compared.
+    """
+    own, square = (x**2).sum(axis=1), (centres**2).sum(axis=1)
+    near = np.column_stack([x, np.full(len(x), -0.5)]) @ np.column_stack([centres, square]).T
+    at = np.arange(len(x))
+    best = near.argmax(axis=1)
+    found = near[at, best]
+    least = found - (1e-11 + 1e-13 * (own + square.max(initial=0.0)))
+    tied = np.flatnonzero(np.count_nonzero(near >= least[:, None], axis=1) > 1)
+    if len(tied):
+        d2 = np.round(np.maximum(0, own[tied, None] - 2 * near[tied]), 12)
+        best[tied] = d2.argmin(axis=1)
+        found[tied] = near[tied, best[tied]]
+    return best, np.round(np.maximum(0, own - 2 * found), 12)
